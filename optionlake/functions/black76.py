@@ -1,11 +1,11 @@
-"""Black-76 in total volatility ``v = sigma * sqrt(T)``, as Column expressions."""
+"""Black-76 in total volatility ``v = sigma * sqrt(T)``, inside the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .normal import norm_cdf, norm_pdf
+from .normal import norm_pdf, with_norm_cdf
 
 CALL = "call"
 PUT = "put"
@@ -44,29 +44,16 @@ def d2(forward, strike, total_vol) -> Column:
     )
 
 
-def price(forward, strike, total_vol, discount=1.0, right=CALL) -> Column:
-    """Discounted option price. One signed formula covers both rights."""
-    f, k, s = _col(forward), _col(strike), _side(right)
-    body = f * norm_cdf(s * d1(f, k, total_vol)) - k * norm_cdf(s * d2(f, k, total_vol))
-    return _col(discount) * s * body
-
-
-def with_price(df: DataFrame, name: str, forward, strike, total_vol, discount, right) -> DataFrame:
-    """Add a price column in steps.
-
-    The same value as `price`, for inputs that are themselves long expressions:
-    each step is a column of its own, so an input is written once instead of
-    once per mention in the approximation of N(x).
-    """
+def with_price(df: DataFrame, name: str, forward, strike, total_vol, discount=1.0, right=CALL) -> DataFrame:
+    """Add a column of discounted option prices. One signed formula covers both rights."""
     v = F.nanvl(F.coalesce(_col(total_vol), F.lit(0.0)), F.lit(0.0))
-    f, k, s, d = F.col("_f"), F.col("_k"), F.col("_s"), F.col("_d1")
-    return (
-        df.withColumns({"_f": _col(forward), "_k": _col(strike), "_v": v, "_s": _side(right)})
-        .withColumn("_d1", d1(f, k, F.col("_v")))
-        .withColumns({"_x1": s * d, "_x2": s * F.when(F.col("_v") > 0, d - F.col("_v")).otherwise(d)})
-        .withColumns({"_n1": norm_cdf(F.col("_x1")), "_n2": norm_cdf(F.col("_x2"))})
-        .withColumn(name, _col(discount) * s * (f * F.col("_n1") - k * F.col("_n2")))
-        .drop("_f", "_k", "_v", "_s", "_d1", "_x1", "_x2", "_n1", "_n2")
+    staged = df.withColumns(
+        {"_f": _col(forward), "_k": _col(strike), "_v": v, "_s": _side(right), "_d": _col(discount)}
+    ).withColumn("_d1", d1(F.col("_f"), F.col("_k"), F.col("_v")))
+    far = F.when(F.col("_v") > 0, F.col("_d1") - F.col("_v")).otherwise(F.col("_d1"))
+    priced = with_norm_cdf(staged, {"_n1": F.col("_s") * F.col("_d1"), "_n2": F.col("_s") * far})
+    return priced.withColumn(name, F.expr("_d * _s * (_f * _n1 - _k * _n2)")).drop(
+        "_f", "_k", "_v", "_s", "_d", "_d1", "_n1", "_n2"
     )
 
 

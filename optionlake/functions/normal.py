@@ -1,4 +1,4 @@
-"""Standard normal density and distribution as Column expressions.
+"""Standard normal density and distribution as Catalyst expressions.
 
 Spark SQL has no error function. ``erfc`` is W. J. Cody's rational minimax
 approximation (Math. Comp. 23, 1969), good to a few units in the last place on
@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Cody's published coefficients, highest power first.
@@ -34,31 +34,36 @@ INV_SQRT_PI = 1.0 / math.sqrt(math.pi)
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 
 
-def _horner(x: Column, coefficients) -> Column:
-    return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
+def _horner(x: str, coefficients) -> str:
+    return reduce(lambda acc, c: f"({acc} * {x} + {c!r}D)", coefficients[1:], f"{coefficients[0]!r}D")
 
 
-def erfc(x: Column) -> Column:
-    y = F.abs(x)
-    near = F.lit(1.0) - x * _horner(x * x, ERF_NUM) / _horner(x * x, ERF_DEN)
+def erfc_sql(x: str) -> str:
+    """SQL text of erfc of a column name; text costs one call to build, not hundreds."""
+    y, square, inverse = f"abs({x})", f"({x} * {x})", f"(1.0D / ({x} * {x}))"
     # exp(-y*y) with y split in two so the square is not rounded before exp.
-    coarse = F.rint(y * 16.0) / 16.0
-    decay = F.exp(-coarse * coarse) * F.exp(-(y - coarse) * (y + coarse))
-    inv = F.lit(1.0) / (y * y)
-    tail = (F.lit(INV_SQRT_PI) - inv * _horner(inv, TAIL_NUM) / _horner(inv, TAIL_DEN)) / y
-    upper = decay * F.when(y <= 4.0, _horner(y, MID_NUM) / _horner(y, MID_DEN)).otherwise(tail)
+    coarse = f"(rint({y} * 16.0D) / 16.0D)"
+    decay = f"exp(-{coarse} * {coarse}) * exp(-({y} - {coarse}) * ({y} + {coarse}))"
+    middle = f"{_horner(y, MID_NUM)} / {_horner(y, MID_DEN)}"
+    tail = f"({INV_SQRT_PI!r}D - {inverse} * {_horner(inverse, TAIL_NUM)} / {_horner(inverse, TAIL_DEN)}) / {y}"
+    upper = f"({decay} * CASE WHEN {y} <= 4.0D THEN {middle} ELSE {tail} END)"
     return (
-        F.when(y <= 0.46875, near)
-        .when(y >= UNDERFLOW, F.when(x > 0, F.lit(0.0)).otherwise(F.lit(2.0)))
-        .when(x > 0, upper)
-        .otherwise(F.lit(2.0) - upper)
+        f"CASE WHEN {y} <= 0.46875D THEN 1.0D - {x} * {_horner(square, ERF_NUM)} / {_horner(square, ERF_DEN)}"
+        f" WHEN {x} >= {UNDERFLOW}D THEN 0.0D WHEN {x} <= -{UNDERFLOW}D THEN 2.0D"
+        f" WHEN {x} > 0 THEN {upper} ELSE 2.0D - {upper} END"
     )
 
 
-def norm_pdf(x: Column) -> Column:
-    return F.exp(x * x * -0.5) / SQRT_2PI
+def with_norm_cdf(df: DataFrame, names: dict[str, Column]) -> DataFrame:
+    """Add N(x) for each named argument; both tails keep full relative accuracy.
+
+    The argument becomes a column first, so a long one is written once and not
+    once per mention in the approximation. N(+-inf) is exact.
+    """
+    scaled = {f"_erfc_{n}": x * (-math.sqrt(0.5)) for n, x in names.items()}
+    values = {n: F.expr(f"0.5D * ({erfc_sql(f'_erfc_{n}')})") for n in names}
+    return df.withColumns(scaled).withColumns(values).drop(*scaled)
 
 
-def norm_cdf(x: Column) -> Column:
-    """N(x); both tails keep full relative accuracy, and N(+-inf) is exact."""
-    return erfc(x * (-math.sqrt(0.5))) * 0.5
+def norm_pdf(x: Column) -> Column:
+    return F.exp(x * x * -0.5) / SQRT_2PI

@@ -65,7 +65,11 @@ def start(
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = _state(spark, f"{checkpoint_dir}/gate/slot={(number - 1) % 2}") if number else _state(spark, "")
+        before = (
+            _state(spark, f"{checkpoint_dir}/gate/slot={(number - 1) % 2}")
+            if number
+            else spark.createDataFrame([], STATE)
+        )
         seed = before.select("ticker", "print", "seqno")
         here = f"{out_dir}/batch={number}"
         screen(batch, seed, max_stale).write.mode("overwrite").parquet(here)
