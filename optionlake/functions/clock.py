@@ -21,7 +21,6 @@ _NAIVE = (
     r"^(\d{4})(-?)(\d{2})\2(\d{2})"
     r"(?:.([01]\d|2[0-3])(?::?([0-5]\d)(?::?([0-5]\d)(?:[.,](\d{1,9}))?)?)?)?$"
 )
-_AWARE = r"\d(Z|[+-]\d{2}(:?\d{2}){0,2})$"
 
 
 def eastern_instant(text: Column) -> Column:
@@ -45,9 +44,9 @@ def eastern_instant(text: Column) -> Column:
     return F.when(text.rlike(_NAIVE), made)
 
 
-def is_aware(text: Column) -> Column:
-    """A stamp that carries an offset although the feed never sends one."""
-    return text.rlike(r"^\d{4}-?\d{2}-?\d{2}.\d{2}") & text.rlike(_AWARE) & eastern_instant(text).isNull()
+def looks_aware(text: Column) -> Column:
+    """A stamp with an offset, although the feed never sends one."""
+    return text.rlike(r"^\d{4}-?\d{2}-?\d{2}.\d{2}.*(Z|[+-]\d{2}(:?\d{2}){0,2})$")
 
 
 def eastern_print(instant: Column) -> Column:

@@ -59,8 +59,9 @@ def with_half_width(smiles: DataFrame) -> DataFrame:
 def on_grid(smiles: DataFrame, nodes: int = NODES) -> DataFrame:
     """One row per grid node: ``i``, ``k`` and ``strike``. Rows stay where they are."""
     delta = log_step(F.col("half_width"), nodes)
+    last = F.when(F.col("a").isNull(), 0).otherwise(nodes - 1)
     return (
-        smiles.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))))
+        smiles.withColumn("i", F.explode(F.sequence(F.lit(0), last)))
         .withColumn("k", delta * F.col("i") - F.col("half_width"))
         .withColumn("strike", F.col("forward") * F.exp("k"))
     )

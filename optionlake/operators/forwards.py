@@ -69,32 +69,35 @@ def parity_line(quotes: DataFrame, keys: list[str] = KEY) -> DataFrame:
         F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")).alias("y_mean"),
         F.coalesce(F.regr_slope("y", "k"), F.lit(0.0)).alias("slope0"),
         (F.max("k") - F.min("k")).alias("k_range"),
+        # Read here too so both passes read the same columns and share a shuffle.
+        F.sum("within").alias("spread"),
     )
     dk = F.col("k") - F.col("k_mean")
     dy = F.col("y") - F.col("y_mean")
     off = dy - F.col("slope0") * dk
     fine = (
-        points.where("w > 0")
-        .join(rough.where("n_pairs > 0"), keys)
+        points.join(rough, keys)
         .groupBy(*keys)
         .agg(
+            *[F.first(c).alias(c) for c in ("n_pairs", "k_mean", "y_mean", "slope0", "k_range", "spread")],
             F.sum(F.col("w") * dk * dk).alias("sxx"),
             F.sum(F.col("w") * off * dk).alias("sxr"),
             F.sum(F.col("w") * off * off + F.col("within")).alias("srr"),
-            F.sum(F.col("w") * dy * dy + F.col("within")).alias("syy"),
+            F.sum(F.col("w") * dy * dy).alias("between"),
         )
     )
     correction = F.try_divide(F.col("sxr"), F.col("sxx"))
     ss_res = F.greatest(F.col("srr") - correction * F.col("sxr"), F.lit(0.0))
     slope = F.col("slope0") + correction
-    return rough.join(fine, keys, "left").select(
+    total = F.col("between") + F.col("spread")
+    return fine.select(
         *keys,
         "n_pairs",
         F.coalesce("k_range", F.lit(0.0)).alias("k_range"),
         slope.alias("slope"),
         (F.col("y_mean") - slope * F.col("k_mean")).alias("intercept"),
-        F.when(F.col("syy") > 0, F.lit(1.0) - ss_res / F.col("syy")).otherwise(0.0).alias("r2"),
-        F.sqrt(ss_res / F.col("n_pairs")).alias("rmse"),
+        F.when(total > 0, F.lit(1.0) - ss_res / total).otherwise(0.0).alias("r2"),
+        F.sqrt(F.try_divide(ss_res, F.col("n_pairs"))).alias("rmse"),
     )
 
 

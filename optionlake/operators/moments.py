@@ -32,8 +32,12 @@ def _shape(mean: Column, m2: Column, m3: Column, m4: Column) -> tuple[Column, Co
     return var, third / (sd * sd * sd), fourth / (sd * sd * sd * sd)
 
 
-def integrals(smiles: DataFrame, keys: list[str]) -> DataFrame:
-    """Every integral of both routes in one aggregation per smile."""
+def integrals(smiles: DataFrame, keys: list[str], carry: list[str] = ()) -> DataFrame:
+    """Every integral of both routes in one aggregation per smile.
+
+    ``carry`` columns ride along, so nothing has to be joined back. A smile
+    without parameters gets one empty node and NULL integrals.
+    """
     n = dens.SPAN_NODES
     smile = Smile.of()
     nodes = dens.on_grid(dens.with_half_width(smiles), n)
@@ -58,7 +62,7 @@ def integrals(smiles: DataFrame, keys: list[str]) -> DataFrame:
         F.min("_pdf").alias("min_pdf"),
         F.max("_pdf").alias("max_pdf"),
         F.sum(q * strike).alias("implied_forward"),
-        F.first("forward").alias("forward"),
+        *[F.first(c).alias(c) for c in dict.fromkeys(["forward", *carry])],
         *[F.sum(q * F.pow(k, F.lit(p))).alias(f"log_{p}") for p in range(1, 5)],
         *[F.sum(q * F.pow(u, F.lit(p))).alias(f"rel_{p}") for p in range(1, 5)],
         F.sum(-o).alias("span_1"),
@@ -68,7 +72,7 @@ def integrals(smiles: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def moments(smiles: DataFrame, keys: list[str]) -> DataFrame:
+def moments(smiles: DataFrame, keys: list[str], carry: list[str] = ()) -> DataFrame:
     """Density diagnostics and the moments of both routes, one row per smile.
 
     ``bl_*`` are log-space moments of the density, ``bkm_*`` those of the
@@ -76,7 +80,7 @@ def moments(smiles: DataFrame, keys: list[str]) -> DataFrame:
     Density moments are normalised by the measured mass, and are NULL without
     one to normalise by.
     """
-    sums = integrals(smiles, keys)
+    sums = integrals(smiles, keys, carry)
     usable = (F.col("mass") > 0) & ~F.isnan("mass") & (F.col("mass") < float("inf"))
 
     def normed(prefix: str) -> list[Column]:
@@ -87,7 +91,7 @@ def moments(smiles: DataFrame, keys: list[str]) -> DataFrame:
     bkm = _shape(*[F.col(f"span_{p}") for p in range(1, 5)])
     forward = F.col("forward")
     out = sums.select(
-        *keys, "mass", "min_pdf", "max_pdf", "implied_forward",
+        *keys, *carry, "mass", "min_pdf", "max_pdf", "implied_forward",
         log_m[0].alias("bl_mean"), bl[0].alias("bl_variance"), bl[1].alias("bl_skewness"), bl[2].alias("bl_kurtosis"),
         forward.alias("bkm_mean"), bkm[0].alias("bkm_variance"), bkm[1].alias("bkm_skewness"), bkm[2].alias("bkm_kurtosis"),
         (forward * (rel_m[0] + 1.0)).alias("px_mean"), (forward * forward * px[0]).alias("px_variance"),
@@ -111,8 +115,8 @@ def relative_to(frame: DataFrame, keys: list[str], left: str = "bl", right: str
 
 
 def volatility(variance: Column) -> Column:
-    return F.sqrt(F.greatest(variance, F.lit(0.0)))
+    return F.when(variance.isNotNull(), F.sqrt(F.greatest(variance, F.lit(0.0))))
 
 
 def annualised_vol(variance: Column, tenor: Column) -> Column:
-    return F.when(tenor > 0, F.sqrt(F.greatest(variance, F.lit(0.0)) / tenor))
+    return F.when(tenor > 0, volatility(variance) / F.sqrt(tenor))

@@ -36,12 +36,13 @@ PARAMS = T.StructType([T.StructField(n, T.DoubleType()) for n in NAMES])
 
 def curves(prepared: DataFrame) -> DataFrame:
     """One row per (capture, expiry, root) with its distinct points as an array."""
-    quotes = prepared.dropna(subset=["log_moneyness", "total_variance"])
-    good = F.col("total_variance") > 0
+    here = F.col("log_moneyness").isNotNull() & F.col("total_variance").isNotNull()
+    good = F.coalesce(here & (F.col("total_variance") > 0), F.lit(False))
     weight = F.when(good & (F.col("vega") > 0), F.col("vega")).otherwise(0.0)
     vol = F.when(good, F.sqrt("total_variance"))
-    points = quotes.groupBy(*KEY, F.col("log_moneyness").alias("k")).agg(
-        F.count(F.lit(1)).alias("quotes"),
+    # A quote without a variance still leaves its smile a (zero) count.
+    points = prepared.groupBy(*KEY, F.when(here, F.col("log_moneyness")).alias("k")).agg(
+        F.count_if(here).alias("quotes"),
         F.count_if(good).alias("n"),
         F.sum(weight).alias("weight"),
         # The weighted mean drives the fit; plain vol statistics measure it.
@@ -51,7 +52,7 @@ def curves(prepared: DataFrame) -> DataFrame:
         (F.var_pop(vol) * F.count(vol)).alias("vol_ss"),
         F.min(vol).alias("vol_min"),
         F.max(vol).alias("vol_max"),
-        *[F.min(c).alias(c) for c in ("tenor_years", "forward", "discount")],
+        *[F.min(F.when(here, F.col(c))).alias(c) for c in ("tenor_years", "forward", "discount")],
     )
     usable = F.col("n") > 0
     knot = F.struct("k", "n", "weight", "w_weighted", "w_plain", "vol", "vol_ss", "vol_min", "vol_max")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gate
+from ..session import settle
 from ..sources import feed, files, payloads
 from ..sources.archive import GZIP_LEVEL, capture_path, stamp_of
 
@@ -49,12 +50,16 @@ def screen(
 
     Unusable bodies keep their ``error`` and get no verdict.
     """
-    heads = payloads.snapshots(bodies).select(
-        "ticker", "capture_utc", "feed_timestamp", "index_last_trade", "seqno", "spot", "n_options", "error"
+    # A head is a few numbers of a body that took long to read: read it once.
+    heads = settle(
+        payloads.snapshots(bodies).select(
+            "ticker", "capture_utc", "feed_timestamp", "index_last_trade", "seqno", "spot", "n_options", "error"
+        )
     )
-    usable = heads.where("error is null").withColumn("force", F.lit(force))
-    judged = gate.with_detail(gate.judge(usable, seed, max_stale), seed, max_stale)
-    return judged.unionByName(heads.where("error is not null"), allowMissingColumns=True)
+    usable = F.col("error").isNull()
+    judged = gate.judge(heads.withColumn("force", F.lit(force) & usable), seed, max_stale)
+    judged = judged.withColumn("verdict", F.when(usable, F.col("verdict")))
+    return gate.with_detail(judged, seed, max_stale).withColumn("detail", F.when(usable, F.col("detail")))
 
 
 def collect_once(

@@ -60,28 +60,20 @@ def fits(
 ) -> DataFrame:
     """Fitted smiles of curated quotes, inverting implied vols where missing."""
     prepared = quotes if "total_variance" in quotes.columns else inversion.prepare(quotes)
-    # A smile whose every vol failed to invert still gets its row.
-    every = prepared.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
-    fitted = smile.fit(smile.curves(prepared), penalty, thresholds.min_quotes, solver=solver)
-    none = F.lit(f"only 0 usable quotes, need {thresholds.min_quotes}")
-    absent = F.col("n_quotes").isNull()
-    return every.join(fitted, KEY, "left").withColumns(
-        {
-            "excluded": F.when(absent, none).otherwise(F.col("excluded")),
-            "n_quotes": F.coalesce("n_quotes", F.lit(0)),
-        }
-    )
+    return smile.fit(smile.curves(prepared), penalty, thresholds.min_quotes, solver=solver)
 
 
 def judge(fitted: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """Attach moments, the verdict and its reasons to fitted smiles."""
-    usable = fitted.where("excluded is null")
-    measured = moments(usable, KEY)
-    joined = fitted.join(measured, KEY, "left").withColumn(
+    """Attach moments, the verdict and its reasons to fitted smiles.
+
+    One pass: fits are costly, so they are never read twice for a join.
+    """
+    carried = [c for c in fitted.columns if c not in KEY]
+    measured = moments(fitted, KEY, carried).withColumn(
         "forward_error", F.try_divide("implied_forward", "forward") - 1.0
     )
     estimated = F.col("excluded").isNull()
-    return joined.withColumns(
+    return measured.withColumns(
         {
             "failures": F.when(estimated, _failures(thresholds)).otherwise(""),
             "days": F.col("tenor_years") * 365.0,

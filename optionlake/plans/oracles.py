@@ -75,19 +75,22 @@ _MARKET = f"""
   {tape.SPOT} + (cap % 17)*0.25 AS underlying_price, week*7.0::DOUBLE + 0.25 AS days,
   ({tape.SPOT} + (cap % 17)*0.25 + week*4.0 + CASE WHEN root = 'SPXW' THEN 0.5 ELSE 0.0 END)::DOUBLE AS f0,
   (CASE WHEN week = 6 AND root = 'SPX' THEN 0.95 ELSE 1.0::DOUBLE - week*0.0008::DOUBLE END)::DOUBLE AS d0"""
-MODEL = f"""{CELLS},
+VOLS = f"""{CELLS},
 grid AS (SELECT *, {_MARKET}, (7000.0 + 25*slot)::DOUBLE AS strike FROM cells
          WHERE NOT (week = 7 AND root = 'SPX' AND slot % 10 <> 0)),
 shaped AS (SELECT *, days/{tape.SMILE_DAYS}::DOUBLE AS scale, ln(strike/f0) AS k0, CAST(n AS BIGINT) AS nn FROM grid),
 vols AS (SELECT *, scale*({tape.A}::DOUBLE + {tape.B}::DOUBLE*({tape.RHO}::DOUBLE*(k0-{tape.M}::DOUBLE)
-         + sqrt((k0-{tape.M}::DOUBLE)*(k0-{tape.M}::DOUBLE)+{tape.SIGMA ** 2!r}::DOUBLE))) AS w0 FROM shaped),
+         + sqrt((k0-{tape.M}::DOUBLE)*(k0-{tape.M}::DOUBLE)+{tape.SIGMA ** 2!r}::DOUBLE))) AS w0 FROM shaped)"""
+MODEL = f"""{VOLS},
 ds AS (SELECT *, sqrt(w0) AS v, (-k0 + w0/2)/sqrt(w0) AS d1,
        CASE WHEN option_right = 'call' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side FROM vols),
 model AS (SELECT *, d0*side*(f0*{cdf('side*d1')} - strike*{cdf('side*(d1-v)')}) AS model FROM ds)"""
-QUOTES = f"""{MODEL},
+QUOTES = f"""{VOLS},
+logistic AS (SELECT *, d0*width*ln(1 + exp((CASE WHEN option_right = 'call' THEN f0-strike ELSE strike-f0 END)/width)) AS model
+         FROM (SELECT *, sqrt(days)*{tape.SPOT}::DOUBLE*{tape.WIDTH}::DOUBLE AS width FROM vols)),
 priced AS (SELECT *, model + 0.00123457 + ((h // 7) % 5 - 2)*0.01
            + CASE WHEN week = 5 AND root = 'SPX' THEN (h % 601)::DOUBLE ELSE 0.0 END AS middle,
-           (h % 4 + 1)*0.05 + model*0.002 AS half FROM model),
+           (h % 4 + 1)*0.05 + model*0.002 AS half FROM logistic),
 book AS (SELECT *, greatest(CAST(floor((middle-half)*100.0+0.5) AS BIGINT), 0)/100.0::DOUBLE AS low,
          greatest(CAST(floor((middle+half)*100.0+0.5) AS BIGINT), 1)/100.0::DOUBLE AS high FROM priced),
 quotes AS (SELECT capture_utc, strftime(capture_utc, '%Y-%m-%d %H:%M:%S') AS feed_timestamp,
@@ -278,7 +281,7 @@ ORACLES: dict[str, str] = {
     "payload_errors": q(_BODIES, f"SELECT {text('capture_utc', 'capture')}, '_SPX_' || {_STAMPED.format(x='capture_utc')} AS stem, CASE WHEN error IS NULL THEN n_all - bad END AS rows, CASE WHEN error IS NULL THEN bad END AS unparsed, error FROM judged"),
     "backfill_totals": q(_BODIES, "SELECT count(*) FILTER (error IS NULL) AS written, count(*) FILTER (error IS NOT NULL) AS failed, CAST(sum(n_all - bad) FILTER (error IS NULL) AS BIGINT) AS rows, CAST(sum(bad) FILTER (error IS NULL) AS BIGINT) AS unparsed FROM judged"),
     "capture_meta": q(_BODIES, f"SELECT {text('capture_utc', 'capture')}, '_SPX' AS ticker, 1000000 + cap AS seqno, underlying_price AS spot, underlying_price - 1.0 AS prev_day_close, CAST(NULL AS DOUBLE) AS iv30 FROM judged WHERE error IS NULL"),
-    "body_screening": q(_BODIES, f"SELECT {text('capture_utc', 'capture')}, CASE WHEN error IS NULL THEN 'accept' END AS verdict, CASE WHEN error IS NULL THEN 15.0 END AS age_minutes, n_all AS n_options, error FROM judged"),
+    "body_screening": q(_BODIES, f"SELECT {text('capture_utc', 'capture')}, CASE WHEN error IS NULL THEN 'accept' END AS verdict, CASE WHEN error IS NULL THEN 15.0::DOUBLE END AS age_minutes, n_all AS n_options, error FROM judged"),
     "freshness_verdicts": q(_ATTEMPTS, f"SELECT event_id, ticker, print, last_print, {rnd('age', 4, 'age_minutes')}, verdict FROM verdicts"),
     "verdict_counts": q(_ATTEMPTS, "SELECT ticker, verdict, count(*) AS n FROM verdicts GROUP BY ticker, verdict"),
     "health_record": """WITH o AS (SELECT event_type AS ticker, ts, event_id, event_id % 9 AS kind FROM events WHERE event_id % 9 <> 8),
@@ -301,10 +304,10 @@ ORACLES: dict[str, str] = {
         knots AS (SELECT {KEY}, k0 AS k, avg(w0*(1+(h % 11 - 5)/50.0)) AS w, min(days/365.0) AS tenor FROM quotes GROUP BY capture_utc, expiry, root, k0),
         curves AS (SELECT {KEY}, min(k) AS lo, max(k) AS hi, min(tenor) AS tenor FROM knots GROUP BY ALL HAVING count(*) >= 4),
         pairs AS (SELECT *, lead(expiry) OVER o AS far, lead(lo) OVER o AS lo2, lead(hi) OVER o AS hi2 FROM curves WINDOW o AS (PARTITION BY capture_utc, root ORDER BY tenor)),
-        grid AS (SELECT capture_utc, root, expiry AS near, far, i, CASE WHEN i = 40 THEN least(hi, hi2) ELSE greatest(lo, lo2) + i*((least(hi, hi2)-greatest(lo, lo2))/40) END AS g
+        shared AS (SELECT capture_utc, root, expiry AS near, far, i, CASE WHEN i = 40 THEN least(hi, hi2) ELSE greatest(lo, lo2) + i*((least(hi, hi2)-greatest(lo, lo2))/40) END AS g
                  FROM pairs, range(0, 41) t(i) WHERE far IS NOT NULL AND least(hi, hi2) > greatest(lo, lo2)),
         pieces AS (SELECT *, lead(k) OVER o AS k2, lead(w) OVER o AS w2, lead(k, 2) OVER o IS NULL AS final FROM knots WINDOW o AS (PARTITION BY {KEY} ORDER BY k)),
-        a AS (SELECT g.*, p.w + (g - k)/(k2 - k)*(w2 - w) AS wa FROM grid g JOIN pieces p ON p.capture_utc = g.capture_utc AND p.root = g.root AND p.expiry = g.near AND k2 IS NOT NULL AND g >= k AND (g < k2 OR (final AND g = k2))),
+        a AS (SELECT g.*, p.w + (g - k)/(k2 - k)*(w2 - w) AS wa FROM shared g JOIN pieces p ON p.capture_utc = g.capture_utc AND p.root = g.root AND p.expiry = g.near AND k2 IS NOT NULL AND g >= k AND (g < k2 OR (final AND g = k2))),
         ab AS (SELECT a.*, p.w + (g - k)/(k2 - k)*(w2 - w) AS wb FROM a JOIN pieces p ON p.capture_utc = a.capture_utc AND p.root = a.root AND p.expiry = a.far AND k2 IS NOT NULL AND g >= k AND (g < k2 OR (final AND g = k2))),
         worst AS (SELECT *, row_number() OVER (PARTITION BY capture_utc, root, near ORDER BY wa - wb DESC, i) AS r FROM ab)""",
         f"SELECT {text('capture_utc', 'capture')}, far AS expiry, root, 'calendar' AS kind, {rnd('g', 8, 'at')}, {rnd('wa - wb', 9, 'magnitude')}, {rnd('(wa - wb)/greatest(wa, 1e-12)', 7, 'relative')}, false AS executable FROM worst WHERE r = 1 AND wa - wb > 1e-6"),

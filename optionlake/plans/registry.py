@@ -17,7 +17,7 @@ from ..operators import arbitrage as arb
 from ..operators import density, gate, health, inversion, moments, quality, reconcile, smile
 from ..operators import forwards as fwd
 from ..schema import KEY
-from ..session import tune
+from ..session import settle, tune
 from ..sources import archive, curated, payloads
 from . import collect, curate, estimate, tape
 
@@ -553,5 +553,5 @@ def estimate_summary(spark, sf):
 @query
 def full_arbitrage_report(spark, sf):
     """All three conditions on curated chains with inverted volatilities."""
-    prepared = inversion.prepare(curate.build(tape.quotes(spark, sf)).quotes)
+    prepared = settle(inversion.prepare(curate.build(tape.quotes(spark, sf)).quotes))
     return arb.report(prepared).withColumn("capture_utc", when_text())

@@ -29,6 +29,7 @@ TICKER = "_SPX"
 # The equity smile every chain is priced from, scaled by time from 38 days.
 A, B, RHO, M, SIGMA = 0.002, 0.04, -0.7, 0.02, 0.15
 SMILE_DAYS = 38.0
+WIDTH = 0.0055  # logistic scale per root day, near 20 % annual volatility
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,29 +92,34 @@ def smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def model_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contracts with their exact model price: no noise, no rounding."""
-    strike = (F.col("slot") * STRIKE_STEP + LOW_STRIKE).cast("double")
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts with strike, forward, discount and the variance of the known smile."""
     kept = ~((F.col("week") == 7) & (F.col("root") == "SPX") & (F.col("slot") % 10 != 0))
-    priced = _market(cells(spark, sf_dir).where(kept)).withColumn("strike", strike)
-    base = Smile(A, B, RHO, M, SIGMA)
-    priced = priced.withColumn("k0", F.ln(F.col("strike") / F.col("f0"))).withColumn(
-        "w0", F.col("scale") * base.total_variance(F.col("k0"))
-    )
-    priced = black76.with_price(
-        priced, "model", F.col("f0"), F.col("strike"), F.sqrt("w0"), F.col("d0"), F.col("option_right")
-    )
-    # Same keys as the aggregation in `cells`, so no exchange: it only keeps a
-    # filter on a price from being pushed into, and multiplied by, its formula.
-    keys = ["cap", "week", "root", "option_right", "slot"]
-    return priced.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in priced.columns if c not in keys]
+    strike = (F.col("slot") * STRIKE_STEP + LOW_STRIKE).cast("double")
+    rows = _market(cells(spark, sf_dir).where(kept)).withColumn("strike", strike)
+    known = F.expr(f"{A}D + {B}D*({RHO}D*(k0 - {M}D) + sqrt((k0 - {M}D)*(k0 - {M}D) + {SIGMA * SIGMA!r}D))")
+    return rows.withColumn("k0", F.ln(F.col("strike") / F.col("f0"))).withColumn("w0", F.col("scale") * known)
+
+
+def model_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts with their exact Black-76 price: no noise, no rounding."""
+    return black76.with_price(
+        contracts(spark, sf_dir), "model", F.col("f0"), F.col("strike"), F.sqrt("w0"), F.col("d0"),
+        F.col("option_right"),
     )
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curated-style quotes: model prices with spreads, noise and broken books."""
+    """Curated-style quotes: prices with spreads, noise and broken books.
+
+    Prices are those of a logistic terminal distribution, which obeys parity, is
+    free of arbitrage and has a smile of its own, in a formula of one line.
+    """
     h = F.col("h")
+    priced = contracts(spark, sf_dir).withColumn("width", F.sqrt("days") * SPOT * WIDTH).withColumn(
+        "model",
+        F.expr("d0 * width * ln(1D + exp((CASE WHEN option_right = 'call' THEN f0 - strike ELSE strike - f0 END) / width))"),
+    )
     noisy = (F.col("week") == 5) & (F.col("root") == "SPX")
     middle = (
         F.col("model") + 0.00123457 + (F.floor(h / 7) % 5 - 2) * 0.01
@@ -132,7 +138,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad((F.col("strike") * 1000).cast("bigint").cast("string"), 8, "0"),
     )
     instant = F.col("capture_utc")
-    return model_quotes(spark, sf_dir).select(
+    return priced.select(
         "capture_utc",
         F.date_format(instant, "yyyy-MM-dd HH:mm:ss").alias("feed_timestamp"),
         (instant - F.expr("interval 15 minutes")).alias("index_last_trade"),

@@ -8,7 +8,9 @@ and coalescing small ones.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,3 +38,20 @@ def get_spark(master: str | None = None, app: str = "optionlake", **conf) -> Spa
     for key, value in {**RUNTIME, **conf}.items():
         builder = builder.config(key, str(value))
     return tune(builder.getOrCreate())
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a frame once that several parts of a plan read, and cut its lineage.
+
+    Goes to the shared folder of ``spark.checkpoint.dir``, so a lost executor
+    costs nothing; only a local master may fall back on a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
+            folder = tempfile.mkdtemp(prefix="optionlake-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -45,7 +45,7 @@ def table_rows(bodies: DataFrame, run: str) -> DataFrame:
     exploded = snaps.select(
         "ticker", "stem", "error", "capture_utc", "feed_timestamp", "index_last_trade", "seqno",
         F.col("ticker").alias("underlying_ticker"), F.col("spot").alias("underlying_price"),
-        F.explode(F.when(good, F.concat(own, each)).otherwise(own)).alias("_e"),
+        F.explode_outer(F.when(good, F.concat(own, each)).otherwise(own)).alias("_e"),
     ).select("*", F.col("_e.own").alias("own"), F.col("_e.o").alias("_o"))
     parsed = exploded.withColumn(
         "contract", F.when(~F.col("own"), symbols.contract(payloads._text(F.col("_o.option"))))

@@ -24,46 +24,47 @@ def snapshots(bodies: DataFrame) -> DataFrame:
     one requested; the body's own symbol does not round-trip to it.
     """
     data = F.col("_p.data")
-    stamp = _text(data["last_trade_time"])
-    printed = clock.eastern_instant(stamp)
-    spot, seqno = data["current_price"], data["seqno"]
-    shown = F.coalesce(stamp, F.to_json(F.struct(data["last_trade_time"].alias("v"))))
-    error = (
-        F.when(F.col("body").isNull() | F.try_parse_json("body").isNull(), "malformed JSON")
-        .when(~F.ltrim("body").startswith("{"), "payload is not an object")
-        .when(data.isNull(), "payload has no 'data' object")
-        .when(F.coalesce(F.col("_p.timestamp"), F.lit("")) == "", "payload has no top-level 'timestamp'")
-        .when(stamp.isNull(), "empty timestamp")
-        .when(
-            clock.is_aware(stamp),
-            F.concat(F.lit("expected a naive US/Eastern timestamp, got an aware one: '"), shown, F.lit("'")),
-        )
-        .when(printed.isNull(), F.concat(F.lit("unparseable timestamp '"), shown, F.lit("'")))
-        .when(spot.isNull() | F.isnan(spot) | (spot <= 0), F.concat(F.lit("unusable current_price: "), F.coalesce(spot.cast("string"), F.lit("None"))))
-        .when(seqno.isNull(), "unusable seqno")
-        .when(data["options"].isNull(), "payload has no 'options' list")
-    )
-    # Reading a body as text a second time is only paid for when the first read
-    # found something missing.
-    suspect = (
-        data.isNull() | F.col("_p.timestamp").isNull() | stamp.isNull() | printed.isNull()
-        | spot.isNull() | seqno.isNull() | data["options"].isNull() | (spot <= 0)
-        | (F.col("_p.timestamp") == "") | F.isnan(spot)
-    )
-    return (
+    read = (
         bodies.withColumn("_p", F.from_json("body", PAYLOAD))
-        .withColumn("error", F.when(F.coalesce(suspect, F.lit(True)), error))
         .withColumns(
             {
                 "feed_timestamp": F.col("_p.timestamp"),
-                "index_last_trade": printed,
-                "seqno": seqno,
-                "spot": spot,
+                "_stamp": _text(data["last_trade_time"]),
+                "seqno": data["seqno"],
+                "spot": data["current_price"],
                 "options": data["options"],
-                "n_options": F.coalesce(F.size(data["options"]), F.lit(0)),
             }
         )
+        .withColumn("index_last_trade", clock.eastern_instant(F.col("_stamp")))
+    )
+    stamp, spot = F.col("_stamp"), F.col("spot")
+    quoted = F.concat(F.lit("'"), stamp, F.lit("'"))
+    lost = F.col("index_last_trade").isNull()
+    error = (
+        # Only a body without a data object is ever read a second time.
+        F.when(
+            data.isNull(),
+            F.when(F.col("body").isNull() | F.try_parse_json("body").isNull(), "malformed JSON")
+            .when(~F.ltrim("body").startswith("{"), "payload is not an object")
+            .otherwise("payload has no 'data' object"),
+        )
+        .when(F.coalesce("feed_timestamp", F.lit("")) == "", "payload has no top-level 'timestamp'")
+        .when(stamp.isNull(), "empty timestamp")
+        .when(
+            lost & clock.looks_aware(stamp),
+            F.concat(F.lit("expected a naive US/Eastern timestamp, got an aware one: "), quoted),
+        )
+        .when(lost, F.concat(F.lit("unparseable timestamp "), quoted))
+        .when(
+            spot.isNull() | F.isnan(spot) | (spot <= 0),
+            F.concat(F.lit("unusable current_price: "), F.coalesce(spot.cast("string"), F.lit("None"))),
+        )
+        .when(F.col("seqno").isNull(), "unusable seqno")
+        .when(F.col("options").isNull(), "payload has no 'options' list")
     )
+    return read.withColumns(
+        {"error": error, "n_options": F.coalesce(F.size("options"), F.lit(0))}
+    ).drop("_stamp")
 
 
 def capture_meta(snaps: DataFrame) -> DataFrame:
@@ -76,13 +77,15 @@ def capture_meta(snaps: DataFrame) -> DataFrame:
 
 def option_rows(snaps: DataFrame) -> DataFrame:
     """One row per option of every usable snapshot; ``contract`` NULL if unparsed."""
+    # Not a filter before the explode: it would be pushed under the JSON read and
+    # make every body be read twice.
     return (
-        snaps.where("error is null")
-        .select(
+        snaps.select(
             "capture_utc", "feed_timestamp", "index_last_trade", "seqno",
             F.col("ticker").alias("underlying_ticker"), F.col("spot").alias("underlying_price"),
-            F.explode("options").alias("_o"),
+            F.explode_outer(F.when(F.col("error").isNull(), F.col("options"))).alias("_o"),
         )
+        .where("_o is not null")
         .withColumn("contract", symbols.contract(_text(F.col("_o.option"))))
     )
 
