@@ -27,7 +27,7 @@ def _side(right) -> Column:
 
 def d1(forward, strike, total_vol) -> Column:
     """First Black argument; the limit of zero volatility is signed infinity."""
-    log_fk = F.ln(_col(forward) / _col(strike))
+    log_fk = F.ln(F.try_divide(_col(forward), _col(strike)))
     v = F.nanvl(F.coalesce(_col(total_vol), F.lit(0.0)), F.lit(0.0))
     return (
         F.when(v > 0, (log_fk + v * v * 0.5) / v)

@@ -44,15 +44,15 @@ class Smile:
         return _col(self.a) + _col(self.b) * (_col(self.rho) * x + root)
 
     def volatility(self, k: Column, tenor) -> Column:
-        return F.sqrt(F.greatest(self.total_variance(k), F.lit(0.0)) / _col(tenor))
+        return F.sqrt(F.try_divide(F.greatest(self.total_variance(k), F.lit(0.0)), _col(tenor)))
 
     def slope(self, k: Column) -> Column:
         x, root = self._parts(k)
-        return _col(self.b) * (_col(self.rho) + x / root)
+        return _col(self.b) * (_col(self.rho) + F.try_divide(x, root))
 
     def curvature(self, k: Column) -> Column:
         _, root = self._parts(k)
-        return _col(self.b) * _col(self.sigma) * _col(self.sigma) / (root * root * root)
+        return F.try_divide(_col(self.b) * _col(self.sigma) * _col(self.sigma), root * root * root)
 
     def durrleman(self, k: Column) -> Column:
         """Non-negative exactly where the implied density is."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import black76
 from ..functions.quadrature import log_step, simpson_weight
 from ..functions.svi import PDF_FLOOR, Smile
+from ..session import spread
 
 # Grid sizes and the half-width search.
 NODES = 2001
@@ -50,8 +51,9 @@ def half_width(smile: Smile, forward: Column, k_required: Column, tail: float =
     ).otherwise(F.greatest(k_required, F.lit(1.0)))
 
 
-def with_half_width(smiles: DataFrame) -> DataFrame:
-    return smiles.withColumn(
+def with_half_width(smiles: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Add ``half_width``, with the smiles spread over tasks for the grids to come."""
+    return spread(smiles, *keys).withColumn(
         "half_width", half_width(Smile.of(), F.col("forward"), F.coalesce("k_required", F.lit(0.0)))
     )
 
@@ -67,9 +69,9 @@ def on_grid(smiles: DataFrame, nodes: int = NODES) -> DataFrame:
     )
 
 
-def from_smile(smiles: DataFrame, nodes: int = NODES) -> DataFrame:
+def from_smile(smiles: DataFrame, keys: list[str] = (), nodes: int = NODES) -> DataFrame:
     """Closed-form density on the grid."""
-    return on_grid(with_half_width(smiles), nodes).withColumn(
+    return on_grid(with_half_width(smiles, keys), nodes).withColumn(
         "pdf", Smile.of().pdf(F.col("k"), F.col("forward"))
     )
 
@@ -80,7 +82,7 @@ def from_finite_differences(smiles: DataFrame, keys: list[str], nodes: int = NOD
     A window holds one grid (``nodes`` rows), never more. The second difference
     is the one for uneven spacing; end nodes take their neighbour's value.
     """
-    grid = on_grid(with_half_width(smiles), nodes)
+    grid = on_grid(with_half_width(smiles, keys), nodes)
     vol = F.sqrt(F.greatest(Smile.of().total_variance(F.col("k")), F.lit(PDF_FLOOR)))
     priced = black76.with_price(
         grid, "_call", F.col("forward"), F.col("strike"), vol, F.col("discount"), "call"

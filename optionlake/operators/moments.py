@@ -29,7 +29,7 @@ def _shape(mean: Column, m2: Column, m3: Column, m4: Column) -> tuple[Column, Co
     sd = F.sqrt(F.greatest(var, F.lit(_TINY)))
     third = m3 - mean * m2 * 3.0 + mean * mean * mean * 2.0
     fourth = m4 - mean * m3 * 4.0 + mean * mean * m2 * 6.0 - mean * mean * mean * mean * 3.0
-    return var, third / (sd * sd * sd), fourth / (sd * sd * sd * sd)
+    return var, F.try_divide(third, sd * sd * sd), F.try_divide(fourth, sd * sd * sd * sd)
 
 
 def integrals(smiles: DataFrame, keys: list[str], carry: list[str] = ()) -> DataFrame:
@@ -40,7 +40,7 @@ def integrals(smiles: DataFrame, keys: list[str], carry: list[str] = ()) -> Data
     """
     n = dens.SPAN_NODES
     smile = Smile.of()
-    nodes = dens.on_grid(dens.with_half_width(smiles), n)
+    nodes = dens.on_grid(dens.with_half_width(smiles, keys), n)
     k, strike, forward = F.col("k"), F.col("strike"), F.col("forward")
     dense = F.col("i") % 2 == 0
     total_vol = F.sqrt(F.greatest(smile.total_variance(k), F.lit(PDF_FLOOR)))

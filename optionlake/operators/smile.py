@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.svi import Smile
 from ..schema import KEY
+from ..session import spread
 
 # Fit limits, penalty grid and parameter bounds.
 MIN_POINTS = 6
@@ -68,15 +69,17 @@ def curves(prepared: DataFrame) -> DataFrame:
     )
 
 
-def _model(theta: np.ndarray, k: np.ndarray):
+def _model(theta: np.ndarray, k: np.ndarray, jacobian: bool):
     """w, w', w'' over (curve, point) and their derivatives by parameter."""
     a, b, rho, m, s = (theta[:, i : i + 1] for i in range(5))
     x = k - m
     r = np.sqrt(x * x + s * s)
-    one, zero = np.ones_like(x), np.zeros_like(x)
     w = a + b * (rho * x + r)
     dw = b * (rho + x / r)
     d2w = b * s * s / r**3
+    if not jacobian:
+        return (w, dw, d2w), None
+    one, zero = np.ones_like(x), np.zeros_like(x)
     jac_w = np.stack([one, rho * x + r, b * x, -dw, b * s / r], -1)
     jac_dw = np.stack([zero, rho + x / r, b * one, -d2w, -b * x * s / r**3], -1)
     jac_d2w = np.stack(
@@ -85,34 +88,47 @@ def _model(theta: np.ndarray, k: np.ndarray):
     return (w, dw, d2w), (jac_w, jac_dw, jac_d2w)
 
 
-def _residuals(theta, k, w, root_weight, grid, penalty):
+def _residuals(theta, k, w, root_weight, grid, penalty, jacobian=True):
     """Residuals and Jacobian: data, negative density on the grid, wing slope."""
-    (fit, _, _), (jac, _, _) = _model(theta, k)
-    parts, jacs = [root_weight * (fit - w)], [root_weight[..., None] * jac]
+    (fit, _, _), jac = _model(theta, k, jacobian)
+    parts, jacs = [root_weight * (fit - w)], []
+    if jacobian:
+        jacs.append(root_weight[..., None] * jac[0])
     if penalty > 0:
-        (v, dv, d2v), (jv, jdv, jd2v) = _model(theta, grid)
-        jv = np.where((v > 1e-12)[..., None], jv, 0.0)
+        (v, dv, d2v), _ = _model(theta, grid, False)
+        floored = v <= 1e-12
         v = np.maximum(v, 1e-12)
-        lead = 1.0 - grid * dv / (2.0 * v)
-        g = lead**2 - dv**2 / 4.0 * (1.0 / v + 0.25) + d2v / 2.0
-        e = lambda z: z[..., None]
-        jg = (
-            -e(lead * grid / v) * (jdv - e(dv / v) * jv)
-            - e(dv / 2.0 * (1.0 / v + 0.25)) * jdv
-            + e((dv / v) ** 2 / 4.0) * jv
-            + jd2v / 2.0
-        )
+        g = (1.0 - grid * dv / (2.0 * v)) ** 2 - dv**2 / 4.0 * (1.0 / v + 0.25) + d2v / 2.0
         below = g < 0
-        parts.append(np.where(below, g, 0.0) * penalty)
-        jacs.append(np.where(e(below), jg, 0.0) * penalty)
         b, rho = theta[:, 1:2], theta[:, 2:3]
         over = b * (1.0 + np.abs(rho)) - MAX_WING_SLOPE
         size = penalty * WING_PENALTY
-        parts.append(np.maximum(over, 0.0) * size)
-        zero = np.zeros_like(b)
-        slope = np.stack([zero, 1.0 + np.abs(rho), b * np.sign(rho), zero, zero], -1)
-        jacs.append(np.where(e(over > 0), slope, 0.0) * size)
-    return np.concatenate(parts, 1), np.concatenate(jacs, 1)
+        parts += [np.where(below, g, 0.0) * penalty, np.maximum(over, 0.0) * size]
+        if jacobian:
+            jacs.append(_density_jacobian(theta, grid, v, dv, below, floored) * penalty)
+            zero = np.zeros_like(b)
+            slope = np.stack([zero, 1.0 + np.abs(rho), b * np.sign(rho), zero, zero], -1)
+            jacs.append(np.where(over[..., None] > 0, slope, 0.0) * size)
+    return np.concatenate(parts, 1), np.concatenate(jacs, 1) if jacobian else None
+
+
+def _density_jacobian(theta, grid, v, dv, below, floored):
+    """Derivative of the Durrleman function where it is negative, zero elsewhere."""
+    out = np.zeros((*grid.shape, 5))
+    rows = np.flatnonzero(below.any(1))
+    if rows.size:
+        _, (jv, jdv, jd2v) = _model(theta[rows], grid[rows], True)
+        k, v, dv = grid[rows][..., None], v[rows][..., None], dv[rows][..., None]
+        jv = np.where(floored[rows][..., None], 0.0, jv)
+        lead = 1.0 - k * dv / (2.0 * v)
+        jg = (
+            -lead * k / v * (jdv - dv / v * jv)
+            - dv / 2.0 * (1.0 / v + 0.25) * jdv
+            + (dv / v) ** 2 / 4.0 * jv
+            + jd2v / 2.0
+        )
+        out[rows] = np.where(below[rows][..., None], jg, 0.0)
+    return out
 
 
 def _starts(k, w, weight, valid):
@@ -188,7 +204,7 @@ def solve(k, w, weight, penalty: float = PENALTY) -> np.ndarray:
     data = (kk, ww, np.sqrt(wt), grid)
     with np.errstate(all="ignore"):
         starts = _starts(kk, ww, wt, wt > 0)
-        costs = np.stack([np.sum(_residuals(s, *data, penalty)[0] ** 2, 1) for s in starts])
+        costs = np.stack([np.sum(_residuals(s, *data, penalty, jacobian=False)[0] ** 2, 1) for s in starts])
         order = np.argsort(np.where(np.isfinite(costs), costs, np.inf), axis=0)
         stacked = np.stack(starts)
         rows = np.arange(len(kk))
@@ -241,11 +257,6 @@ def fit(
     count: size-based coalescing would put them all into one task. ``solver`` is
     a function of the (k, w, weight) array columns giving a parameter struct.
     """
-    session = curve_rows.sparkSession
-    parts = max(
-        int(session.conf.get("spark.sql.shuffle.partitions")),
-        session.sparkContext.defaultParallelism,
-    )
     span = F.col("k_max") - F.col("k_min")
     before = (
         F.when(F.col("n_quotes") < min_quotes, F.format_string(f"only %d usable quotes, need {min_quotes}", "n_quotes"))
@@ -253,8 +264,8 @@ def fit(
         .when(span <= 0, F.lit("all points at one strike"))
     )
     weighted = F.col("weight_sum") > 0
-    mean_weight = F.col("weight_sum") / F.col("n_points")
-    ready = curve_rows.repartition(parts, *KEY).withColumn("_before", before)
+    mean_weight = F.try_divide("weight_sum", "n_points")
+    ready = spread(curve_rows, *KEY).withColumn("_before", before)
     run = F.col("_before").isNull()
     arrays = [
         F.transform("knots", lambda p: p["k"]),

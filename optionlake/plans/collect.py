@@ -51,9 +51,11 @@ def screen(
     Unusable bodies keep their ``error`` and get no verdict.
     """
     # A head is a few numbers of a body that took long to read: read it once.
+    # An unusable one has no print to compare and must not become the state.
     heads = settle(
         payloads.snapshots(bodies).select(
-            "ticker", "capture_utc", "feed_timestamp", "index_last_trade", "seqno", "spot", "n_options", "error"
+            "ticker", "capture_utc", "feed_timestamp",
+            F.when(F.col("error").isNull(), F.col("index_last_trade")).alias("index_last_trade"), "seqno", "spot", "n_options", "error"
         )
     )
     usable = F.col("error").isNull()

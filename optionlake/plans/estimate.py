@@ -94,7 +94,7 @@ def estimate_all(
 
 def densities(fitted: DataFrame) -> DataFrame:
     """The density of every usable fit, one row per strike node."""
-    return density.from_smile(fitted.where("excluded is null")).select(
+    return density.from_smile(fitted.where("excluded is null"), KEY).select(
         *KEY, "tenor_years", "forward", "discount", "i", "k", "strike", "pdf"
     )
 

@@ -455,7 +455,7 @@ def durrleman_minimum(spark, sf):
 @query
 def density_nodes(spark, sf):
     """Closed-form density of every smile on its own grid, summarised by tenth."""
-    d = density.from_smile(tape.smiles(spark, sf))
+    d = density.from_smile(tape.smiles(spark, sf), KEY)
     return d.groupBy(*KEY, F.floor(F.col("i") / 200).cast("bigint").alias("part")).agg(
         F.sum(F.col("pdf") * F.col("forward")).alias("s"), F.max(F.col("pdf") * F.col("forward")).alias("peak")
     ).select(*smile_key(), "part", rnd("s", 6, "total"), rnd("peak", 6))
@@ -463,7 +463,7 @@ def density_nodes(spark, sf):
 
 @query
 def density_diagnostics(spark, sf):
-    d = density.diagnostics(density.from_smile(tape.smiles(spark, sf)), KEY)
+    d = density.diagnostics(density.from_smile(tape.smiles(spark, sf), KEY), KEY)
     return d.select(*smile_key(), rnd("total_mass", 8), rnd("implied_forward", 4), rnd("max_pdf", 9), "is_proper")
 
 
@@ -475,13 +475,13 @@ def density_by_differences(spark, sf):
 
 @query
 def density_quantiles(spark, sf):
-    d = density.quantiles(density.from_smile(tape.smiles(spark, sf)), KEY, [0.05, 0.25, 0.5, 0.75, 0.95])
+    d = density.quantiles(density.from_smile(tape.smiles(spark, sf), KEY), KEY, [0.05, 0.25, 0.5, 0.75, 0.95])
     return d.select(*smile_key(), "p", rnd("strike", 4))
 
 
 @query
 def second_moment(spark, sf):
-    d = density.moment(density.from_smile(tape.smiles(spark, sf)), KEY, 2)
+    d = density.moment(density.from_smile(tape.smiles(spark, sf), KEY), KEY, 2)
     return d.select(*smile_key(), rnd(F.col("moment") / 1e6, 6, "moment"))
 
 

@@ -19,6 +19,9 @@ RUNTIME = {
     # Split a hot join partition even if the aggregate after it then needs its
     # own exchange: one more exchange of partial rows beats one endless task.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A generated method over 8,000 bytes is never compiled to machine code; let
+    # Spark use its split-up form for the long pricing expressions instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -32,7 +35,10 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def get_spark(master: str | None = None, app: str = "optionlake", **conf) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config(
+        # Recording a call site per expression doubles the time to build a plan.
+        "spark.python.sql.dataFrameDebugging.enabled", "false"
+    )
     if master:
         builder = builder.master(master)
     for key, value in {**RUNTIME, **conf}.items():
@@ -55,3 +61,15 @@ def settle(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="optionlake-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread few rows that each mean much work over all tasks.
+
+    AQE joins partitions by size, and rows of a few bytes would all end up in
+    one task; a partition count given here is left alone. An aggregation by the
+    same keys needs no further exchange.
+    """
+    session = df.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)

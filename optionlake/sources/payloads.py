@@ -69,10 +69,12 @@ def snapshots(bodies: DataFrame) -> DataFrame:
 
 def capture_meta(snaps: DataFrame) -> DataFrame:
     """One row per capture with the index-level fields of its header."""
-    return snaps.where("error is null").select(
+    head = F.struct(
         "ticker", "capture_utc", "feed_timestamp", "index_last_trade", "seqno", "spot",
         *[F.col("_p.data")[name].alias(name) for name in META_FIELDS],
     )
+    usable = F.array(F.when(F.col("error").isNull(), head))
+    return snaps.select(F.inline_outer(usable)).where("ticker is not null")
 
 
 def option_rows(snaps: DataFrame) -> DataFrame:
