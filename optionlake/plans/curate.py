@@ -80,6 +80,12 @@ class CuratedChain:
         )
 
 
+def add_mid(quotes: DataFrame) -> DataFrame:
+    return quality.missing_as_null(quotes, "bid", "ask", "iv").withColumn(
+        "mid", (F.col("bid") + F.col("ask")) / 2.0
+    )
+
+
 def build(
     quotes: DataFrame,
     filters: quality.Filters = quality.STRICT,
@@ -87,10 +93,9 @@ def build(
     min_r2: float = fwd.MIN_R2,
 ) -> CuratedChain:
     """Curate quotes that carry the key, contract, bid, ask and iv columns."""
-    with_mid = quality.missing_as_null(quotes, "bid", "ask", "iv").withColumn(
-        "mid", (F.col("bid") + F.col("ask")) / 2.0
-    )
-    forwards = fwd.fit_forwards(with_mid, min_pairs, min_r2)
+    with_mid = add_mid(quotes)
+    # On the stored column first: that comparison reaches the Parquet scan.
+    forwards = fwd.fit_forwards(add_mid(quotes.where("bid > 0")), min_pairs, min_r2)
     # No broadcast hint: AQE broadcasts the forwards when their measured size is
     # small, and splits hot partitions of the quotes when it is not.
     attached = with_mid.join(

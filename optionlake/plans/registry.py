@@ -57,7 +57,7 @@ def smile_key() -> list:
 
 @query
 def forward_curve(spark, sf):
-    fits = fwd.fit_forwards(quality.missing_as_null(tape.quotes(spark, sf), "bid", "ask").withColumn("mid", (F.col("bid") + F.col("ask")) / 2.0))
+    fits = fwd.fit_forwards(curate.add_mid(tape.quotes(spark, sf).where("bid > 0")))
     return fits.select(
         *smile_key(), rnd("tenor_years", 10), rnd("forward", 6), rnd("discount", 8), rnd("rate", 7),
         count("n_pairs", "n_pairs"), rnd("r2", 8), "excluded", "usable",

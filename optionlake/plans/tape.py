@@ -132,23 +132,35 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     low, high = cents(middle - half, 0), cents(middle + half, 1)
     crossed = h % 97 == 0
+    keys = ["cap", "week", "root", "option_right", "slot"]
+    # Same keys as the aggregation in `cells`, so no exchange. It makes the book
+    # a value: filters on it stop here instead of repeating its formula, as they
+    # would stop at the scan of a stored table.
+    book = (
+        priced.withColumns(
+            {
+                "bid": F.when(h % 211 != 0, F.when(crossed, high).otherwise(low)),
+                "ask": F.when(h % 223 != 0, F.when(h % 193 == 0, 0.0).when(crossed, low).otherwise(high)),
+                "iv": F.when(h % 13 == 0, 0.0).otherwise(F.sqrt(F.col("w0") / (F.col("days") / 365.0))),
+            }
+        )
+        .groupBy(*keys)
+        .agg(*[F.first(c).alias(c) for c in ("h", "n", "bid", "ask", "iv", "model", "strike", "k0", "w0")])
+    )
     symbol = F.concat(
         "root", F.date_format("expiry", "yyMMdd"),
         F.when(F.col("option_right") == "call", "C").otherwise("P"),
         F.lpad((F.col("strike") * 1000).cast("bigint").cast("string"), 8, "0"),
     )
     instant = F.col("capture_utc")
-    return priced.select(
+    return _market(book).select(
         "capture_utc",
         F.date_format(instant, "yyyy-MM-dd HH:mm:ss").alias("feed_timestamp"),
         (instant - F.expr("interval 15 minutes")).alias("index_last_trade"),
         (F.lit(1_000_000) + F.col("cap")).alias("seqno"),
         F.lit(TICKER).alias("underlying_ticker"),
         "underlying_price",
-        symbol.alias("option_symbol"), "root", "option_right", "expiry", "strike",
-        F.when(h % 211 != 0, F.when(crossed, high).otherwise(low)).alias("bid"),
-        F.when(h % 223 != 0, F.when(h % 193 == 0, 0.0).when(crossed, low).otherwise(high)).alias("ask"),
-        F.when(h % 13 == 0, 0.0).otherwise(F.sqrt(F.col("w0") / (F.col("days") / 365.0))).alias("iv"),
+        symbol.alias("option_symbol"), "root", "option_right", "expiry", "strike", "bid", "ask", "iv",
         F.col("model").alias("theo"),
         F.lit(None).cast("double").alias("delta"),
         (h % 1000).cast("double").alias("open_interest"),
