@@ -143,7 +143,7 @@ def accepted(judged: DataFrame) -> DataFrame:
     return judged.where(F.col("verdict").isin(*ACCEPTED))
 
 
-def duplicates_of(captures: DataFrame, band_seconds: int = BAND_SECONDS) -> DataFrame:
+def duplicates_of(captures: DataFrame) -> DataFrame:
     """Archive repair: each capture that repeats a print, with the first to carry it."""
     first = captures.groupBy("ticker", "index_last_trade").agg(
         F.min("capture_utc").alias("duplicate_of")

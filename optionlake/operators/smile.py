@@ -37,9 +37,11 @@ PARAMS = T.StructType([T.StructField(n, T.DoubleType()) for n in NAMES])
 
 def curves(prepared: DataFrame) -> DataFrame:
     """One row per (capture, expiry, root) with its distinct points as an array."""
-    here = F.col("log_moneyness").isNotNull() & F.col("total_variance").isNotNull()
-    good = F.coalesce(here & (F.col("total_variance") > 0), F.lit(False))
-    weight = F.when(good & (F.col("vega") > 0), F.col("vega")).otherwise(0.0)
+    finite = F.lit(float("inf"))  # NaN sorts above it
+    k, w = F.col("log_moneyness"), F.col("total_variance")
+    here = k.isNotNull() & w.isNotNull() & ~F.isnan(k) & ~F.isnan(w)
+    good = F.coalesce(here & (w > 0) & (w < finite) & (F.abs(k) < finite), F.lit(False))
+    weight = F.when(good & (F.col("vega") > 0) & (F.col("vega") < finite), F.col("vega")).otherwise(0.0)
     vol = F.when(good, F.sqrt("total_variance"))
     # A quote without a variance still leaves its smile a (zero) count.
     points = prepared.groupBy(*KEY, F.when(here, F.col("log_moneyness")).alias("k")).agg(

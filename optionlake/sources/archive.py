@@ -25,7 +25,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import symbols
 from ..operators import reconcile
-from .files import write_atomic
 
 FORMAT = "capture_files"
 LISTING = "name string, path string, size bigint"
@@ -34,11 +33,7 @@ GZIP_LEVEL = 6
 
 # Leading comment of a checksum manifest.
 MANIFEST_HEADER = """\
-# Integrity manifest for the raw capture archive.
-#
-# Captures cannot be fetched again: a lost or corrupted one is gone.
-#
-# Check with:  shasum -a 256 -c <this file>
+# SHA-256 of every raw capture. Check with:  shasum -a 256 -c <this file>
 """
 
 
@@ -171,14 +166,25 @@ def digests(captures: DataFrame) -> DataFrame:
 
 
 def write_manifest(spark: SparkSession, raw_dir: str, manifest: Path) -> int:
-    """A ``shasum -c`` manifest over the archive; returns how many captures."""
-    lines = [
-        f"{r.digest}  {r.name}\n"
-        for r in oldest_first(digests(scan(spark, raw_dir))).toLocalIterator()
-    ]
-    head = f"{MANIFEST_HEADER}# {len(lines)} captures\n#\n"
-    write_atomic(Path(manifest), (head + "".join(lines)).encode())
-    return len(lines)
+    """A ``shasum -c`` manifest over the archive; returns how many captures.
+
+    Lines stream through the driver a partition at a time into a draft that
+    replaces the manifest once it is whole.
+    """
+    manifest = Path(manifest)
+    manifest.parent.mkdir(parents=True, exist_ok=True)
+    draft, count = manifest.parent / f"{manifest.name}.{os.getpid()}.tmp", 0
+    try:
+        with draft.open("w") as out:
+            out.write(MANIFEST_HEADER)
+            for row in oldest_first(digests(scan(spark, raw_dir))).toLocalIterator():
+                out.write(f"{row.digest}  {row.name}\n")
+                count += 1
+            out.write(f"# {count} captures\n")
+        draft.replace(manifest)
+    finally:
+        draft.unlink(missing_ok=True)
+    return count
 
 
 def manifest_entries(lines: DataFrame) -> DataFrame:
