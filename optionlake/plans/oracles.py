@@ -359,4 +359,5 @@ ORACLES: dict[str, str] = {
         f"""SELECT {text('z.capture_utc', 'capture')}, z.expiry, z.root, n AS n_quotes, {rnd('days', 4, 'days')}, {rnd('CASE WHEN excluded IS NULL THEN mass END', 5, 'mass')},
         {rnd('CASE WHEN excluded IS NULL THEN sqrt(var/(days/365.0)) END', 5, 'annualised_vol')}, {rnd('CASE WHEN excluded IS NULL THEN skew END', 3, 'skewness')}, {rnd('CASE WHEN excluded IS NULL THEN kurt END', 2, 'kurtosis')},
         excluded IS NULL AS trustworthy, '' AS failures, excluded FROM sizes z JOIN shape s ON s.capture_utc = z.capture_utc AND s.expiry = z.expiry AND s.root = z.root"""),
+    "estimate_verdicts": q(FLAGGED, f"SELECT {SMILE}, count(*) AS n_quotes, count(*) >= 8 AS trustworthy, '' AS failures, CASE WHEN count(*) < 8 THEN printf('only %d usable quotes, need 8', count(*)) END AS excluded FROM kept GROUP BY {KEY}"),
 }

@@ -544,6 +544,13 @@ def expiry_estimates(spark, sf):
     return estimate.estimate_all(curate.build(tape.quotes(spark, sf)).quotes).withColumn("capture_utc", when_text())
 
 
+@query
+def estimate_verdicts(spark, sf):
+    """Verdicts on noisy quotes: the chains are clean, so enough quotes means trust."""
+    e = estimate.estimate_all(curate.build(tape.quotes(spark, sf)).quotes)
+    return e.select(*smile_key(), count("n_quotes", "n_quotes"), "trustworthy", "failures", "excluded")
+
+
 @query
 def estimate_summary(spark, sf):
     e = estimate.estimate_all(curate.build(tape.quotes(spark, sf)).quotes)
