@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bpe, decontam
+from . import bpe, decontam, jaccard
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def query(run):
     return tuned
 
 
+@query
+def op2_jaccard(spark, sf):
+    return jaccard.label(table(spark, sf, "documents"))
+
+
 @query
 def op5_bpe(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
