@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bpe, decontam, jaccard
+from . import bpe, decontam, jaccard, quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def query(run):
     return tuned
 
 
+@query
+def op1_quality(spark, sf):
+    return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op2_jaccard(spark, sf):
     return jaccard.label(table(spark, sf, "documents"))
