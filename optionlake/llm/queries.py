@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe, decontam, jaccard, quality
+from . import bpe, decontam, jaccard, quality, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,12 @@ def op2_jaccard(spark, sf):
     return jaccard.label(table(spark, sf, "documents"))
 
 
+@query
+def op4_secrets(spark, sf):
+    """Owners are the sources, repositories the languages of a source."""
+    return secrets.scan(table(spark, sf, "documents"), F.concat_ws("/", "source", "lang"), F.col("source"))
+
+
 @query
 def op5_bpe(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
