@@ -5,23 +5,45 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from optionlake.llm import bpe, decontam
+from optionlake.llm import bpe, decontam, jaccard, quality, secrets
 from optionlake.llm.common import table, work_folder
 from optionlake.session import tune
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, learned from ``labels``, predicts to be good."""
+    return quality.accepted(docs, table(tune(spark), sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least doc_id."""
+    return jaccard.keep_first(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontam.clean(docs, table(tune(spark), sf_dir, "benchmark"))
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a credential that looks live."""
+    return secrets.withhold_live(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
 
 
-def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document left, with the digest of the text they decode to."""
     return bpe.round_trip(docs, bpe.tokenizer_path("byte_bpe_50k.json"), with_ids=True)
 
 
-STAGES = [("benchmark decontamination", decontaminate), ("BPE encoding", tokenize)]
+STAGES = [
+    ("quality classifier", good),
+    ("n-gram Jaccard join", distinct),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", harmless),
+    ("BPE encoding and decoding", tokens),
+]
 
 #: A learned stage is not expressible in SQL; the tests hold the pipeline against a plain version.
 ORACLE_SQL = None
