@@ -26,3 +26,39 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def _license_sql() -> str:
+    """Every line against every template, and every phrase at every word."""
+    from .licenses import PHRASES, TEMPLATES
+
+    templates = ", ".join(f"('{label}', {number}, '{text}')" for number, (label, text) in enumerate(TEMPLATES))
+    phrases = ", ".join(f"('{label}', string_split('{text}', ' '))" for text, label in PHRASES)
+    words = lambda t: (
+        f"list_filter(string_split_regex(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+    )
+    return f"""
+WITH t AS (SELECT label, number, list_distinct(string_split(words, ' ')) AS w FROM (VALUES {templates}) v(label, number, words)),
+p AS (SELECT * FROM (VALUES {phrases}) v(label, w)),
+d AS (SELECT doc_id, coalesce(text, '') AS text, {words("coalesce(text, '')")} AS w FROM documents),
+places AS (
+    SELECT doc_id, label, i - 1 AS spot FROM (SELECT doc_id, d.w AS dw, p.w AS pw, label, unnest(range(1, len(d.w) + 1)) AS i FROM d, p WHERE len(list_intersect(d.w, p.w)) = len(p.w))
+    WHERE dw[i : i + len(pw) - 1] = pw),
+base AS (
+    SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list_sort(list(DISTINCT label)) AS labels
+    FROM places GROUP BY doc_id),
+lines AS (SELECT doc_id, list_distinct({words("line")}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+held AS (
+    SELECT doc_id, label, len(list_intersect(lines.w, t.w)) / len(t.w) AS share FROM lines, t
+    WHERE 1000 * len(list_intersect(lines.w, t.w)) >= 800 * len(t.w)),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best FROM held GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+    coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+
+ORACLES["op6_licenses"] = _license_sql()
