@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe, decontam, jaccard, licenses, quality, secrets
+from . import bpe, decontam, fingerprints, jaccard, licenses, quality, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op6_licenses(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
 
 
+@query
+def op9_fingerprints(spark, sf):
+    return fingerprints.compare(table(spark, sf, "documents"))
+
+
 @query
 def op10_decontamination(spark, sf):
     return decontam.mark(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
