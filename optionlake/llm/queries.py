@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe, decontam, fingerprints, jaccard, licenses, quality, repair, secrets
+from . import bpe, decontam, fingerprints, jaccard, langid, licenses, quality, repair, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op7_token_files(spark, sf):
     return repair.listed(repair.write(table(spark, sf, "documents"), bpe.tokenizer_path("word_bpe_49k.json")))
 
 
+@query
+def op8_language(spark, sf):
+    return langid.identify(table(spark, sf, "documents"))
+
+
 @query
 def op9_fingerprints(spark, sf):
     return fingerprints.compare(table(spark, sf, "documents"))
