@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe, decontam, fingerprints, jaccard, langid, licenses, quality, repair, secrets
+from . import bpe, decontam, fingerprints, jaccard, langid, licenses, pii, quality, repair, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op2_jaccard(spark, sf):
     return jaccard.label(table(spark, sf, "documents"))
 
 
+@query
+def op3_pii(spark, sf):
+    """The key is a parameter of the run; this one is for comparison only."""
+    return pii.pseudonymize(table(spark, sf, "documents"), key="a key for comparison")
+
+
 @query
 def op4_secrets(spark, sf):
     """Owners are the sources, repositories the languages of a source."""
