@@ -113,33 +113,41 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.buffer = bytearray()
+        self.buffer = b""
         self.last = [-1]  # last token of the encoding of buffer[:k], by k; at 0 what was emitted before
         self.wait = 2 * (merges.lookahead + merges.longest)
 
     def feed(self, chunk: bytes) -> list[int]:
         out: list[int] = []
-        suffix, follows = self.merges.suffix, self.merges.follows
-        for b in chunk:
-            self.buffer.append(b)
-            end, k, found = len(self.buffer), 1, []
-            while k <= end:
-                token = suffix.get(bytes(self.buffer[end - k : end]))
+        for k in range(0, len(chunk), self.wait):
+            self._extend(chunk[k : k + self.wait])
+            if len(self.buffer) >= self.wait:
+                out += self._emit()
+        return out
+
+    def _extend(self, chunk: bytes) -> None:
+        suffix, known, follows = self.merges.suffix.get, self.merges._follows.get, self.merges.follows
+        data, last = self.buffer + chunk, self.last
+        for end in range(len(self.buffer) + 1, len(data) + 1):
+            start = end - 1
+            while start >= 0:
+                token = suffix(data[start:end])
                 if token is None:
                     break
                 if token >= 0:
-                    found.append((k, token))
-                k += 1
-            for k, token in reversed(found):  # at most one of them passes
-                before = self.last[end - k]
-                if (before >= 0 and follows(before, token)) or (before == -1):
-                    self.last.append(token)
-                    break
+                    before = last[start]
+                    if before < 0:
+                        if before == -1:
+                            break
+                    else:
+                        fits = known(before << 32 | token)
+                        if fits or (fits is None and follows(before, token)):
+                            break  # the only token that can end here
+                start -= 1
             else:
-                self.last.append(-2)  # no encoding ends here; cannot happen with all 256 bytes in the vocabulary
-            if end >= self.wait:
-                out += self._emit()
-        return out
+                token = None
+            last.append(-2 if token is None else token)
+        self.buffer = data
 
     def _chain(self, end: int) -> list[int]:
         cuts = [end]
@@ -158,14 +166,13 @@ class Transducer:
         if not stable:
             return []
         out = [self.last[c] for c in self._chain(stable)[1:]]
-        del self.buffer[:stable]
+        self.buffer = self.buffer[stable:]
         self.last = [self.last[stable], *self.last[stable + 1 :]]
         return out
 
     def finish(self) -> list[int]:
         out = [self.last[c] for c in self._chain(len(self.buffer))[1:]]
-        self.buffer.clear()
-        self.last = [-1]
+        self.buffer, self.last = b"", [-1]
         return out
 
 
