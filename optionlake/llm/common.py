@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,18 @@ def alnum_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_ALNUM_TABLE).split()
 
 
+def per_worker(name, make):
+    """What ``make`` gives, made once per Python worker and kept from task to task.
+
+    Functions travel to the workers by value, and their module's variables start
+    anew with each task; the interpreter's own module does not.
+    """
+    kept = sys.__dict__.setdefault("_optionlake_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder every executor shares: spark.checkpoint.dir, or one in the warehouse where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

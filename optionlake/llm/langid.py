@@ -9,21 +9,22 @@ its place in the profile, or the whole profile length where it is missing.
 from __future__ import annotations
 
 import sys
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import per_worker
+
 #: N-grams of a profile; letters of an n-gram; languages a model may have.
 PROFILE, LONGEST, LANGUAGES = 300, 3, 1_000
 
 
-@cache
 def _letters() -> np.ndarray:
     """Per code point whether it is a letter."""
-    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    size = sys.maxunicode + 1
+    return per_worker("letters", lambda: np.fromiter((chr(c).isalpha() for c in range(size)), bool, size))
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -135,11 +136,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; the rest train. Null, empty and letterless texts are ``und``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out()))
+    model = fit(docs, ~held_out())  # bounded, and sent with the function
 
     def run(batches):
         for batch in batches:
-            names, scores = zip(*(model.value.predict(t.as_py()) for t in batch.column("text")), strict=True) if batch.num_rows else ((), ())
+            names, scores = zip(*(model.predict(t.as_py()) for t in batch.column("text")), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, stored
+from .common import parts, per_worker, stored
 
 #: The id appended to each document; ids of a shard; a pair is replaced if it repeats this often; pairs replaced at a time.
 END, SHARD_IDS, REPEATS, AT_ONCE = 1, 1_000_000, 16, 4096
@@ -166,9 +166,6 @@ class Words(dict):
         return np.fromiter(chain.from_iterable(map(self.__getitem__, (text or "").encode().split())), np.uint32)
 
 
-_WORDS: dict[str, Words] = {}
-
-
 def write(docs: DataFrame, path: str, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode whole texts, append ``end`` to each, and store the shards; the stored table is returned.
 
@@ -191,8 +188,7 @@ def write(docs: DataFrame, path: str, end: int = END, shard_ids: int = SHARD_IDS
         }
 
     def run(batches):
-        if path not in _WORDS:
-            _WORDS[path] = Words(path)
+        words = per_worker(("words", path), lambda: Words(path))
         part, shard, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("docs", pa.int64()), ("size", pa.int64())] + [(c, pa.binary()) for c in (
             "letters", "rules", "spans", "sequence", "has_id", "doc_ids", "lengths")])
@@ -200,7 +196,7 @@ def write(docs: DataFrame, path: str, end: int = END, shard_ids: int = SHARD_IDS
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids.append(doc_id.as_py())
-                held.append(np.concatenate((_WORDS[path].ids(text.as_py()), tail)))
+                held.append(np.concatenate((words.ids(text.as_py()), tail)))
                 size += len(held[-1])
                 if size >= shard_ids:
                     yield pa.RecordBatch.from_pylist([pack(part, shard, ids, held)], schema)
