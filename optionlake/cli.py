@@ -1,229 +1,129 @@
-"""Command line: collect, status, verify, captures, backfill, curate, estimate.
-
-Exit codes: 0 worked (a deliberate skip included), 1 failed, 2 needs attention.
-"""
+"""Command line: every command prints frames and returns 0 (worked), 1 (failed) or 2 (needs attention)."""
 
 from __future__ import annotations
 
 import argparse
-import gzip
+import csv
 import sys
-from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
-OK, FAILED, ATTENTION = 0, 1, 2
-SILENCE = timedelta(hours=1)
-
+from pyspark.sql import functions as F
 
-def _spark():
-    from .session import get_spark
+from .operators import health, reconcile
+from .plans import collect, reports
+from .plans import curate as curation
+from .plans import estimate as estimation
+from .session import get_spark
+from .sources import archive, curated
 
-    return get_spark()
+OK, FAILED, ATTENTION = 0, 1, 2
 
 
-def _say(text: str) -> None:
-    print(f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ} {text}", flush=True)
+class Place:
+    """The folders of one data directory."""
 
+    def __init__(self, args):
+        self.spark = get_spark()
+        self.raw, self.curated = (str(Path(args.dir) / name) for name in ("raw", "curated"))
 
-def collect(args) -> int:
-    from .plans.collect import BodyError, collect_once
-    from .sources.feed import FeedError
+    def divergence(self):
+        return curated.divergence(self.spark, self.raw, self.curated).groupBy("side").agg(F.count(F.lit(1)).alias("captures"))
 
-    body = None
-    if args.from_file:
-        content = Path(args.from_file).read_bytes()
-        body = (gzip.decompress(content) if args.from_file.endswith(".gz") else content).decode()
-        _say(f"replaying {args.from_file} (no network)")
-    try:
-        result = collect_once(
-            _spark(), Path(args.dir), ticker=args.ticker, retries=args.retries, force=args.force, body=body
-        )
-    except (FeedError, BodyError) as exc:
-        _say(f"FAILED {type(exc).__name__}: {exc}")
-        return FAILED
-    _say(f"{result.verdict}: {result.detail}")
-    if result.written:
-        _say(f"wrote {result.path.name} ({result.path.stat().st_size / 1e6:.2f} MB)")
-    return OK
+    def chain(self, pattern: str | None) -> curation.CuratedChain:
+        quotes = curated.open_catalog(self.spark, self.curated)
+        return curation.from_catalog(quotes, curated.resolve_capture(self.spark.table("captures"), pattern))
 
 
-def status(args) -> int:
-    from .sources import files
-
-    health, now = files.read_health(Path(args.dir) / files.HEALTH_FILE), datetime.now(UTC)
-    if health.last_attempt is None:
-        print("no collection recorded yet")
-        return ATTENTION
-
-    def ago(field: str) -> str:
-        gap = health.stale_by(now, field)
-        if gap is None:
-            return "never"
-        return f"{gap / timedelta(hours=1):.1f}h ago" if gap >= SILENCE else f"{gap // timedelta(minutes=1)}m ago"
-
-    for label in ("attempt", "ok", "write"):
-        print(f"last {label:<10}{getattr(health, 'last_' + label)}  ({ago('last_' + label)})")
-    print(f"last verdict   {health.last_verdict}")
-    print(f"totals         {health.total_writes} written, {health.total_skips} skipped, {health.total_failures} failed")
-    if health.consecutive_failures:
-        print(f"\nFAILING: {health.consecutive_failures} consecutive\n  {health.last_error}")
-        return ATTENTION
-    if health.stale_by(now, "last_attempt") > SILENCE:
-        print(f"\nSCHEDULER: no attempt for {ago('last_attempt').removesuffix(' ago')}; the collector is not being run")
-        return ATTENTION
-    fetched = health.stale_by(now, "last_ok")
-    if fetched is not None and fetched > SILENCE:
-        print(f"\nFEED: last successful fetch {ago('last_ok')}")
-        return ATTENTION
-    print("\nhealthy")
-    return OK
+def status(place: Place, args) -> int:
+    """The health record that screening the archive leaves, per ticker."""
+    screened = collect.screen(archive.with_bodies(archive.scan(place.spark, place.raw)))
+    record = health.fold(collect.outcomes(screened), ["ticker"], ["at"]).persist()
+    known = reports.show("health", record, "ticker")
+    return OK if known and record.where("consecutive_failures > 0").isEmpty() else ATTENTION
 
 
-def verify(args) -> int:
-    from .operators.reconcile import CORRUPTED, MISSING, OK as FINE, UNLISTED
-    from .sources import archive
-
-    spark, raw, manifest = _spark(), str(Path(args.dir) / "raw"), Path(args.manifest)
-    if not manifest.exists():
-        if not args.write:
-            print(f"no manifest at {manifest}: create it with --write")
-            return ATTENTION
-        print(f"manifest created over {archive.write_manifest(spark, raw, manifest)} captures")
-        return OK
-    report = archive.verify(spark, raw, manifest)
-    tally = {r.status: r["count"] for r in report.groupBy("status").count().collect()}
-    print("   ".join(f"{s} {tally.get(s, 0)}" for s in (FINE, CORRUPTED, MISSING, UNLISTED)))
-    for r in report.where(report.status.isin(CORRUPTED, MISSING)).orderBy("status", "name").toLocalIterator():
-        print(f"  {r.status.upper():<9}  {r.name}")
-    if tally.get(UNLISTED):
-        print(f"  {tally[UNLISTED]} captures newer than the manifest (refresh it with --write)")
+def verify(place: Place, args) -> int:
+    code = ATTENTION
+    if Path(args.manifest).exists():
+        checked = archive.verify(place.spark, place.raw, args.manifest).persist()
+        reports.show("manifest", checked.groupBy("status").agg(F.count(F.lit(1)).alias("captures")), "status")
+        broken = checked.where(F.col("status").isin(reconcile.CORRUPTED, reconcile.MISSING))
+        code = ATTENTION if reports.show("broken", broken, "status", "name") else OK
+    elif args.write:
+        code = OK
     if args.write:
-        print(f"manifest rewritten over {archive.write_manifest(spark, raw, manifest)} captures")
-    return ATTENTION if tally.get(CORRUPTED) or tally.get(MISSING) else OK
-
-
-def captures(args) -> int:
-    from pyspark.sql import functions as F
-
-    from .sources import archive, curated
-
-    spark, base = _spark(), Path(args.dir)
-    found = archive.scan(spark, str(base / "raw"))
-    total = found.agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"),
-        F.min("capture_utc").alias("first"), F.max("capture_utc").alias("last"),
-    ).first()
-    if not total.n:
-        print(f"no captures in {base / 'raw'}")
-        return ATTENTION
-    print(f"{total.n} captures, {total.size / 1e6:.1f} MB")
-    print(f"  {total.first:%Y-%m-%d %H:%M}Z to {total.last:%Y-%m-%d %H:%M}Z")
-    sides = {
-        r.side: r["count"]
-        for r in curated.divergence(spark, str(base / "raw"), str(base / "curated")).groupBy("side").count().collect()
-    }
-    if sides.get("missing_curated"):
-        print(f"  {sides['missing_curated']} archived but not curated: run backfill")
-    if sides.get("orphan_curated"):
-        print(f"  {sides['orphan_curated']} curated with no raw capture: the archive should only grow")
-    if sides:
-        return ATTENTION
-    print("  curated layer aligned")
-    if args.list:
-        for r in archive.oldest_first(found).toLocalIterator():
-            print(f"    {r.stem}  {r.size / 1e6:.2f} MB")
-    return OK
-
+        print(archive.write_manifest(place.spark, place.raw, args.manifest), "captures in", args.manifest)
+    return code
 
-def backfill(args) -> int:
-    from .sources import curated
 
-    spark, base = _spark(), Path(args.dir)
-    raw, out = str(base / "raw"), str(base / "curated")
-    done = curated.backfill(spark, raw, out, overwrite=not args.resume)
-    total = done.totals()
-    print(f"{total.written} written, {total.skipped} skipped, {total.failed} failed")
-    print(f"{total.rows:,} rows, {done.total_bytes / 1e6:.1f} MB")
-    if total.unparsed:
-        print(f"WARNING: {total.unparsed} option symbols did not parse")
-    for r in done.outcomes.where("status = 'failed'").orderBy("stem").toLocalIterator():
-        print(f"  FAILED {r.stem}: {r.error}")
-    apart = curated.divergence(spark, raw, out).groupBy("side").count().collect()
-    print("divergence:", ", ".join(f"{r.side} {r['count']}" for r in apart) or "aligned")
-    return ATTENTION if total.failed or apart else OK
-
-
-def _one_capture(args):
-    from .plans import curate as plan
-    from .sources import curated
+def captures(place: Place, args) -> int:
+    found = archive.scan(place.spark, place.raw)
+    size = found.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("captures"), F.sum("size").alias("bytes"), F.min("capture_utc").alias("first"), F.max("capture_utc").alias("last")
+    )
+    known = reports.show("archive", size, "ticker")
+    if args.list:
+        reports.show("captures", found.select("ticker", "capture_utc", "size", "compressed"), "capture_utc", "ticker")
+    return ATTENTION if reports.show("out of step", place.divergence(), "side") or not known else OK
 
-    spark = _spark()
-    quotes = curated.open_catalog(spark, str(Path(args.dir) / "curated"))
-    when = curated.resolve_capture(spark.table("captures"), args.capture)
-    return when, plan.from_catalog(quotes, when)
 
+def backfill(place: Place, args) -> int:
+    done = curated.backfill(place.spark, place.raw, place.curated, overwrite=not args.resume)
+    reports.show("backfill", done.outcomes.groupBy("status").agg(F.count(F.lit(1)).alias("captures"), F.sum("rows").alias("rows"), F.sum("unparsed").alias("unparsed")), "status")
+    failed = reports.show("failed", done.outcomes.where("status = 'failed'").select("stem", "error"), "stem")
+    return ATTENTION if failed + reports.show("out of step", place.divergence(), "side") else OK
 
-def curate(args) -> int:
-    from .plans import reports
 
-    print(reports.curation(_one_capture(args)[1]))
+def curate(place: Place, args) -> int:
+    chain = place.chain(args.capture)
+    reports.show("quotes", chain.totals, "capture_utc")
+    reports.show("rules", chain.by_rule, "capture_utc", F.desc("flagged"))
+    reports.show("forwards", chain.forward_summary(), "capture_utc")
+    reports.show("excluded", chain.forwards.where("excluded is not null").select("capture_utc", "expiry", "root", "excluded"), "capture_utc", "expiry", "root")
     return OK
 
 
-def estimate(args) -> int:
-    from .plans import estimate as plan
-    from .plans import reports
-
-    when, chain = _one_capture(args)
-    print(f"capture {when:%Y-%m-%d %H:%M:%S}Z\n")
-    # One capture's term structure: a row per (expiry, root).
-    frame = plan.estimate_all(chain.quotes).persist()
-    print(reports.estimates(frame))
-    if args.csv:
-        frame.drop("capture_utc").orderBy("tenor_years").toPandas().to_csv(args.csv, index=False)
-        print(f"\nwrote {args.csv}")
+def estimate(place: Place, args) -> int:
+    frame = estimation.estimate_all(place.chain(args.capture).quotes).persist()  # a row per (expiry, root)
+    reports.show("estimates", estimation.summary(frame), "capture_utc")
+    reports.show("doubtful", frame.where("not trustworthy").select("expiry", "root", "n_quotes", "failures", "excluded"), "expiry", "root")
     if args.term_structure:
-        print("\n" + reports.term_structure(frame))
+        kept = frame.where("trustworthy").select("expiry", "root", "days", "n_quotes", "annualised_vol", "skewness", "kurtosis")
+        reports.show("term structure", kept, "days", "root")
+    if args.csv:
+        rows = frame.drop("capture_utc").orderBy("tenor_years", "root")
+        with open(args.csv, "w", newline="") as out:
+            sheet = csv.writer(out, lineterminator="\n")
+            sheet.writerow(rows.columns)
+            sheet.writerows(rows.toLocalIterator())
     return ATTENTION if frame.where("trustworthy").isEmpty() else OK
 
 
-def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="optionlake", description="Option-chain captures on Spark.")
-    top.add_argument("--dir", default="data", help="data folder (default: %(default)s)")
-    shared = argparse.ArgumentParser(add_help=False)
-    shared.add_argument("--dir", default=argparse.SUPPRESS)
-    commands = top.add_subparsers(dest="command", required=True)
-
-    def command(run, text, *options):
-        sub = commands.add_parser(run.__name__, parents=[shared], help=text)
-        for flag, settings in options:
-            sub.add_argument(flag, **settings)
-        sub.set_defaults(run=run)
-
-    switch = {"action": "store_true"}
-    command(
-        collect, "take exactly one capture", ("--ticker", {"default": "_SPX"}),
-        ("--retries", {"type": int, "default": 3}), ("--force", switch), ("--from-file", {}),
-    )
-    command(status, "is collection working?")
-    command(
-        verify, "check the archive against its manifest",
-        ("--manifest", {"default": "manifests/raw_archive.sha256"}), ("--write", switch),
-    )
-    command(captures, "what is in the archive", ("--list", switch))
-    command(backfill, "rebuild the curated layer", ("--resume", switch))
-    command(curate, "quality report and forwards of one capture", ("--capture", {}))
-    command(
-        estimate, "densities and moments of one capture", ("--capture", {}), ("--csv", {}),
-        ("--term-structure", switch),
-    )
-    return top
+SWITCH = {"action": "store_true"}
+#: Command: what it is for, and its options.
+COMMANDS = {
+    status: ("health of the captures", {}),
+    verify: ("archive against manifest", {"--manifest": {"default": "manifests/raw_archive.sha256"}, "--write": SWITCH}),
+    captures: ("archive and curated layer", {"--list": SWITCH}),
+    backfill: ("curated layer from the archive", {"--resume": SWITCH}),
+    curate: ("quality of one capture", {"--capture": {}}),
+    estimate: ("densities of one capture", {"--capture": {}, "--csv": {}, "--term-structure": SWITCH}),
+}
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    top = argparse.ArgumentParser(prog="optionlake", description=__doc__)
+    top.add_argument("--dir", default="data")
+    choices = top.add_subparsers(required=True)
+    for run, (purpose, options) in COMMANDS.items():
+        sub = choices.add_parser(run.__name__, help=purpose)
+        sub.add_argument("--dir", default=argparse.SUPPRESS)
+        for flag, settings in options.items():
+            sub.add_argument(flag, **settings)
+        sub.set_defaults(run=run)
+    args = top.parse_args(argv)
     try:
-        return args.run(args)
+        return args.run(Place(args), args)
     except (FileNotFoundError, LookupError) as exc:
         print(exc, file=sys.stderr)
         return FAILED

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import black76
+from ..functions import black76, normal
 
 # Search range in total volatility and the price-bound margin.
 MIN_VOL = 1e-8
@@ -19,8 +19,33 @@ MARGIN = 1e-12
 MAX_STEPS = 100
 
 
+#: A price counts as matched within this share of itself, or of the least price that is told apart from nothing.
+RESIDUAL, LEAST_PRICE = 1e-8, 1e-8
+
+
+def erfc(x: np.ndarray) -> np.ndarray:
+    """Cody's approximation (see ``functions.normal``) over whole arrays."""
+    y = np.abs(x)
+    out = np.where(x > 0, 0.0, 2.0)
+    near = y <= 0.46875
+    square = x[near] * x[near]
+    out[near] = 1.0 - x[near] * np.polyval(normal.ERF_NUM, square) / np.polyval(normal.ERF_DEN, square)
+    for span, tail in (((y > 0.46875) & (y <= 4.0), False), ((y > 4.0) & (y < normal.UNDERFLOW), True)):
+        z = y[span]
+        coarse = np.rint(z * 16.0) / 16.0
+        decay = np.exp(-coarse * coarse) * np.exp(-(z - coarse) * (z + coarse))
+        if tail:
+            inverse = 1.0 / (z * z)
+            part = (normal.INV_SQRT_PI - inverse * np.polyval(normal.TAIL_NUM, inverse) / np.polyval(normal.TAIL_DEN, inverse)) / z
+        else:
+            part = np.polyval(normal.MID_NUM, z) / np.polyval(normal.MID_DEN, z)
+        out[span] = np.where(x[span] > 0, decay * part, 2.0 - decay * part)
+    out[np.isnan(x)] = np.nan
+    return out
+
+
 def _cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.frompyfunc(math.erfc, 1, 1)(x * -math.sqrt(0.5)).astype(float)
+    return 0.5 * erfc(x * -math.sqrt(0.5))
 
 
 def _otm_price(x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +65,8 @@ def total_vol(price, forward, strike, discount, is_call) -> np.ndarray:
 
     Newton from the inflection point of the price in volatility, on the log of
     the price below it and on the price above it, kept inside a bracket that
-    shrinks every step. Each element stops on its own.
+    shrinks every step. Each element stops on its own, and its volatility is an
+    answer only if it gives the price back.
     """
     with np.errstate(all="ignore"):
         gap = forward - strike
@@ -60,6 +86,7 @@ def total_vol(price, forward, strike, discount, is_call) -> np.ndarray:
         live, target, x, v, lo, hi, on_log = (
             a[reachable] for a in (live, target, x, v, lo, hi, on_log)
         )
+        asked, wanted, at, unit = live, target, x, scale[reachable]
         for _ in range(MAX_STEPS):
             if not live.size:
                 break
@@ -77,6 +104,8 @@ def total_vol(price, forward, strike, discount, is_call) -> np.ndarray:
             live, target, x, v, lo, hi, on_log = (
                 a[on] for a in (live, target, x, nxt, lo, hi, on_log)
             )
+        missed = np.abs(_otm_price(at, out[asked])[0] - wanted) * unit / np.maximum(price[asked], LEAST_PRICE)
+        out[asked[~(missed < RESIDUAL)]] = np.nan
     return out
 
 

@@ -1,45 +1,15 @@
-"""Taking one capture, and replaying many.
-
-Both run the same plan (validate, gate, explain); a single capture is a frame of
-one row whose seed is the state file. Order of the writes matters: archive, then
-state, then health. A crash in between re-captures a print the gate then drops;
-the other order would skip a capture that was never kept.
-"""
+"""Screening captures: validate, gate, explain, and the log that this leaves."""
 
 from __future__ import annotations
 
-import gzip
-import json
-from dataclasses import dataclass
-from datetime import UTC, datetime, timedelta
-from pathlib import Path
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import gate
 from ..session import settle
-from ..sources import feed, files, payloads
-from ..sources.archive import GZIP_LEVEL, capture_path, stamp_of
-
-TICKER = "_SPX"
-
-
-class BodyError(Exception):
-    """A body lacks a required field; nothing is defaulted."""
-
-
-@dataclass(frozen=True)
-class CaptureResult:
-    verdict: str
-    detail: str
-    spot: float | None = None
-    n_options: int = 0
-    path: Path | None = None
-
-    @property
-    def written(self) -> bool:
-        return self.path is not None
+from ..sources import payloads
 
 
 def screen(
@@ -64,52 +34,6 @@ def screen(
     return gate.with_detail(judged, seed, max_stale).withColumn("detail", F.when(usable, F.col("detail")))
 
 
-def collect_once(
-    spark: SparkSession, data_dir: Path, ticker: str = TICKER, now: datetime | None = None,
-    max_stale: timedelta = gate.MAX_STALE, retries: int = feed.RETRIES, force: bool = False,
-    body: str | None = None, fetch=feed.fetch,
-) -> CaptureResult:
-    """Fetch (or take ``body``), decide, and archive at most one capture."""
-    data_dir = Path(data_dir).expanduser().resolve()
-    now = now or datetime.now(UTC)
-    if now.tzinfo is None:
-        raise ValueError("`now` must carry a time zone")
-    health = data_dir / files.HEALTH_FILE
-    with files.exclusive(data_dir / files.LOCK_FILE) as held:
-        if not held:
-            return CaptureResult(gate.LOCKED, "another collector holds the lock")
-        try:
-            text = body if body is not None else fetch(ticker, retries=retries)
-            row = _decide(spark, data_dir, ticker, now, max_stale, force, text)
-        except (feed.FeedError, BodyError) as exc:
-            files.record_health(health, now, type(exc).__name__, error=str(exc))
-            raise
-        path = None
-        if row.verdict in gate.ACCEPTED:
-            path = capture_path(data_dir, ticker, now)
-            compact = json.dumps(json.loads(text), separators=(",", ":")).encode()
-            files.write_atomic(path, gzip.compress(compact, compresslevel=GZIP_LEVEL, mtime=0))
-            files.write_state(
-                data_dir / files.STATE_FILE, files.State(row.print, row.seqno, stamp_of(now), row.spot)
-            )
-        files.record_health(health, now, row.verdict, written=path is not None)
-        return CaptureResult(row.verdict, row.detail, row.spot, row.n_options, path)
-
-
-def _decide(spark, data_dir, ticker, now, max_stale, force, text):
-    state = files.read_state(data_dir / files.STATE_FILE)
-    seed = None
-    if not state.is_empty:
-        seed = spark.createDataFrame(
-            [(ticker, state.index_last_trade, state.seqno)], "ticker string, print string, seqno bigint"
-        )
-    one = spark.createDataFrame([(ticker, now, text)], "ticker string, capture_utc timestamp, body string")
-    row = screen(one, seed, max_stale, force).first()
-    if row.error is not None:
-        raise BodyError(row.error)
-    return row
-
-
 def outcomes(screened: DataFrame) -> DataFrame:
     """The health log a sequence of screened captures would have left."""
     failed = F.col("error").isNotNull()

@@ -8,8 +8,6 @@ and coalescing small ones.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME = {
@@ -49,17 +47,13 @@ def get_spark(master: str | None = None, app: str = "optionlake", **conf) -> Spa
 def settle(df: DataFrame) -> DataFrame:
     """Compute a frame once that several parts of a plan read, and cut its lineage.
 
-    Goes to the shared folder of ``spark.checkpoint.dir``, so a lost executor
-    costs nothing; only a local master may fall back on a folder of its own.
+    Goes to ``spark.checkpoint.dir``, or to the warehouse where that is unset;
+    executors share both, so losing one costs nothing.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
-            folder = tempfile.mkdtemp(prefix="optionlake-")
-        context.setCheckpointDir(folder)
+        conf = df.sparkSession.conf
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work")
     return df.checkpoint()
 
 

@@ -14,8 +14,6 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from datetime import UTC, datetime
-from pathlib import Path
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -31,38 +29,32 @@ LISTING = "name string, path string, size bigint"
 CHUNK = 1 << 20
 GZIP_LEVEL = 6
 
-# Leading comment of a checksum manifest.
-MANIFEST_HEADER = """\
-# SHA-256 of every raw capture. Check with:  shasum -a 256 -c <this file>
-"""
-
-
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
-def _children(path: str) -> list[pafs.FileInfo]:
+def _children(path: str, deep: bool = False) -> list[pafs.FileInfo]:
     fs, root = _open(path)
-    return fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=deep))
 
 
 class _Folder(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, deep: bool):
+        self.path, self.deep = path, deep
 
 
 class _Lister(DataSourceReader):
-    """One partition per folder: sub-folders are listed by tasks, in parallel."""
+    """One partition for the root's own files and one per folder in it, which a task lists to any depth."""
 
     def __init__(self, root: str):
         self.root = root
 
     def partitions(self):
         below = [f.path for f in _children(self.root) if f.type == pafs.FileType.Directory]
-        return [_Folder(p) for p in [self.root, *below]]
+        return [_Folder(self.root, False), *(_Folder(p, True) for p in below)]
 
     def read(self, partition):
-        for info in _children(partition.path):
+        for info in _children(partition.path, partition.deep):
             if info.type == pafs.FileType.File:
                 yield info.base_name, info.path, info.size
 
@@ -102,12 +94,19 @@ def _content(path: str) -> bytes:
         return stream.read()
 
 
-def _spread(captures: DataFrame) -> DataFrame:
+def _tasks(captures: DataFrame) -> int:
     """A listing is a few bytes per file; the work behind a row is not."""
-    return captures.repartition(
-        max(captures.sparkSession.sparkContext.defaultParallelism * 4,
-            int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    )
+    spark = captures.sparkSession
+    return max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _spread(captures: DataFrame) -> DataFrame:
+    return captures.repartition(_tasks(captures))
+
+
+def _in_order(captures: DataFrame) -> DataFrame:
+    """Oldest first over and within partitions, put in order while a row is still only a name."""
+    return captures.repartitionByRange(_tasks(captures), "capture_utc", "ticker").sortWithinPartitions("capture_utc", "ticker")
 
 
 def _read_bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,9 +125,9 @@ def _read_bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def with_bodies(captures: DataFrame) -> DataFrame:
-    """Read each capture, compressed or not. An unreadable file is a row, not a crash."""
-    return _spread(captures).mapInPandas(
+def with_bodies(captures: DataFrame, in_order: bool = False) -> DataFrame:
+    """Read each capture once, compressed or not. An unreadable file is a row, not a crash."""
+    return (_in_order if in_order else _spread)(captures).mapInPandas(
         _read_bodies,
         "ticker string, capture_utc timestamp, stem string, body string, read_error string",
     )
@@ -136,8 +135,7 @@ def with_bodies(captures: DataFrame) -> DataFrame:
 
 def iter_payloads(spark: SparkSession, raw_dir: str) -> Iterator:
     """Stream (stem, body) rows to the driver, oldest first, a partition at a time."""
-    rows = with_bodies(scan(spark, raw_dir)).orderBy("capture_utc", "ticker")
-    return rows.select("stem", "body").toLocalIterator()
+    return with_bodies(scan(spark, raw_dir), in_order=True).select("stem", "body").toLocalIterator()
 
 
 # --- checksums ---------------------------------------------------------------
@@ -157,34 +155,23 @@ def _read_digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(digest=[_digest(p) for p in frame["path"]])
 
 
-def digests(captures: DataFrame) -> DataFrame:
+def digests(captures: DataFrame, in_order: bool = False) -> DataFrame:
     """(ticker, capture_utc, name, digest), hashed in chunks by the tasks."""
-    chosen = _spread(captures.select("ticker", "capture_utc", "name", "path"))
+    chosen = (_in_order if in_order else _spread)(captures.select("ticker", "capture_utc", "name", "path"))
     return chosen.mapInPandas(
         _read_digests, "ticker string, capture_utc timestamp, name string, path string, digest string"
     ).drop("path")
 
 
-def write_manifest(spark: SparkSession, raw_dir: str, manifest: Path) -> int:
-    """A ``shasum -c`` manifest over the archive; returns how many captures.
+def write_manifest(spark: SparkSession, raw_dir: str, manifest: str) -> int:
+    """A checksum manifest over the archive, oldest first; returns how many captures.
 
-    Lines stream through the driver a partition at a time into a draft that
-    replaces the manifest once it is whole.
+    A text dataset: each task hashes its captures and writes their lines, and
+    the files in order of name are one ``shasum -c`` list.
     """
-    manifest = Path(manifest)
-    manifest.parent.mkdir(parents=True, exist_ok=True)
-    draft, count = manifest.parent / f"{manifest.name}.{os.getpid()}.tmp", 0
-    try:
-        with draft.open("w") as out:
-            out.write(MANIFEST_HEADER)
-            for row in oldest_first(digests(scan(spark, raw_dir))).toLocalIterator():
-                out.write(f"{row.digest}  {row.name}\n")
-                count += 1
-            out.write(f"# {count} captures\n")
-        draft.replace(manifest)
-    finally:
-        draft.unlink(missing_ok=True)
-    return count
+    lines = digests(scan(spark, raw_dir), in_order=True).select(F.concat_ws("  ", "digest", "name").alias("value"))
+    lines.write.mode("overwrite").text(str(manifest))
+    return spark.read.text(str(manifest)).count()
 
 
 def manifest_entries(lines: DataFrame) -> DataFrame:
@@ -197,11 +184,11 @@ def manifest_entries(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_manifest(spark: SparkSession, manifest: Path) -> DataFrame:
+def read_manifest(spark: SparkSession, manifest: str) -> DataFrame:
     return manifest_entries(spark.read.text(str(manifest)))
 
 
-def verify(spark: SparkSession, raw_dir: str, manifest: Path) -> DataFrame:
+def verify(spark: SparkSession, raw_dir: str, manifest: str) -> DataFrame:
     return reconcile.verify(read_manifest(spark, manifest), digests(scan(spark, raw_dir)))
 
 
@@ -255,11 +242,3 @@ def compress_archive(captures: DataFrame, level: int = GZIP_LEVEL, dry_run: bool
     chosen = captures.select("stem", "path", "size", "compressed")
     done = _spread(chosen).mapInPandas(run, "stem string, before bigint, after bigint, skipped boolean")
     return done.withColumn("ratio", F.coalesce(F.try_divide("before", "after"), F.lit(0.0)))
-
-
-def stamp_of(when: datetime) -> str:
-    return when.astimezone(UTC).strftime("%Y-%m-%dT%H-%M-%SZ")
-
-
-def capture_path(data_dir: Path, ticker: str, when: datetime) -> Path:
-    return Path(data_dir) / "raw" / f"{ticker}_{stamp_of(when)}.json.gz"

@@ -96,20 +96,30 @@ def test_command_line_end_to_end(spark, data, capsys):
     kept = target.read_text()
     target.write_text(kept + " ")
     assert cli.main(["verify", *where, "--manifest", manifest]) == cli.ATTENTION
-    assert "CORRUPTED" in capsys.readouterr().out
+    assert "corrupted" in capsys.readouterr().out
     target.write_text(kept)
     assert cli.main(["captures", *where, "--list"]) == cli.ATTENTION
     assert cli.main(["status", *where]) == cli.ATTENTION
     assert cli.main(["curate", *where, "--capture", "20-37"]) == cli.OK
-    assert "2 usable of 2" in capsys.readouterr().out
+    assert "[forwards]" in capsys.readouterr().out
     csv = data / "t.csv"
     assert cli.main(["estimate", *where, "--csv", str(csv), "--term-structure"]) in (cli.OK, cli.ATTENTION)
     assert csv.read_text().startswith("expiry,root,tenor_years,days,forward,n_quotes") and len(csv.read_text().splitlines()) == 3
-    assert "2 (expiry, root) pairs" in capsys.readouterr().out
+    assert "[term structure]" in capsys.readouterr().out
     assert cli.main(["curate", *where, "--capture", "1999"]) == cli.FAILED
     assert cli.main(["backfill", *where, "--resume"]) == cli.ATTENTION
 
 
+def test_folders_of_any_depth_are_listed(spark, tmp_path):
+    deep = tmp_path / "2026" / "08" / "11"
+    deep.mkdir(parents=True)
+    for k, folder in enumerate((tmp_path, deep.parent.parent, deep.parent, deep)):
+        (folder / f"_SPX_2026-08-11T20-0{k}-05Z.json").write_text("{}")
+    assert archive.scan(spark, str(tmp_path)).count() == 4
+    read = [r.stem for r in archive.iter_payloads(spark, str(tmp_path))]
+    assert read == [f"_SPX_2026-08-11T20-0{k}-05Z" for k in range(4)]
+
+
 def test_compression_proves_itself_first(spark, data):
     raw = data / "raw"
     plain = {p.name: p.read_bytes() for p in raw.glob("*.json")}
