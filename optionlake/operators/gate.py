@@ -143,11 +143,13 @@ def accepted(judged: DataFrame) -> DataFrame:
     return judged.where(F.col("verdict").isin(*ACCEPTED))
 
 
-def duplicates_of(captures: DataFrame) -> DataFrame:
-    """Archive repair: each capture that repeats a print, with the first to carry it."""
-    first = captures.groupBy("ticker", "index_last_trade").agg(
-        F.min("capture_utc").alias("duplicate_of")
-    )
-    return captures.join(first, ["ticker", "index_last_trade"]).where(
-        F.col("capture_utc") > F.col("duplicate_of")
-    )
+def duplicates_of(captures: DataFrame, tie: list[str] | None = None) -> DataFrame:
+    """Archive repair: each capture that repeats a print, with the first to carry it.
+
+    ``tie`` orders captures of one instant; all but the first of them repeat it.
+    """
+    place = F.struct("capture_utc", *(tie or []))
+    first = captures.groupBy("ticker", "index_last_trade").agg(F.min(place).alias("_first"))
+    return captures.join(first, ["ticker", "index_last_trade"]).where(place > F.col("_first")).withColumn(
+        "duplicate_of", F.col("_first.capture_utc")
+    ).drop("_first")

@@ -63,9 +63,10 @@ class CuratedChain:
     def expiries(self) -> DataFrame:
         return self.quotes.select("capture_utc", "expiry").distinct()
 
-    def for_expiry(self, expiry: date, root: str) -> DataFrame:
-        here = (F.col("expiry") == F.lit(expiry)) & (F.col("root") == root)
-        return self.quotes.where(here).orderBy("strike")
+    def for_expiry(self, expiry: date | None, root: str) -> DataFrame:
+        """The surviving quotes of one smile, or of a root's every expiry."""
+        here = F.col("root") == root
+        return self.quotes.where(here if expiry is None else here & (F.col("expiry") == F.lit(expiry)))
 
     def forward_summary(self) -> DataFrame:
         """Per capture: usable of all, R2 and implied-rate range over the usable."""
@@ -106,7 +107,10 @@ def build(
 
 def from_catalog(quotes: DataFrame, capture_utc: datetime, **options) -> CuratedChain:
     """One capture out of the curated table, reading only the columns it needs."""
-    chosen = quotes.where(F.col("capture_utc") == F.lit(capture_utc)).select(*COLUMNS)
+    here = F.col("capture_utc") == F.lit(capture_utc)
+    if "capture_date" in quotes.columns:  # the table's partitions: only that day is read
+        here = here & (F.col("capture_date") == F.to_date(F.lit(capture_utc)))
+    chosen = quotes.where(here).select(*COLUMNS)
     if chosen.isEmpty():
         raise ValueError(f"no quotes for capture {capture_utc}")
     return build(chosen, **options)

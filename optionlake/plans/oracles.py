@@ -76,8 +76,7 @@ _MARKET = f"""
   ({tape.SPOT} + (cap % 17)*0.25 + week*4.0 + CASE WHEN root = 'SPXW' THEN 0.5 ELSE 0.0 END)::DOUBLE AS f0,
   (CASE WHEN week = 6 AND root = 'SPX' THEN 0.95 ELSE 1.0::DOUBLE - week*0.0008::DOUBLE END)::DOUBLE AS d0"""
 VOLS = f"""{CELLS},
-grid AS (SELECT *, {_MARKET}, (7000.0 + 25*slot)::DOUBLE AS strike FROM cells
-         WHERE NOT (week = 7 AND root = 'SPX' AND slot % 10 <> 0)),
+grid AS (SELECT *, {_MARKET}, (7000.0 + 25*slot)::DOUBLE AS strike FROM cells),
 shaped AS (SELECT *, days/{tape.SMILE_DAYS}::DOUBLE AS scale, ln(strike/f0) AS k0, CAST(n AS BIGINT) AS nn FROM grid),
 vols AS (SELECT *, scale*({tape.A}::DOUBLE + {tape.B}::DOUBLE*({tape.RHO}::DOUBLE*(k0-{tape.M}::DOUBLE)
          + sqrt((k0-{tape.M}::DOUBLE)*(k0-{tape.M}::DOUBLE)+{tape.SIGMA ** 2!r}::DOUBLE))) AS w0 FROM shaped)"""
@@ -99,8 +98,8 @@ quotes AS (SELECT capture_utc, strftime(capture_utc, '%Y-%m-%d %H:%M:%S') AS fee
   root || strftime(expiry, '%y%m%d') || CASE WHEN option_right = 'call' THEN 'C' ELSE 'P' END
     || lpad(CAST(CAST(strike*1000 AS BIGINT) AS VARCHAR), 8, '0') AS option_symbol,
   root, option_right, expiry, strike,
-  CASE WHEN h % 211 <> 0 THEN CASE WHEN h % 97 = 0 THEN high ELSE low END END AS bid,
-  CASE WHEN h % 223 <> 0 THEN CASE WHEN h % 193 = 0 THEN 0.0 WHEN h % 97 = 0 THEN low ELSE high END END AS ask,
+  CASE WHEN h % 211 <> 0 AND NOT (week = 7 AND root = 'SPX' AND slot % 10 <> 0) THEN CASE WHEN h % 97 = 0 THEN high ELSE low END END AS bid,
+  CASE WHEN h % 223 <> 0 AND NOT (week = 7 AND root = 'SPX' AND slot % 10 <> 0) THEN CASE WHEN h % 193 = 0 THEN 0.0 WHEN h % 97 = 0 THEN low ELSE high END END AS ask,
   CASE WHEN h % 13 = 0 THEN 0.0 ELSE sqrt(w0/(days/365.0)) END AS iv, model AS theo,
   (h % 1000)::DOUBLE AS open_interest, nn::DOUBLE AS volume, h, cap, week, slot, scale, k0, w0, f0, d0, days
   FROM book)"""
@@ -237,7 +236,6 @@ held AS (SELECT *, last_value(CASE WHEN fresh THEN print END IGNORE NULLS) OVER
 verdicts AS (SELECT *, CASE WHEN force THEN 'forced' WHEN last_print = print THEN 'duplicate_print' WHEN NOT fresh THEN 'stale_feed'
   ELSE 'accept' END AS verdict FROM held)"""
 
-_SIX = "(week = 7 AND root = 'SPX')"
 _TRUE_MOMENTS = f"""{dense()},
 lm AS (SELECT {KEY}, sum(sw*p) AS mass, {_LOG_SUMS} FROM dens GROUP BY ALL),
 shape AS (SELECT *, {_moment_shape('l')} FROM lm)"""
@@ -265,21 +263,21 @@ ORACLES: dict[str, str] = {
     "root_collisions": q(QUOTES, f"SELECT {text('capture_utc', 'capture')}, expiry, count(*) AS collisions FROM (SELECT capture_utc, expiry, option_right, strike FROM quotes GROUP BY ALL HAVING count(DISTINCT root) > 1) GROUP BY capture_utc, expiry"),
     "boolean_sums": q(QUOTES, f"SELECT {text('capture_utc', 'capture')}, CAST(sum(CAST(root='SPX' AS INT)) AS BIGINT) AS spx, CAST(sum(CAST(root='SPXW' AS INT)) AS BIGINT) AS spxw, CAST(sum(CAST(iv=0 AS INT)) AS BIGINT) AS iv_sentinel, count(*) FILTER (bid IS NULL) AS no_bid FROM quotes GROUP BY capture_utc"),
     "newest_capture": q(QUOTES, f"SELECT {text('capture_utc', 'capture')}, count(*) AS n_options FROM quotes GROUP BY capture_utc ORDER BY capture_utc DESC LIMIT 5"),
-    "capture_match": q(QUOTES, f"SELECT substr(s, 1, 16) AS pattern, max(s) AS stamp FROM (SELECT {_STAMPED.format(x='capture_utc')} AS s FROM quotes) GROUP BY 1"),
+    "capture_match": q(QUOTES, f"SELECT {text('max(capture_utc)', 'newest')}, {text('max(capture_utc) FILTER (contains(s, ' + chr(39) + '35-0' + chr(39) + '))', 'match')} FROM (SELECT capture_utc, {_STAMPED.format(x='capture_utc')} AS s FROM quotes)"),
     "eastern_time": q(QUOTES, f"SELECT DISTINCT {text('index_last_trade', 'utc')}, strftime(timezone('America/New_York', timezone('UTC', index_last_trade)), '%Y-%m-%dT%H:%M:%S') AS eastern FROM quotes"),
     "contract_symbols": """WITH t AS (SELECT CASE WHEN l_orderkey % 19 = 0 THEN 'spxw' WHEN l_orderkey % 23 = 0 THEN 'SP X' ELSE 'SPXW' END || '2602' || lpad(CAST(l_partkey % 35 AS VARCHAR), 2, '0')
-        || CASE WHEN l_orderkey % 29 = 0 THEN 'X' WHEN l_orderkey % 2 = 0 THEN 'C' ELSE 'P' END || lpad(CAST(l_suppkey*2500+125 AS VARCHAR), 8, '0') AS s FROM lineitem),
+        || CASE WHEN l_orderkey % 29 = 0 THEN 'X' WHEN l_orderkey % 2 = 0 THEN 'C' ELSE 'P' END || lpad(CAST(l_suppkey*2500+125 AS VARCHAR), CAST(greatest(8, length(CAST(l_suppkey*2500+125 AS VARCHAR))) AS INTEGER), '0') AS s FROM lineitem),
         c AS (SELECT replace(s, ' ', '') AS s FROM t),
         p AS (SELECT s, regexp_extract(s, '^([A-Z]+)(\\d{6})([CP])(\\d{8})$', 1) AS root, try_cast('20' || substr(regexp_extract(s, '(\\d{6})[CP]', 1), 1, 2) || '-' || substr(regexp_extract(s, '(\\d{6})[CP]', 1), 3, 2) || '-' || substr(regexp_extract(s, '(\\d{6})[CP]', 1), 5, 2) AS DATE) AS d,
               regexp_extract(s, '([CP])\\d{8}$', 1) AS r, try_cast(right(s, 8) AS BIGINT)/1000.0::DOUBLE AS k FROM c),
         ok AS (SELECT *, root <> '' AND d IS NOT NULL AS good FROM p)
         SELECT CASE WHEN good THEN root END AS root, CASE WHEN good THEN CASE WHEN r = 'C' THEN 'call' ELSE 'put' END END AS option_right, CASE WHEN good THEN d END AS expiry, CASE WHEN good THEN k END AS strike, count(*) AS n FROM ok GROUP BY 1, 2, 3, 4""",
-    "capture_names": f"""WITH t AS (SELECT o_orderkey AS id, {_STAMPED.format(x=f'make_timestamp(({tape.EPOCH} + {tape.CAPTURE_SECONDS}*(o_orderkey % 1000000))*1000000)')} AS s, make_timestamp(({tape.EPOCH} + {tape.CAPTURE_SECONDS}*(o_orderkey % 1000000))*1000000) AS ts FROM orders)
+    "capture_names": f"""WITH t AS (SELECT o_orderkey AS id, {_STAMPED.format(x=f'make_timestamp(({tape.EPOCH} + {tape.CAPTURE_SECONDS}*o_orderkey)*1000000)')} AS s, make_timestamp(({tape.EPOCH} + {tape.CAPTURE_SECONDS}*o_orderkey)*1000000) AS ts FROM orders)
         SELECT id, CASE WHEN good THEN ticker END AS ticker, CASE WHEN good THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS capture, CASE WHEN good THEN id % 2 = 0 END AS compressed, CASE WHEN good THEN ticker || '_' || s END AS stem
         FROM (SELECT *, id % 11 <> 0 AND id % 13 <> 0 AND id % 17 <> 0 AS good, CASE WHEN id % 2 = 0 THEN '_SPX' ELSE 'SPY' END AS ticker FROM t)""",
     "payload_rows": q(QUOTES, f"SELECT {CONTRACT}, option_symbol, feed_timestamp, {text('index_last_trade', 'index_last_trade')}, seqno, underlying_ticker, underlying_price, bid, ask, {rnd('iv', 9, 'iv')}, {rnd('theo', 4, 'theo')}, open_interest, volume, CASE WHEN h % 2 = 0 THEN 'up' END AS tick, CAST(NULL AS DOUBLE) AS gamma FROM quotes WHERE h % 89 <> 0 AND cap % 7 NOT IN (3, 5, 6)"),
     "payload_errors": q(_BODIES, f"SELECT {text('capture_utc', 'capture')}, '_SPX_' || {_STAMPED.format(x='capture_utc')} AS stem, CASE WHEN error IS NULL THEN n_all - bad END AS rows, CASE WHEN error IS NULL THEN bad END AS unparsed, error FROM judged"),
-    "backfill_totals": q(_BODIES, "SELECT count(*) FILTER (error IS NULL) AS written, count(*) FILTER (error IS NOT NULL) AS failed, CAST(sum(n_all - bad) FILTER (error IS NULL) AS BIGINT) AS rows, CAST(sum(bad) FILTER (error IS NULL) AS BIGINT) AS unparsed FROM judged"),
+    "backfill_totals": q(_BODIES, "SELECT count(*) FILTER (error IS NULL) AS written, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (error IS NOT NULL) AS failed, CAST(sum(n_all - bad) FILTER (error IS NULL) AS BIGINT) AS rows, CAST(sum(bad) FILTER (error IS NULL) AS BIGINT) AS unparsed FROM judged"),
     "capture_meta": q(_BODIES, f"SELECT {text('capture_utc', 'capture')}, '_SPX' AS ticker, 1000000 + cap AS seqno, underlying_price AS spot, underlying_price - 1.0 AS prev_day_close, CAST(NULL AS DOUBLE) AS iv30 FROM judged WHERE error IS NULL"),
     "body_screening": q(_BODIES, f"SELECT {text('capture_utc', 'capture')}, CASE WHEN error IS NULL THEN 'accept' END AS verdict, CASE WHEN error IS NULL THEN 15.0::DOUBLE END AS age_minutes, n_all AS n_options, error FROM judged"),
     "freshness_verdicts": q(_ATTEMPTS, f"SELECT event_id, ticker, print, last_print, {rnd('age', 4, 'age_minutes')}, verdict FROM verdicts"),
@@ -292,12 +290,12 @@ ORACLES: dict[str, str] = {
           max(verdict) FILTER (back = 1) AS last_verdict, max(CASE WHEN bad THEN 'attempt ' || event_id END) FILTER (back = 1) AS last_error,
           count(*) FILTER (bad AND (good IS NULL OR back < good)) AS consecutive_failures, count(*) FILTER (NOT bad AND written) AS total_writes, count(*) FILTER (NOT bad AND NOT written) AS total_skips, count(*) FILTER (bad) AS total_failures
         FROM r LEFT JOIN b USING (ticker) GROUP BY ticker""",
-    "duplicate_captures": q(_ATTEMPTS, "SELECT event_id, ticker, strftime(f, '%Y-%m-%d %H:%M:%S') AS duplicate_of FROM (SELECT *, min(ts) OVER (PARTITION BY ticker, printed) AS f FROM attempts) WHERE ts > f"),
-    "layer_divergence": f"""WITH raw AS (SELECT DISTINCT '_SPX_' || {_STAMPED.format(x=f'make_timestamp(({tape.EPOCH} + {tape.CAPTURE_SECONDS}*(o_orderkey // 10))*1000000)')} AS stem FROM orders WHERE o_orderkey % 10 < 8),
-        made AS (SELECT DISTINCT '_SPX_' || {_STAMPED.format(x=f'make_timestamp(({tape.EPOCH} + {tape.CAPTURE_SECONDS}*(l_orderkey // 10))*1000000)')} AS stem FROM lineitem WHERE l_linenumber = 3)
+    "duplicate_captures": q(_ATTEMPTS, "SELECT event_id, ticker, strftime(f, '%Y-%m-%d %H:%M:%S') AS duplicate_of FROM (SELECT *, min(ts) OVER (PARTITION BY ticker, printed) AS f, row_number() OVER (PARTITION BY ticker, printed ORDER BY ts, event_id) AS place FROM attempts) WHERE place > 1"),
+    "layer_divergence": f"""WITH raw AS (SELECT DISTINCT '_SPX_' || {_STAMPED.format(x=f'make_timestamp(({tape.EPOCH} + {tape.CAPTURE_SECONDS}*(o_orderkey // 10))*1000000)')} AS stem FROM orders),
+        made AS (SELECT DISTINCT '_SPX_' || {_STAMPED.format(x=f'make_timestamp(({tape.EPOCH} + {tape.CAPTURE_SECONDS}*(l_partkey * 5))*1000000)')} AS stem FROM lineitem)
         SELECT stem, 'missing_curated' AS side FROM (SELECT stem FROM raw EXCEPT SELECT stem FROM made) UNION ALL SELECT stem, 'orphan_curated' FROM (SELECT stem FROM made EXCEPT SELECT stem FROM raw)""",
     "manifest_check": """SELECT 'doc_' || doc_id || '.txt' AS name, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 13 = 0 THEN 'unlisted' WHEN doc_id % 17 = 0 THEN 'corrupted' ELSE 'ok' END AS status
-        FROM documents WHERE NOT (doc_id % 11 = 0 AND doc_id % 13 = 0)""",
+        FROM documents""",
     "price_arbitrage": q(curve("kept"), _BREACH),
     "price_arbitrage_unfiltered": q(curve("flagged"), _BREACH),
     "calendar_arbitrage": q(f"""{QUOTES},
@@ -351,11 +349,11 @@ ORACLES: dict[str, str] = {
         s AS (SELECT *, {_moment_shape('l')} FROM sums)""",
         f"SELECT {SMILE}, {rnd('var', 9, 'bkm_variance')}, {rnd('skew', 5, 'bkm_skewness')}, {rnd('kurt', 4, 'bkm_kurtosis')} FROM s"),
     "moment_agreement": q(SMILES, f"SELECT {SMILE}, true AS agrees FROM smiles"),
-    "smile_fits": q(f"""{MODEL}, sizes AS (SELECT {KEY}, any_value(scale) AS scale, count(*) AS n, CASE WHEN count(*) < 8 THEN printf('only %d usable quotes, need 8', count(*)) END AS excluded FROM model GROUP BY {KEY})""",
+    "smile_fits": q(f"""{MODEL}, sizes AS (SELECT {KEY}, any_value(scale) AS scale, count(*) FILTER (NOT (week = 7 AND root = 'SPX' AND slot % 10 <> 0)) AS n, CASE WHEN count(*) FILTER (NOT (week = 7 AND root = 'SPX' AND slot % 10 <> 0)) < 8 THEN printf('only %d usable quotes, need 8', count(*) FILTER (NOT (week = 7 AND root = 'SPX' AND slot % 10 <> 0))) END AS excluded FROM model GROUP BY {KEY})""",
         f"SELECT {SMILE}, k, n AS n_quotes, {rnd(f'CASE WHEN excluded IS NULL THEN {tape.A} + {tape.B}*({tape.RHO}*(k-{tape.M}) + sqrt((k-{tape.M})*(k-{tape.M})+{tape.SIGMA ** 2!r})) END', 6, 'w')}, excluded FROM sizes, (SELECT unnest([-8, -4, 0, 4, 8])/100.0::DOUBLE AS k)"),
     "known_smile_estimates": q(f"""{_TRUE_MOMENTS},
         {MODEL.replace('items AS', 'its AS').replace('FROM items', 'FROM its').strip()},
-        sizes AS (SELECT {KEY}, any_value(days) AS days, count(*) AS n, CASE WHEN count(*) < 8 THEN printf('only %d usable quotes, need 8', count(*)) END AS excluded FROM model GROUP BY {KEY})""",
+        sizes AS (SELECT {KEY}, any_value(days) AS days, count(*) FILTER (NOT (week = 7 AND root = 'SPX' AND slot % 10 <> 0)) AS n, CASE WHEN count(*) FILTER (NOT (week = 7 AND root = 'SPX' AND slot % 10 <> 0)) < 8 THEN printf('only %d usable quotes, need 8', count(*) FILTER (NOT (week = 7 AND root = 'SPX' AND slot % 10 <> 0))) END AS excluded FROM model GROUP BY {KEY})""",
         f"""SELECT {text('z.capture_utc', 'capture')}, z.expiry, z.root, n AS n_quotes, {rnd('days', 4, 'days')}, {rnd('CASE WHEN excluded IS NULL THEN mass END', 5, 'mass')},
         {rnd('CASE WHEN excluded IS NULL THEN sqrt(var/(days/365.0)) END', 5, 'annualised_vol')}, {rnd('CASE WHEN excluded IS NULL THEN skew END', 3, 'skewness')}, {rnd('CASE WHEN excluded IS NULL THEN kurt END', 2, 'kurtosis')},
         excluded IS NULL AS trustworthy, '' AS failures, excluded FROM sizes z JOIN shape s ON s.capture_utc = z.capture_utc AND s.expiry = z.expiry AND s.root = z.root"""),

@@ -151,7 +151,7 @@ def kept_without_rule(spark, sf):
 @query
 def smile_slice(spark, sf):
     """One root's surviving quotes with their position along the strikes of a smile."""
-    kept = curate.build(tape.quotes(spark, sf)).quotes.where("root = 'SPXW'")
+    kept = curate.build(tape.quotes(spark, sf)).for_expiry(None, "SPXW")
     order = Window.partitionBy(*KEY).orderBy("strike", "option_right")  # one row per contract
     return kept.select(*contract_key(), F.row_number().over(order).cast("bigint").alias("position"))
 
@@ -194,10 +194,9 @@ def newest_capture(spark, sf):
 
 @query
 def capture_match(spark, sf):
-    """Latest capture whose stamp contains each minute pattern, per minute."""
-    stamped = tape.quotes(spark, sf).select("capture_utc", symbols.stamp(F.col("capture_utc")).alias("stamp"))
-    minute = F.substring("stamp", 1, 16).alias("pattern")
-    return stamped.groupBy(minute).agg(F.max("stamp").alias("stamp"))
+    """The newest capture, and the last whose stamp contains a pattern."""
+    found = curated.matching(curated.captures_view(tape.quotes(spark, sf)), "35-0")
+    return found.select(when_text("newest", "newest"), when_text("match", "match"))
 
 
 @query
@@ -216,10 +215,11 @@ def contract_symbols(spark, sf):
     items = tape.read(spark, sf, "lineitem")
     key = F.col("l_orderkey")
     day = F.lpad((F.col("l_partkey") % 35).cast("string"), 2, "0")
+    strike = (F.col("l_suppkey") * 2500 + 125).cast("string")
     text = F.concat(
         F.when(key % 19 == 0, "spxw").when(key % 23 == 0, "SP X").otherwise("SPXW"),
         F.lit("2602"), day, F.when(key % 29 == 0, "X").when(key % 2 == 0, "C").otherwise("P"),
-        F.lpad((F.col("l_suppkey") * 2500 + 125).cast("string"), 8, "0"),
+        F.when(F.length(strike) < 8, F.lpad(strike, 8, "0")).otherwise(strike),  # an over-long one stays whole
     )
     parsed = items.select(symbols.contract(text).alias("c"))
     return parsed.groupBy("c.root", "c.option_right", "c.expiry", "c.strike").agg(F.count(F.lit(1)).alias("n"))
@@ -249,10 +249,9 @@ def payload_errors(spark, sf):
 @query
 def backfill_totals(spark, sf):
     report = payloads.conversion_report(payloads.snapshots(tape.bodies(spark, sf)))
-    return report.agg(
-        F.count_if(F.col("error").isNull()).alias("written"), F.count_if(F.col("error").isNotNull()).alias("failed"),
-        F.sum("rows").cast("bigint").alias("rows"), F.sum("unparsed").cast("bigint").alias("unparsed"),
-    )
+    status = F.when(F.col("error").isNull(), "written").otherwise("failed")
+    outcomes = report.select("stem", status.alias("status"), "rows", "unparsed", "error")
+    return curated.Backfill(outcomes, 0).sums().select(*[count(c, c) for c in ("written", "skipped", "failed", "rows", "unparsed")])
 
 
 @query
@@ -291,18 +290,18 @@ def health_record(spark, sf):
 
 @query
 def duplicate_captures(spark, sf):
-    found = gate.duplicates_of(tape.attempts(spark, sf).select("ticker", "capture_utc", "index_last_trade", "event_id"))
+    found = gate.duplicates_of(tape.attempts(spark, sf).select("ticker", "capture_utc", "index_last_trade", "event_id"), ["event_id"])
     return found.select("event_id", "ticker", when_text("duplicate_of", "duplicate_of"))
 
 
 @query
 def layer_divergence(spark, sf):
-    """Archived stems from the orders against curated stems from the line items."""
-    raw = tape.read(spark, sf, "orders").where("o_orderkey % 10 < 8").select(
+    """Archived stems from the order keys against curated stems from the part keys."""
+    raw = tape.read(spark, sf, "orders").select(
         symbols.stem(F.lit("_SPX"), tape.capture_instant(F.expr("o_orderkey div 10"))).alias("stem")
     )
-    made = tape.read(spark, sf, "lineitem").where("l_linenumber = 3").select(
-        symbols.stem(F.lit("_SPX"), tape.capture_instant(F.expr("l_orderkey div 10"))).alias("stem")
+    made = tape.read(spark, sf, "lineitem").select(
+        symbols.stem(F.lit("_SPX"), tape.capture_instant(F.col("l_partkey") * 5)).alias("stem")
     )
     return reconcile.divergence(raw, made)
 
@@ -314,7 +313,7 @@ def manifest_check(spark, sf):
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     digest = F.sha2(F.col("text"), 256)
     line = F.concat(F.when(F.col("doc_id") % 17 == 0, F.sha2(name, 256)).otherwise(digest), F.lit("  "), name)
-    lines = docs.where("doc_id % 13 <> 0").select(
+    lines = docs.where("doc_id % 13 <> 0 OR doc_id % 11 = 0").select(
         F.explode(F.array(F.lit("# comment"), F.lit(""), line)).alias("value")
     )
     on_disk = docs.where("doc_id % 11 <> 0").select(name.alias("name"), digest.alias("digest"))
@@ -511,7 +510,7 @@ def _known(spark, sf) -> DataFrame:
     """Contracts with exact variances, forward and discount."""
     return tape.model_quotes(spark, sf).select(
         *KEY, (F.col("days") / 365.0).alias("tenor_years"), F.col("f0").alias("forward"), F.col("d0").alias("discount"),
-        F.col("k0").alias("log_moneyness"), F.col("w0").alias("total_variance"),
+        F.col("k0").alias("log_moneyness"), F.when(~tape.thin(), F.col("w0")).alias("total_variance"),
         black76.vega(F.col("f0"), F.col("strike"), F.sqrt("w0"), F.col("d0")).alias("vega"),
     )
 

@@ -17,7 +17,7 @@ from ..functions import black76, symbols
 from ..functions.svi import Smile
 
 ORDERS_PER_CAPTURE = 1000
-CAPTURE_SECONDS = 10
+CAPTURE_SECONDS = 1  # two-digit years then last for 2.3e12 order keys
 EPOCH = 1786455300  # 2026-08-11 13:35:00 UTC
 WEEKS = 8
 SLOTS = 60
@@ -92,11 +92,15 @@ def smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def thin() -> Column:
+    """Contracts of a smile that hardly trades: they are listed, but nine of ten have no book."""
+    return (F.col("week") == 7) & (F.col("root") == "SPX") & (F.col("slot") % 10 != 0)
+
+
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts with strike, forward, discount and the variance of the known smile."""
-    kept = ~((F.col("week") == 7) & (F.col("root") == "SPX") & (F.col("slot") % 10 != 0))
     strike = (F.col("slot") * STRIKE_STEP + LOW_STRIKE).cast("double")
-    rows = _market(cells(spark, sf_dir).where(kept)).withColumn("strike", strike)
+    rows = _market(cells(spark, sf_dir)).withColumn("strike", strike)
     known = F.expr(f"{A}D + {B}D*({RHO}D*(k0 - {M}D) + sqrt((k0 - {M}D)*(k0 - {M}D) + {SIGMA * SIGMA!r}D))")
     return rows.withColumn("k0", F.ln(F.col("strike") / F.col("f0"))).withColumn("w0", F.col("scale") * known)
 
@@ -139,8 +143,8 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = (
         priced.withColumns(
             {
-                "bid": F.when(h % 211 != 0, F.when(crossed, high).otherwise(low)),
-                "ask": F.when(h % 223 != 0, F.when(h % 193 == 0, 0.0).when(crossed, low).otherwise(high)),
+                "bid": F.when((h % 211 != 0) & ~thin(), F.when(crossed, high).otherwise(low)),
+                "ask": F.when((h % 223 != 0) & ~thin(), F.when(h % 193 == 0, 0.0).when(crossed, low).otherwise(high)),
                 "iv": F.when(h % 13 == 0, 0.0).otherwise(F.sqrt(F.col("w0") / (F.col("days") / 365.0))),
             }
         )
@@ -232,7 +236,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive file names from the orders, malformed ones among them."""
     key = F.col("o_orderkey")
-    stamp = symbols.stamp(capture_instant(key % 1_000_000))
+    stamp = symbols.stamp(capture_instant(key))
     return read(spark, sf_dir, "orders").select(
         key.alias("id"),
         F.when(key % 11 == 0, F.concat(F.lit("_SPX_"), stamp, F.lit(".json.gz.tmp")))

@@ -115,6 +115,9 @@ class Backfill:
     total_bytes: int
 
     def totals(self):
+        return self.sums().first()
+
+    def sums(self) -> DataFrame:
         def of(status: str):
             return F.count_if(F.col("status") == status).alias(status)
 
@@ -122,7 +125,7 @@ class Backfill:
             of("written"), of("skipped"), of("failed"),
             F.coalesce(F.sum(F.when(F.col("status") == "written", F.col("rows"))), F.lit(0)).alias("rows"),
             F.coalesce(F.sum(F.when(F.col("status") == "written", F.col("unparsed"))), F.lit(0)).alias("unparsed"),
-        ).first()
+        )
 
 
 def backfill(
@@ -196,19 +199,22 @@ def captures_view(quotes: DataFrame) -> DataFrame:
 def open_catalog(spark: SparkSession, curated_dir: str) -> DataFrame:
     """Register the views ``quotes`` and ``captures`` for any ``spark.sql`` query."""
     rows = table(spark, curated_dir)
-    quotes = rows.where(F.col("kind") == QUOTE).select(*QUOTE_COLUMNS)
+    quotes = rows.where(F.col("kind") == QUOTE).select(*QUOTE_COLUMNS, DAY)
     quotes.createOrReplaceTempView("quotes")
     captures_view(quotes).createOrReplaceTempView("captures")
     return quotes
 
 
-def resolve_capture(captures: DataFrame, wanted: str | None = None):
-    """The newest capture, or the last whose stamp contains ``wanted``."""
+def matching(captures: DataFrame, wanted: str | None = None) -> DataFrame:
+    """One row: the newest capture, and the last whose stamp contains ``wanted``."""
     stamped = captures.select("capture_utc", symbols.stamp(F.col("capture_utc")).alias("stamp"))
     hit = F.lit(True) if wanted is None else F.col("stamp").contains(wanted)
-    found = stamped.agg(
-        F.max("capture_utc").alias("newest"), F.max(F.when(hit, F.col("capture_utc"))).alias("match")
-    ).first()
+    return stamped.agg(F.max("capture_utc").alias("newest"), F.max(F.when(hit, F.col("capture_utc"))).alias("match"))
+
+
+def resolve_capture(captures: DataFrame, wanted: str | None = None):
+    """The newest capture, or the last whose stamp contains ``wanted``."""
+    found = matching(captures, wanted).first()
     if found.newest is None:
         raise LookupError("no captures in the curated layer: run backfill first")
     if found.match is None:
