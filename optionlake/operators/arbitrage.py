@@ -33,7 +33,13 @@ COLUMNS = [*KEY, "kind", "strikes", "magnitude", "relative", "executable", "deta
 
 
 def call_curve(quotes: DataFrame) -> DataFrame:
-    """Every quote as its call equivalent: C(K) = P(K) + D * (F - K)."""
+    """Every quote as its call equivalent: C(K) = P(K) + D * (F - K).
+
+    Without bid and ask columns a vertical cannot be shown to be executable, and
+    a butterfly is as executable as its value on mids.
+    """
+    quoted = {"bid", "ask"} <= {*quotes.columns}
+    bid, ask = (F.col(c) if quoted else F.lit(None).cast("double") for c in ("bid", "ask"))
     shift = F.when(
         F.col("option_right") != "call", F.col("discount") * (F.col("forward") - F.col("strike"))
     ).otherwise(0.0)
@@ -44,8 +50,9 @@ def call_curve(quotes: DataFrame) -> DataFrame:
         "forward",
         "discount",
         (F.col("mid") + shift).alias("call"),
-        (F.col("bid") + shift).alias("call_bid"),
-        (F.col("ask") + shift).alias("call_ask"),
+        (bid + shift).alias("call_bid"),
+        (ask + shift).alias("call_ask"),
+        F.lit(quoted).alias("quoted"),
     )
 
 
@@ -102,15 +109,17 @@ def _butterfly(tol: float) -> list[Column]:
     low = F.when(span > 0, (k3 - k2) / span).otherwise(F.lit(0.0))
     high = F.when(span > 0, (k2 - k1) / span).otherwise(F.lit(0.0))
     value = low * F.col("call") + high * wing["call"] - body["call"]
-    cost = low * F.col("call_ask") + high * wing["call_ask"] - body["call_bid"]
+    cost = F.when(F.col("quoted"), low * F.col("call_ask") + high * wing["call_ask"] - body["call_bid"]).otherwise(value)
     relative = F.when(F.col("forward") != 0, -value / F.col("forward")).otherwise(-value)
     found = _breach(
         "butterfly", [k1, k2, k3], -value, relative, cost < -tol,
-        F.format_string(
-            "butterfly value %.6e on mids, %.6e at the quoted bid-ask"
-            " -- negative density between %.0f and %.0f",
-            value, cost, k1, k3,
-        ),
+        F.when(
+            F.col("quoted"),
+            F.format_string(
+                "butterfly value %.6e on mids, %.6e at the quoted bid-ask"
+                " -- negative density between %.0f and %.0f", value, cost, k1, k3,
+            ),
+        ).otherwise(F.format_string("butterfly value %.6e on mids -- negative density between %.0f and %.0f", value, k1, k3)),
     )
     return [F.when((F.size("ahead") >= 2) & (value < -tol), found)]
 

@@ -298,6 +298,7 @@ ORACLES: dict[str, str] = {
         FROM documents""",
     "price_arbitrage": q(curve("kept"), _BREACH),
     "price_arbitrage_unfiltered": q(curve("flagged"), _BREACH),
+    "price_arbitrage_on_mids": q(curve("flagged"), _BREACH.replace(" executable ", " kind = 'butterfly' AS executable ")).replace("option_right, c, cb, ca)", "option_right, c)"),
     "calendar_arbitrage": q(f"""{QUOTES},
         knots AS (SELECT {KEY}, k0 AS k, avg(w0*(1+(h % 11 - 5)/50.0)) AS w, min(days/365.0) AS tenor FROM quotes GROUP BY capture_utc, expiry, root, k0),
         curves AS (SELECT {KEY}, min(k) AS lo, max(k) AS hi, min(tenor) AS tenor FROM knots GROUP BY ALL HAVING count(*) >= 4),

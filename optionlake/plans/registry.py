@@ -341,6 +341,13 @@ def price_arbitrage_unfiltered(spark, sf):
     return _breaches(arb.price_violations(arb.call_curve(chain.quotes)))
 
 
+@query
+def price_arbitrage_on_mids(spark, sf):
+    """The same checks on a curve that has mids only."""
+    chain = curate.build(tape.quotes(spark, sf), quality.PERMISSIVE)
+    return _breaches(arb.price_violations(arb.call_curve(chain.quotes.drop("bid", "ask"))))
+
+
 def _variance_frame(spark, sf) -> DataFrame:
     """Known total variances with noise large enough to cross between expiries."""
     q = tape.quotes(spark, sf)
