@@ -73,12 +73,16 @@ class CaptureFiles(DataSource):
         return _Lister(self.options["path"])
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, path, size) of every file below a folder."""
+    spark.dataSource.register(CaptureFiles)
+    return spark.read.format(FORMAT).load(str(folder))
+
+
 def scan(spark: SparkSession, raw_dir: str) -> DataFrame:
     """Captures of an archive folder; other files in it are none of our business."""
-    spark.dataSource.register(CaptureFiles)
-    files = spark.read.format(FORMAT).load(str(raw_dir))
     return (
-        files.withColumn("_c", symbols.capture_file(F.col("name")))
+        listing(spark, raw_dir).withColumn("_c", symbols.capture_file(F.col("name")))
         .where("_c is not null")
         .select("_c.*", "name", "path", "size")
     )

@@ -152,6 +152,8 @@ def backfill(
         whole = table(spark, curated_dir)
     except FileNotFoundError:
         whole = spark.createDataFrame([], TABLE)
+    # Only the days asked for: the report of one capture does not read the table.
+    whole = whole.join(asked.select(F.to_date("capture_utc").alias(DAY)).distinct(), DAY, "left_semi")
     marker, mine = F.col("kind") == CAPTURE, F.col("run") == run
     good = marker & F.col("error").isNull()
     counts = whole.groupBy("stem").agg(
@@ -169,13 +171,9 @@ def backfill(
 
 
 def _bytes(spark: SparkSession, curated_dir: str) -> int:
-    try:
-        files = spark.read.schema(TABLE).parquet(str(curated_dir)).select(
-            "_metadata.file_path", "_metadata.file_size"
-        ).distinct()
-        return files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
-    except AnalysisException:
-        return 0
+    """Size of the table's files, from their listing."""
+    files = archive.listing(spark, curated_dir).where(F.col("name").endswith(".parquet"))
+    return files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
 
 # --- SQL ---------------------------------------------------------------------

@@ -7,6 +7,7 @@ from datetime import date
 import pytest
 
 from optionlake import cli
+from optionlake.plans import curate
 from optionlake.sources import archive, curated
 from test_ingest import body
 
@@ -74,7 +75,7 @@ def test_backfill_isolates_failures_and_resumes(spark, data):
 
 def test_sql_over_the_catalog(spark, data):
     quotes = curated.open_catalog(spark, str(data / "curated"))
-    assert len(quotes.columns) == 33 and quotes.count() == 2 * len(chain_options())
+    assert len(quotes.columns) == 34 and quotes.count() == 2 * len(chain_options())
     rows = spark.sql("select capture_utc, n_options, n_expiries, n_roots from captures order by 1").collect()
     assert [(r.n_options, r.n_expiries, r.n_roots) for r in rows] == [(len(chain_options()), 2, 1)] * 2
     captures = spark.table("captures")
@@ -85,6 +86,8 @@ def test_sql_over_the_catalog(spark, data):
     plan = quotes.where("capture_utc = timestamp'2026-08-11 20:37:03'").select("strike")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(kind), IsNotNull(capture_utc), EqualTo(kind,quote)" in plan
     assert "rho" not in plan.split("ReadSchema")[1]
+    one = curate.from_catalog(quotes, rows[0].capture_utc).flagged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(capture_date" in one  # one day is read
 
 
 def test_command_line_end_to_end(spark, data, capsys):
