@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Hashes of a sketch; words of a shingle; documents in a band of ids.
 K, WIDTH, BAND = 128, 5, 2_000
+#: Bands up to which their first rows are sent to all executors, at a few dozen bytes each.
+MOST_BROADCAST = 100_000
 _RANGE = float(1 << 63)
 
 
@@ -62,8 +64,8 @@ def text_of(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], band: int = BAND) -> DataFrame:
-    """Add next_<c> of the row after in order of (doc_id, digest); after the last comes the first.
+def with_next(docs: DataFrame, columns: list[str], band: int = BAND, derived: dict[str, Column] | None = None) -> DataFrame:
+    """Add ``derived`` columns, and next_<c> of the row after in order of (doc_id, digest); after the last comes the first.
 
     Ids are dealt into equal bands of about ``band`` rows, so no window grows
     with the table; the first row of the band after closes each. Null ids come
@@ -71,7 +73,8 @@ def with_next(docs: DataFrame, columns: list[str], band: int = BAND) -> DataFram
     """
     size = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("gone")).first()
     if not size.n:
-        return docs.withColumns({f"next_{c}": F.lit(None).cast(docs.schema[c].dataType) for c in columns})
+        empty = docs.withColumns(derived or {})
+        return empty.withColumns({f"next_{c}": F.lit(None).cast(empty.schema[c].dataType) for c in columns})
     width = max(1, ((size.b or 0) - (size.a or 0) + 1) * band // max(1, size.n - size.gone))
     spans = size.gone // band + 1
     # Null ids are ordered by digest alone, so their bands are ranges of the digest.
@@ -79,10 +82,14 @@ def with_next(docs: DataFrame, columns: list[str], band: int = BAND) -> DataFram
     place = F.when(F.col("doc_id").isNull(), null_band).otherwise(F.floor((F.col("doc_id") - F.lit(size.a or 0)) / F.lit(width))).cast("bigint")
     banded = docs.withColumn("_band", place)
     order = Window.partitionBy("_band").orderBy("doc_id", "digest")
-    stepped = banded.withColumns({f"_in_{c}": F.lead(c).over(order) for c in columns} | {"_inner": F.lead(F.lit(True)).over(order)})
+    stepped = banded.withColumns(derived or {}).withColumns({f"_in_{c}": F.lead(c).over(order) for c in columns} | {"_inner": F.lead(F.lit(True)).over(order)})
     # One row per band: its first row, handed to the band before it; the first band's goes to the last.
-    lead = banded.groupBy("_band").agg(F.min_by(F.struct(*columns), F.struct("doc_id", "digest")).alias("_head"))
-    bands = lead.select("_band")
+    firsts = banded.groupBy("_band").agg(F.min(F.struct("doc_id", "digest")).alias("_least")).select("_band", "_least.*").toDF("_band", "_id", "_key")
+    if size.n // band + spans + 2 <= MOST_BROADCAST:  # at most as many bands
+        firsts = F.broadcast(firsts)
+    found = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_key"))).withColumns(derived or {})
+    lead = found.dropDuplicates(["_band"]).select("_band", F.struct(*columns).alias("_head"))  # repeated rows are alike
+    bands = docs.select(place.alias("_band")).distinct()
     in_order = Window.orderBy("_band")  # as many rows as bands
     after = bands.withColumn("_after", F.lead("_band").over(in_order))
     first = bands.agg(F.min("_band")).first()[0]
@@ -105,8 +112,8 @@ def compare(docs: DataFrame, k: int = K) -> DataFrame:
     order of the hash of their text; rows that agree in both have equal results.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumns({"digest": F.xxhash64("text"), "print": sketch(F.col("text"), k)})
-    pairs = with_next(rows, ["text", "print"]).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("digest", F.xxhash64("text"))
+    pairs = with_next(rows, ["text", "print"], derived={"print": sketch(F.col("text"), k)}).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     done = pairs.withColumn("edited_print", sketch(F.col("edited"), k))
     return done.select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
