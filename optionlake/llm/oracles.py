@@ -27,6 +27,71 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+ORACLES["op2_jaccard"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS root, doc_id AS node FROM w UNION SELECT root, y FROM r JOIN e ON node = x)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.least AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS least FROM r GROUP BY node) c ON w.doc_id = c.node
+"""
+
+
+def _secret_sql() -> str:
+    """Matches of every kind, their places as sums of lengths, and the distinct owners of each value."""
+    from .secrets import COPIED, KINDS
+
+    def plain(kind) -> str:  # no letter case switch: it would fold two letters beyond ASCII
+        if kind.name == "opaque":
+            return "[A-Za-z0-9_-]+"
+        if "(?i)" not in kind.pattern:
+            return kind.pattern
+        words, rest = kind.pattern.removeprefix("(?i)").split(")", 1)
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in words) + ")" + rest
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT rid, {k} AS kind, list_transform(string_split_regex(text, {quoted(plain(x))}), lambda t: length(t)) AS gaps, "
+        f"regexp_extract_all(text, {quoted(plain(x))}, 0) AS whole, regexp_extract_all(text, {quoted(plain(x))}, {x.group}) AS value FROM d"
+        for k, x in enumerate(KINDS)
+    )
+    opaque = next(k for k, x in enumerate(KINDS) if x.name == "opaque")
+    long_enough = " ".join(f"WHEN {k} THEN {x.least}" for k, x in enumerate(KINDS))
+    base = ", ".join(str(k) for k, x in enumerate(KINDS) if x.base)
+    names = "[" + ", ".join(quoted(x.name) for x in KINDS) + "]"
+    span = f"{names}[kind + 1] || ':' || start || ':' || stop"
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = {k}), 0) AS n_{x.name}" for k, x in enumerate(KINDS) if x.base)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, source FROM documents),
+found AS ({found}),
+each AS (
+    SELECT rid, kind, i, gaps[i] AS gap, length(whole[i]) AS n, value[i] AS value
+    FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM found)),
+placed AS (SELECT *, sum(gap + n) OVER (PARTITION BY rid, kind ORDER BY i) AS stop FROM each),
+good AS (
+    SELECT rid, kind, value, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM placed
+    WHERE length(value) >= CASE kind {long_enough} END
+        AND (kind <> {opaque} OR (regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')))),
+owned AS (SELECT value, count(DISTINCT source) AS owners FROM good JOIN d USING (rid) GROUP BY value),
+spans AS (SELECT * FROM good JOIN owned USING (value) WHERE kind IN ({base}) OR owners <= 1),
+per AS (
+    SELECT rid, {counts}, string_agg({span}, ',' ORDER BY start, kind) FILTER (kind IN ({base})) AS base, string_agg({span}, ',' ORDER BY start, kind) AS spans,
+        count(*) FILTER (owners <= 1) AS n_live, count(*) FILTER (owners >= {COPIED}) AS n_copied FROM spans GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{x.name}, 0)::BIGINT AS n_{x.name}" for x in KINDS if x.base)}, sha256(coalesce(base, '')) AS base_sha256,
+    coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+FROM d LEFT JOIN per USING (rid)
+"""
+
+
+ORACLES["op4_secrets"] = _secret_sql()
+
 
 def _license_sql() -> str:
     """Every line against every template, and every phrase at every word."""

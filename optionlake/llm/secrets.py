@@ -32,7 +32,7 @@ KINDS = (
     Kind("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Kind("hex", r"[0-9a-f]+", 0, 24, True),
     Kind("signed", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 24, False),
-    Kind("private", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}", 0, 60, False),
+    Kind("private", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]{40,}", 0, 60, False),
     Kind("opaque", r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*[a-z])(?=[A-Za-z0-9_-]*[A-Z])(?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{32,}", 0, 32, False),
 )
 #: Owners from which a value counts as copied around.
