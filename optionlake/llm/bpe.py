@@ -4,7 +4,7 @@ The vocabulary is a byte-level ``tokenizers`` file. A text is cut at special
 tokens and then into pieces between which no merge can happen. A piece runs
 through ``Transducer``: for every end position it knows the last token of the
 encoding of the bytes so far, which is the one token that may follow the last
-token before it. Tokens leave as soon as every way the piece can go on agrees on
+token before it. A piece shorter than the lookahead is settled at its end. Tokens leave as soon as every way the piece can go on agrees on
 them; ``lookahead`` bounds, from the merge list alone, how many bytes that can
 take, so the state stays the same size however long a piece is.
 """
@@ -14,19 +14,25 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import per_worker
+
 # White space (Unicode White_Space) and the piece pattern of byte-level files.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PIECE = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
+#: The same for texts of Latin-1 without its six odd numerals, in which word characters and digits are letters and digits.
+WESTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w{SPACE}]|_)+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pieces up to this length are remembered, as many as fit REMEMBERED; longer ones are streamed each time.
 SHORT, REMEMBERED, CHUNK = 48, 300_000, 1 << 20
 
@@ -53,15 +59,57 @@ class Merges:
         self.rank = {(self.ids[a], self.ids[b]): (r, self.ids[a + b]) for r, (a, b) in reversed([*enumerate(pairs)])}
         self.lookahead = lookahead(pairs)
         self.longest = max(map(len, self.ids))
-        # Every suffix of a token, and the token it is, if it is one that encodes as itself.
-        self.suffix: dict[bytes, int] = {}
-        for token, i in self.ids.items():
-            for k in range(len(token)):
-                self.suffix.setdefault(token[k:], -1)
-            if self.merge(token) == [i]:
-                self.suffix[token] = i
+        #: Tokens that encode as themselves; the others never come out.
+        self.whole = {token: i for token, i in self.ids.items() if self.merge(token) == [i]}
         self._follows: dict[int, bool] = {}
 
+    @cached_property
+    def suffix(self) -> dict[bytes, int]:
+        """Every suffix of a token, and the token it is, or -1."""
+        return {token[k:]: -1 for token in self.whole for k in range(1, len(token))} | self.whole
+
+    @cached_property
+    def prefix(self) -> dict[bytes, int]:
+        """Every prefix of a token, and the token it is, or -1."""
+        return {token[:k]: -1 for token in self.whole for k in range(1, len(token))} | self.whole
+
+    def settle(self, piece: bytes) -> list[int]:
+        """The encoding of a piece known to its end, shorter than the lookahead: longest tokens that can stand side by side.
+
+        Tokens each of which may follow the one before are the encoding of
+        their bytes, so a place is reached in one way only; one that leads
+        nowhere is not tried again.
+        """
+        prefix, known, follows, n = self.prefix.get, self._follows.get, self.follows, len(piece)
+        starts, path, left, dead = [], [], [], set()
+        at, ways = 0, None
+        while at < n:
+            if ways is None:
+                ways, end = [], at + 1
+                while end <= n:
+                    token = prefix(piece[at:end])
+                    if token is None:
+                        break
+                    if token >= 0:
+                        ways.append((end, token))
+                    end += 1
+            while ways:
+                end, token = ways.pop()
+                if end in dead:
+                    continue
+                if path:
+                    fits = known(path[-1] << 32 | token)
+                    if not (fits or (fits is None and follows(path[-1], token))):
+                        continue
+                starts.append(at), path.append(token), left.append(ways)
+                at, ways = end, None
+                break
+            else:
+                dead.add(at)
+                at, ways = starts.pop(), left.pop()
+                path.pop()
+        return path
+
     def merge(self, piece: bytes) -> list[int]:
         """Merges in order of rank, leftmost first: the definition, for short pieces."""
         ids = [self.ids[piece[k : k + 1]] for k in range(len(piece))]
@@ -185,6 +233,7 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             self.merges = Merges(json.load(f))
         self.pieces = regex.compile(PIECE)
+        self.western = re.compile(WESTERN)
         self.newer, self.pieces_newer = newer_letters(path, regex)
         names = sorted(self.merges.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
@@ -194,18 +243,21 @@ class Codec:
         self.decimal = [str(i) for i in range(size)]
 
     def _piece(self, piece: str) -> list[int]:
-        machine, data = Transducer(self.merges), piece.encode()
-        if len(data) > SHORT:
+        data = piece.encode()
+        if len(data) > min(SHORT, self.merges.lookahead):
+            machine = Transducer(self.merges)
             return [t for k in range(0, len(data), CHUNK) for t in machine.feed(data[k : k + CHUNK])] + machine.finish()
-        ids = machine.feed(data) + machine.finish()
+        ids = self.merges.settle(data)
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
         self.seen[piece] = ids
         return ids
 
     def _spans(self, text: str) -> Iterator[str]:
-        plain = text.isascii() or self.newer is None or not self.newer.search(text)
-        pieces = self.pieces if plain else self.pieces_newer
+        if western(text):
+            pieces = self.western
+        else:
+            pieces = self.pieces if self.newer is None or not self.newer.search(text) else self.pieces_newer
         return (m[0] for m in pieces.finditer(text)) if len(text) > CHUNK else iter(pieces.findall(text))
 
     def encode(self, text: str | None) -> list[int]:
@@ -230,6 +282,16 @@ class Codec:
         return "".join(texts) + machine.finish()
 
 
+def western(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not any(c in text for c in "\xb2\xb3\xb9\xbc\xbd\xbe")
+
+
 def newer_letters(path: str, regex):
     """Letters and digits that ``regex`` knows and the tokenizers library does not yet, and the piece pattern without them.
 
@@ -274,14 +336,8 @@ class TextMachine:
         return self._state.decode(b"", True)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """The codec of a file, kept by the worker from task to task."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return per_worker(("bpe", path), lambda: Codec(path))
 
 
 def tokenizer_path(name: str) -> str:
