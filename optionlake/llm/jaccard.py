@@ -342,12 +342,12 @@ class PrefixTree:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], side: np.ndarray | None = None, every: bool = False) -> list[tuple[int, int]]:
     """Links that connect what all links connect: pairs of positions; with ``side``, between the two sides only.
 
     A set that has been probed against everything is closed. Sets that are
     already connected need no probe against each other, so once all open sets
-    are connected the rest is known.
+    are connected the rest is known. With ``every``, all links, each once.
     """
     sided = side is not None
     if len(sets) < 2 or (sided and len(np.unique(side)) < 2):
@@ -355,6 +355,13 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
     tree = PrefixTree(sets)
     m = len(sets)
     side = np.asarray(side)[tree.order] if sided else np.zeros(m, np.int64)
+    if every:
+        left = np.ones(m, bool)
+        found = []
+        for x in range(m):
+            left[x] = False
+            found += [(int(tree.order[x]), int(tree.order[y])) for y in tree.probe(x, left & (side != side[x]) if sided else left).tolist()]
+        return found
     forest, out = Forest(m), []
     closed, root, count = np.zeros(m, bool), np.arange(m), np.ones(m, np.int64)
     heart = tree.by_weight[0]
@@ -382,8 +389,8 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
     return out
 
 
-def search(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links (a, b) within groups: rows of ``groups`` are doc_id, class, group, part_a, part_b, part.
+def search(docs: DataFrame, groups: DataFrame, every: bool = False) -> DataFrame:
+    """Links (a, b) within groups, all of them or enough to connect the same: rows of ``groups`` are doc_id, class, group, part_a, part_b, part.
 
     The texts come by doc_id; a text of another class under the same id is left out.
     """
@@ -396,7 +403,7 @@ def search(docs: DataFrame, groups: DataFrame) -> DataFrame:
             if name not in seen and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(name):
                 seen.add(name), sets.append(s), names.append(bytes(name)), side.append(part)
         same = group["part_a"].iloc[0] == group["part_b"].iloc[0]
-        pairs = linked(sets, None if same else np.array(side))
+        pairs = linked(sets, None if same else np.array(side), every)
         return pd.DataFrame([(names[a], names[b]) for a, b in pairs], columns=["a", "b"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("text"))
@@ -407,10 +414,10 @@ def search(docs: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def classes(docs: DataFrame, block_size: int = BLOCK, group_size: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """(documents with their class, links that connect all linked classes).
+def join(docs: DataFrame, every: bool = True, block_size: int = BLOCK, group_size: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """(documents with their class, links between classes): the join as pairs of classes plus membership.
 
-    The links are enough of all links to give the same components.
+    Without ``every``, only enough of the links to connect the same classes.
     """
     spark = docs.sparkSession
     made = stored(blocks(docs, block_size), "sets")
@@ -437,7 +444,7 @@ def classes(docs: DataFrame, block_size: int = BLOCK, group_size: int = GROUP_SH
     )
     owned = members(made)
     holder = owned.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    return owned, stored(search(docs, dealt.join(holder, "class")), "pairs")
+    return owned, stored(search(docs, dealt.join(holder, "class"), every), "pairs")
 
 
 def label(docs: DataFrame, **sizes: int) -> DataFrame:
@@ -447,7 +454,7 @@ def label(docs: DataFrame, **sizes: int) -> DataFrame:
     (a component of null ids only has a null name). Null and blank texts are
     empty sets, each by itself. Rows that repeat an id count each for itself.
     """
-    owned, links = classes(docs, **sizes)
+    owned, links = join(docs, every=False, **sizes)
     least = owned.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = least.join(components(links).toDF("class", "label"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     first = named.groupBy("label").agg(F.min("least").alias("component_id"))

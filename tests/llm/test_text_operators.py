@@ -169,6 +169,25 @@ def test_prefix_tree_finds_what_all_pairs_connect():
         assert [a.find(x) for x in range(len(sets))] == [b.find(x) for x in range(len(sets))]
 
 
+def test_join_returns_every_link(spark):
+    copies = near_copies()
+    docs = spark.createDataFrame([r[:2] for r in copies], "doc_id long, text string")
+    sets = {i: shingle_set(t) for i, t, *_ in copies}
+    want = set()
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and sets[a] != sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                want.add((a, b))
+    for sizes in ({}, {"block_size": 600, "group_size": 900}):
+        owned, links = jaccard.join(docs.repartition(5), **sizes)
+        of = {}
+        for r in owned.collect():
+            of.setdefault(bytes(r["class"]), []).append(r.doc_id)
+        listed = [(min(x, y), max(x, y)) for r in links.collect() for x in of[bytes(r.a)] for y in of[bytes(r.b)]]
+        assert len(listed) == len(set(listed)) and set(listed) == want and len(want) > 50
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 120)] + [(7, 7), (None, 3)]
     df = spark.createDataFrame(links, "a long, b long")
