@@ -273,4 +273,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     index = stored(build(docs), "postings")
     bad = search(index, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_bad"]), "left_anti")

@@ -466,4 +466,4 @@ def label(docs: DataFrame, **sizes: int) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the least doc_id, all columns kept; empty ones stay."""
     kept = label(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(kept["_kept"]), "left_semi")

@@ -135,5 +135,6 @@ def withhold_live(docs: DataFrame, repository: Column, owner: Column) -> DataFra
     live = spans(docs, repository, owner).where(F.exists("spans", lambda s: s["owners"] < COPIED)).select(
         F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")
     ).distinct()
-    match = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_digest"))
+    digest = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    match = docs["doc_id"].cast("bigint").eqNullSafe(live["_id"]) & (digest == live["_digest"])
     return docs.join(live, match, "left_anti")

@@ -57,7 +57,9 @@ def test_an_empty_table_passes_through(spark):
 
 
 def test_extra_columns_stay(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").withColumns({"words": F.lit(1), "block": F.lit("b"), "d_text": F.lit("d")})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").withColumns(
+        {"words": F.lit(1), "block": F.lit("b"), "d_text": F.lit("d"), "_id": F.lit(2), "_kept": F.lit(3), "_bad": F.lit(4), "_digest": F.lit(5)}
+    )
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, SF)
         assert kept.columns == docs.columns and kept.where("words = 1 and block = 'b' and d_text = 'd'").count() == kept.count()
