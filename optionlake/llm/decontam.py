@@ -224,7 +224,7 @@ def _search(index: DataFrame, items: list[tuple[int, str]], slack: int | None) -
 
 
 def search(index: DataFrame, benchmark: DataFrame, slack: int | None = None, item_words: int = ITEM_WORDS) -> DataFrame:
-    """A row per document: n_words, the word spans inside exact windows, items with an exact and with a near window.
+    """Of a stored index, a row per document: n_words, the word spans inside exact windows, items with an exact and with a near window.
 
     The benchmark goes to the blocks in groups of about ``item_words`` words, so
     what a task holds is bounded however long it is; each group is another pass

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from optionlake.llm.common import stored  # noqa: I001
 from optionlake.llm import bpe, components, decontam, fingerprints, jaccard, langid, licenses, pii, quality, repair, secrets
 
 SF = "/root/testdata/sf0.001"
@@ -511,7 +512,7 @@ def test_decontamination_equals_a_plain_search(spark, documents, rows, nothing):
 
 def test_index_in_many_blocks_and_benchmark_in_many_groups(spark, documents, rows):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    index = decontam.build(documents, block_words=2_000)
+    index = stored(decontam.build(documents, block_words=2_000), "postings")  # blocks are numbered by the task that builds them
     assert index.count() > 10
     found = decontam.search(index, bench, item_words=300)
     want = plain_hits(rows, [(r.item_id, r.text) for r in bench.collect()])
