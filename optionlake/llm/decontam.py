@@ -24,8 +24,8 @@ from .common import alnum_words, stored
 
 #: Words of a window; words of a block of the index; words of the benchmark taken at a time.
 WINDOW, BLOCK_WORDS, ITEM_WORDS = 10, 1_000_000, 500_000
-#: Words by which a near window may be pulled apart or pushed together at each term.
-SLACK = 2
+#: Words by which a term of a near window may stand off its place; words from which a near window may lack one; candidates taken at a time.
+SLACK, LACKING, CANDIDATES = 2, 5, 2_000_000
 
 INDEX = (
     "block bigint, n_rows int, terms binary, counts binary, gaps binary, has_id binary, doc_ids binary, starts binary, lengths binary"
@@ -131,7 +131,7 @@ def windows_of(items: Iterable[tuple[int, str | None]], width: int = WINDOW) ->
     return [*number], table[:, 0], (table[:, 1:] >= 0).sum(1), table[:, 1:]
 
 
-def _matches(block: Block, local: np.ndarray, order: np.ndarray, lengths: np.ndarray, terms: np.ndarray, slack: int):
+def _matches(block: Block, local: np.ndarray, order: np.ndarray, lengths: np.ndarray, terms: np.ndarray):
     """(window, place of its first word) of all windows in the block: places of the rarest term, thinned term by term."""
     rows = np.arange(len(terms))
     there = np.where(terms >= 0, local[np.maximum(terms, 0)], 0) >= 0
@@ -148,11 +148,47 @@ def _matches(block: Block, local: np.ndarray, order: np.ndarray, lengths: np.nda
         due = lengths[window] > k
         column = order[window, k]
         term = local[np.maximum(terms[window, column], 0)]
-        keep = ~due | block.has_near(np.where(due, term, 0), place + column, slack)
+        keep = ~due | block.has_near(np.where(due, term, 0), place + column, 0)
         window, place = window[keep], place[keep]
     return window, place
 
 
+def _near(block: Block, local: np.ndarray, order: np.ndarray, lengths: np.ndarray, terms: np.ndarray, slack: int):
+    """(window, place of its anchor) of near windows: for some place of the window, every term stands within ``slack`` of its own.
+
+    A window of LACKING words or more may lack one. One of its two rarest terms
+    then is there, so both are anchors, at every shift the slack allows.
+    """
+    here = np.where(terms >= 0, local[np.maximum(terms, 0)], -1)
+    spare = (lengths >= LACKING).astype(np.int64)
+    fits = ((terms >= 0) & (here < 0)).sum(1) <= spare
+    shifts = np.arange(-slack, slack + 1)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a in range(min(2, terms.shape[1])):
+        anchor = here[np.arange(len(terms)), order[:, a]]
+        alive = np.flatnonzero(fits & (lengths > a) & (spare >= a) & (anchor >= 0))
+        n = block.counts[anchor[alive]]
+        cuts = np.flatnonzero(np.diff(np.cumsum(n * len(shifts)) // CANDIDATES)) + 1
+        for rows in np.split(alive, cuts):
+            n = block.counts[anchor[rows]]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            spot = np.repeat(block.places[np.repeat(block.ends[anchor[rows]] - n, n) + inner], len(shifts))
+            window = np.repeat(rows, n * len(shifts))
+            place = spot - order[window, a] + np.tile(shifts, int(n.sum()))
+            lacks = np.zeros(len(window), np.int64)
+            for k in range(terms.shape[1]):
+                if k == a:
+                    continue
+                column = order[window, k]
+                term = here[window, column]
+                held = (lengths[window] <= k) | ((term >= 0) & block.has_near(np.maximum(term, 0), place + column, slack))
+                lacks = lacks + ~held
+                keep = lacks <= spare[window]
+                window, place, spot, lacks = window[keep], place[keep], spot[keep], lacks[keep]
+            found.append((window, spot))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def term_counts(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
     """Count in the whole corpus of each given term (a bounded set)."""
 
@@ -170,9 +206,11 @@ def term_counts(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
     return {bytes(r.term): r.n for r in counted.collect()}
 
 
-def _search(index: DataFrame, items: list[tuple[int, str]], slack: int | None) -> DataFrame:
+def _search(index: DataFrame, items: list[tuple[int | None, str]], slack: int | None) -> DataFrame:
     """Hits of a bounded group of items in every block; a row per document."""
-    terms, item, lengths, words = windows_of(items)
+    number = {i: k for k, i in enumerate(dict.fromkeys(i for i, _ in items))}
+    ids = [*number]
+    terms, item, lengths, words = windows_of((number[i], text) for i, text in items)
     counts = term_counts(index, set(terms))
     total = np.array([counts.get(t, 0) for t in terms] or [0], np.int64)
     rarity = np.where(words >= 0, total[np.maximum(words, 0)], 1 << 60)
@@ -183,20 +221,21 @@ def _search(index: DataFrame, items: list[tuple[int, str]], slack: int | None) -
 
         spots = [bisect_left(block.terms, t) for t in terms]
         local = np.array([k if k < len(block.terms) and block.terms[k] == t else -1 for t, k in zip(terms, spots, strict=True)] or [-1])
-        out = []
-        for width in (0,) if slack is None else (0, slack):
-            window, place = _matches(block, local, order, lengths, words, width)
-            row = np.searchsorted(block.starts, place, "right") - 1
-            inside = place - block.starts[row]
-            keep = inside + np.where(width, 1, lengths[window]) <= block.lengths[row]
-            out.append((row[keep], inside[keep], window[keep]))
-        return [*out, (row[:0], inside[:0], window[:0])][:2]
+        window, place = _matches(block, local, order, lengths, words)
+        row = np.searchsorted(block.starts, place, "right") - 1
+        inside = place - block.starts[row]
+        keep = inside + lengths[window] <= block.lengths[row]
+        near = np.zeros((0, 2), np.int64)
+        if slack is not None:
+            near_window, spot = _near(block, local, order, lengths, words, slack)
+            near = np.unique(np.stack([np.searchsorted(block.starts, spot, "right") - 1, item[near_window]], 1), axis=0)
+        return (row[keep], inside[keep], window[keep]), near
 
     def run(batches):
         for batch in batches:
             for record in batch.to_pylist():
                 block = Block(record)
-                (row, at, window), (near_row, _, near_window) = hits(block)
+                (row, at, window), nearby = hits(block)
                 spans: list[list] = [[] for _ in block.starts]
                 order_by = np.lexsort((at, row))
                 for r, a, b in zip(row[order_by].tolist(), at[order_by].tolist(), (at + lengths[window])[order_by].tolist(), strict=True):
@@ -206,9 +245,9 @@ def _search(index: DataFrame, items: list[tuple[int, str]], slack: int | None) -
                         spans[r].append({"a": a, "b": b})
                 found: list[list] = [[] for _ in block.starts]
                 near: list[list] = [[] for _ in block.starts]
-                for target, rows_, windows in ((found, row, window), (near, near_row, near_window)):
-                    for r, i in dict.fromkeys(zip(rows_.tolist(), item[windows].tolist(), strict=True)):
-                        target[r].append(i)
+                for target, pairs in ((found, zip(row.tolist(), item[window].tolist(), strict=True)), (near, map(tuple, nearby.tolist()))):
+                    for r, i in dict.fromkeys(pairs):
+                        target[r].append(ids[i])
                 n = len(spans)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -228,28 +267,34 @@ def search(index: DataFrame, benchmark: DataFrame, slack: int | None = None, ite
 
     The benchmark goes to the blocks in groups of about ``item_words`` words, so
     what a task holds is bounded however long it is; each group is another pass
-    over the index, and spans are joined afterwards. Null items have no windows.
-    ``near``, the items of which all terms of a window stand within ``slack``
-    words of their place, is empty unless a slack is given (SLACK is a good one).
+    over the index, and spans are joined afterwards. A null text has no windows,
+    a null item_id is an id like any other. ``near``, the items of which the
+    terms of a window stand within ``slack`` words of their place (a window of
+    LACKING words may lack one), is empty unless a slack is given (SLACK is a
+    good one).
     """
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     groups = int(words // item_words) + 1
-    dealt = items.withColumn("group", F.pmod(F.hash("item_id"), F.lit(groups)))
+    dealt = items.withColumn("group", F.pmod(F.hash("item_id", "text"), F.lit(groups)))
     found = None
     for k in range(groups):
         part = _search(index, [(r.item_id, r.text) for r in dealt.where(F.col("group") == k).collect()], slack)
         found = part if found is None else found.unionAll(part)
     if groups == 1:
         return found
+    joined = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  a list per group
     return found.groupBy("block", "row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        *[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")],  # a list per group
+        joined("spans").alias("spans"), *[F.array_distinct(joined(c)).alias(c) for c in ("items", "near")],
     )
 
 
 def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Contamination of every document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Contamination of every document: n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Items without an id count, as one, but are not in the digest of the ids.
+    """
     index = stored(build(docs), "postings")
     found = search(index, benchmark)
     covered = F.aggregate(
@@ -266,6 +311,12 @@ def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def mark_near(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK) -> DataFrame:
+    """Near matches of every document, exact ones among them: doc_id, n_near, near_items (ascending ids, without the null one n_near counts)."""
+    found = search(stored(build(docs, gap=WINDOW + slack + 1), "postings"), benchmark, slack)
+    return found.select("doc_id", F.size("near").cast("bigint").alias("n_near"), F.array_sort(F.array_compact("near")).alias("near_items"))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without an exact window of a benchmark item, all columns kept.
 

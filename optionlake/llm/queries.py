@@ -73,3 +73,8 @@ def op9_fingerprints(spark, sf):
 @query
 def op10_decontamination(spark, sf):
     return decontam.mark(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op10_near_matches(spark, sf):
+    return decontam.mark_near(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

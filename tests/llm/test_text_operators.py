@@ -525,3 +525,47 @@ def test_proximity_allows_small_shifts(spark):
     bench = spark.createDataFrame([(5, "quick brown fox jumps over the lazy dog near a")], "item_id long, text string")
     out = {r.doc_id: (list(r["items"]), list(r.near)) for r in decontam.search(decontam.build(docs), bench, slack=2).collect()}
     assert out == {1: ([], [5]), 2: ([5], [5]), 3: ([], [])}
+
+
+def plain_near(rows, items, width=10, slack=2):
+    windows = set()
+    for i, text in items:
+        w = alnum(text)
+        n = min(width, len(w))
+        windows |= {(i, *w[k : k + n]) for k in range(len(w) - n + 1 if n else 0)}
+    out = []
+    for doc, text in rows:
+        w = alnum(text)
+        close = lambda t, at: t in w[max(at - slack, 0) : max(at + slack + 1, 0)]  # noqa: E731, B023
+        near = {
+            i for i, *win in windows for p in range(-len(win) - slack, len(w) + slack)
+            if sum(not close(t, p + k) for k, t in enumerate(win)) <= (len(win) >= 5)
+        }
+        out.append((doc, len(near), sorted(i for i in near if i is not None)))
+    return sorted(out, key=repr)
+
+
+def test_near_matches_equal_a_plain_search(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(12)]
+    short = base[:10]
+    edits = [short, short[:4] + ["new"] + short[4:], short[:3] + short[4:], short[:2] + short[3:6] + [short[2]] + short[6:], short[:1] + ["z"] * 4 + short[1:]]
+    texts = [" ".join(["pad"] * k + e + ["end"] * k) for e in edits for k in (0, 3)]
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 14, n)) for n in rng.integers(1, 60, 40)] + ["", None, "w3"]
+    items = [(1, " ".join(short)), (2, " ".join(base)), (None, "w1 w2 w3 w4"), (None, "w3 w5 w7 w9 w11 w13"), (3, "w5 w6"), (4, None), (5, "w3"), (5, "w3"), (5, "w8 w2 w1 w0 w4 w4")]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_near([*enumerate(texts)], items)
+    assert all(1 in items_ for doc, _, items_ in want if doc < 8)  # the item as it is, with a word put in, dropped and moved
+    assert got(decontam.mark_near(docs, bench)) == want
+    index = stored(decontam.build(docs, block_words=60), "postings")
+    found = decontam.search(index, bench, slack=2, item_words=5)
+    assert sorted((r.doc_id, len(r.near)) for r in found.collect()) == sorted(r[:2] for r in want)
+
+
+def test_items_without_an_id_contaminate(spark):
+    rows = [(1, "one two three four"), (2, "five six"), (3, "seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "two three"), (None, "six"), (7, "five six")], "item_id long, text string")
+    assert got(decontam.mark(docs, bench)) == [(1, 4, 2, 1, sha(""), True), (2, 2, 2, 2, sha("7"), True), (3, 1, 0, 0, sha(""), False)]
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [3]
