@@ -389,35 +389,68 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None, every: bool =
     return out
 
 
-def search(docs: DataFrame, groups: DataFrame, every: bool = False) -> DataFrame:
-    """Links (a, b) within groups, all of them or enough to connect the same: rows of ``groups`` are doc_id, class, group, part_a, part_b, part.
+def tally(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Per set the weight of all sets that link with it, and links that connect what all links connect; every link is found, none is listed."""
+    total, out = np.zeros(len(sets), np.int64), []
+    if len(sets) < 2 or (side is not None and len(np.unique(side)) < 2):
+        return total, out
+    tree = PrefixTree(sets)
+    m = len(sets)
+    weight = np.asarray(weight, np.int64)[tree.order]
+    side = np.asarray(side)[tree.order] if side is not None else None
+    left, root, n = np.ones(m, bool), np.arange(m), np.zeros(m, np.int64)
+    for x in range(m):
+        left[x] = False
+        met = tree.probe(x, left if side is None else left & (side != side[x]))
+        n[x] += weight[met].sum()
+        n[met] += weight[x]
+        fresh, first = np.unique(root[met], return_index=True)
+        for r, y in zip(fresh.tolist(), met[first].tolist(), strict=True):
+            if r != root[x]:
+                out.append((int(tree.order[x]), int(tree.order[y])))
+                root[root == r] = root[x]
+    total[tree.order] = n
+    return total, out
+
+
+def search(docs: DataFrame, groups: DataFrame, every: bool = False, count: bool = False) -> DataFrame:
+    """Links (a, b) within groups, all of them or enough to connect the same: rows of ``groups`` are doc_id, class, members, group, part_a, part_b, part.
 
     The texts come by doc_id; a text of another class under the same id is left out.
+    With ``count``, links that connect the same, and rows of a class alone (b is
+    null) with n, the documents in other classes that it links with there.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        sets, names, side = [], [], []
+        sets, names, side, weight = [], [], [], []
         seen = set()
-        for text, name, part in zip(group["text"], group["class"], group["part"], strict=True):
+        for text, name, part, held in zip(group["text"], group["class"], group["part"], group["members"], strict=True):
             s = shingles(text)
             if name not in seen and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(name):
-                seen.add(name), sets.append(s), names.append(bytes(name)), side.append(part)
+                seen.add(name), sets.append(s), names.append(bytes(name)), side.append(part), weight.append(held)
         same = group["part_a"].iloc[0] == group["part_b"].iloc[0]
-        pairs = linked(sets, None if same else np.array(side), every)
-        return pd.DataFrame([(names[a], names[b]) for a, b in pairs], columns=["a", "b"])
+        sides = None if same else np.array(side)
+        if not count:
+            return pd.DataFrame([(names[a], names[b]) for a, b in linked(sets, sides, every)], columns=["a", "b"])
+        total, pairs = tally(sets, np.array(weight), sides)
+        rows = [(names[a], names[b], 0) for a, b in pairs] + [(names[k], None, int(total[k])) for k in np.flatnonzero(total)]
+        return pd.DataFrame(rows, columns=["a", "b", "n"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("text"))
     return (
         groups.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")))
-        .select("group", "part_a", "part_b", "part", "class", "text")
-        .groupBy("group", "part_a", "part_b").applyInPandas(run, "a binary, b binary")
+        .select("group", "part_a", "part_b", "part", "class", "members", "text")
+        .groupBy("group", "part_a", "part_b").applyInPandas(run, "a binary, b binary" + ", n bigint" * count)
     )
 
 
-def join(docs: DataFrame, every: bool = True, block_size: int = BLOCK, group_size: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
+def join(
+    docs: DataFrame, every: bool = True, block_size: int = BLOCK, group_size: int = GROUP_SHINGLES, count: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(documents with their class, links between classes): the join as pairs of classes plus membership.
 
-    Without ``every``, only enough of the links to connect the same classes.
+    Without ``every``, only enough of the links to connect the same classes;
+    with ``count``, those and the number of all links, as ``search`` gives them.
     """
     spark = docs.sparkSession
     made = stored(blocks(docs, block_size), "sets")
@@ -443,8 +476,8 @@ def join(docs: DataFrame, every: bool = True, block_size: int = BLOCK, group_siz
         .select("class", "group", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
     )
     owned = members(made)
-    holder = owned.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    return owned, stored(search(docs, dealt.join(holder, "class"), every), "pairs")
+    holder = owned.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members"))
+    return owned, stored(search(docs, dealt.join(holder, "class"), every, count), "pairs")
 
 
 def label(docs: DataFrame, **sizes: int) -> DataFrame:
@@ -455,12 +488,34 @@ def label(docs: DataFrame, **sizes: int) -> DataFrame:
     empty sets, each by itself. Rows that repeat an id count each for itself.
     """
     owned, links = join(docs, every=False, **sizes)
+    by_class = stored(_named(owned, links), "named")
+    held = owned.where("n_shingles > 0").join(by_class, "class").select("doc_id", "n_shingles", "component_id")
+    return held.unionAll(owned.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def count_links(docs: DataFrame, **sizes: int) -> DataFrame:
+    """What ``label`` gives, and n_links: how many other documents each one links with, copies of its text included.
+
+    The whole join: every link is found and counted, but the pairs, whose number
+    grows with the square of a group, are not written; ``join`` returns them.
+    """
+    owned, found = join(docs, count=True, **sizes)
+    held = owned.where("n_shingles > 0")
+    copies = held.groupBy("class").agg(F.count(F.lit(1)).alias("members"))
+    others = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).toDF("class", "n")
+    counted = copies.join(others, "class", "left").select("class", (F.col("members") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    by_class = stored(_named(owned, found.where("b is not null").select("a", "b")).join(counted, "class"), "named")
+    out = held.join(by_class, "class").select("doc_id", "n_shingles", "component_id", "n_links")
+    empty = owned.where("n_shingles = 0")
+    return out.unionAll(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links")))
+
+
+def _named(owned: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, component_id) of every class with shingles."""
     least = owned.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = least.join(components(links).toDF("class", "label"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     first = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = stored(named.join(first, "label").select("class", "component_id"), "named")
-    held = owned.where("n_shingles > 0").join(by_class, "class").select("doc_id", "n_shingles", "component_id")
-    return held.unionAll(owned.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return named.join(first, "label").select("class", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

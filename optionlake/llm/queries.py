@@ -33,6 +33,12 @@ def op2_jaccard(spark, sf):
     return jaccard.label(table(spark, sf, "documents"))
 
 
+@query
+def op2_links(spark, sf):
+    """The whole join, as the number of links of every document."""
+    return jaccard.count_links(table(spark, sf, "documents"))
+
+
 @query
 def op3_pii(spark, sf):
     """The key is a parameter of the run; this one is for comparison only."""

@@ -189,6 +189,25 @@ def test_join_returns_every_link(spark):
         assert len(listed) == len(set(listed)) and set(listed) == want and len(want) > 50
 
 
+def test_links_are_counted_for_every_document(spark):
+    from optionlake.llm.queries import QUERIES
+
+    assert "op2_links" in QUERIES
+    copies = near_copies()
+    rows = [(i, t) for i, t, *_ in copies] + [(900_000 + k, copies[k][1]) for k in (0, 0, 3)] + [(1, None), (2, " "), (3, "a b"), (4, "A b"), (None, copies[5][1])]
+    sets = [shingle_set(t) for _, t in rows]
+    near = lambda a, b: len(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    n_links = [sum(bool(near(a, b)) for k, b in enumerate(sets) if k != j) for j, a in enumerate(sets)]
+    want = sorted((repr(i), n) for (i, _), n in zip(rows, n_links, strict=True))
+    parts = {(i, n, c) for i, n, c in plain_components(rows)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(n_links) > 5
+    for sizes in ({}, {"block_size": 600, "group_size": 900}):
+        out = jaccard.count_links(docs.repartition(5), **sizes).collect()
+        assert sorted((repr(r.doc_id), r.n_links) for r in out) == want
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in out} == parts
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 120)] + [(7, 7), (None, 3)]
     df = spark.createDataFrame(links, "a long, b long")
