@@ -28,6 +28,8 @@ PATTERNS = {
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "name": r"(?<!\p{L})(?:" + "|".join(h for g in _HONORIFIC.values() for h in g) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
+#: The country code of a telephone number, apart from the digits of the number itself.
+CODE = r"^\+([0-9]{1,3}?)[ .-]?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$"
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Letters names are drawn from, by script: consonants, vowels, last letters by gender.
@@ -49,12 +51,19 @@ def kind_of(surface: Column) -> Column:
 
 def normal(kind: Column, surface: Column) -> Column:
     digits = F.regexp_replace(surface, "[^0-9]", "")
+    code = F.regexp_extract(surface, CODE, 1)
+    phone = F.when(code == "", digits).otherwise(F.concat(F.lit("+"), code, F.lit(" "), F.substring(digits, F.length(code) + 1, F.length(digits))))
     return (
-        F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "ip", surface)
+        F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(kind == "ip", surface)
         .when(kind == "iban", F.upper(F.regexp_replace(surface, " ", ""))).when(kind == "name", surface).otherwise(F.lower(surface))
     )
 
 
+def _bare(kind: Column, form: Column) -> Column:
+    """What clashes are seen on: the form, of a telephone number without its country code."""
+    return F.when(kind == "phone", F.regexp_replace(form, r"^\+[0-9]+ ", "")).otherwise(form)
+
+
 def _draw(kind: Column, form: Column, key: str, attempt: Column) -> Column:
     """A surrogate of a normal form.
 
@@ -71,6 +80,7 @@ def _draw(kind: Column, form: Column, key: str, attempt: Column) -> Column:
         F.when(c.rlike("[0-9]"), pick(DIGITS, i)).when(c.rlike(r"\p{Lu}"), F.upper(pick(LETTERS, i))).when(c.rlike(r"\p{L}"), pick(LETTERS, i)).otherwise(c)
     )), "")
     host = F.array_join(F.transform(F.sequence(F.lit(100), F.lit(109)), lambda i: pick(LETTERS, i)), "")
+    code = F.regexp_extract(form, r"^\+[0-9]+ ", 0)
     local = F.length(F.substring_index(form, "@", 1))
     email = F.concat(F.substring(same, F.lit(1), local), F.lit("@"), host, F.lit(".example"))
     ip = F.concat_ws(".", *[(byte(F.lit(k)) % 16 + 240 if k == 0 else byte(F.lit(k))).cast("string") for k in range(4)])
@@ -88,7 +98,7 @@ def _draw(kind: Column, form: Column, key: str, attempt: Column) -> Column:
             fits = form.rlike(rf"^(?:{'|'.join(titles)})\.? {letters}")
             named = F.when(fits, name(script, gender)).otherwise(named)
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", F.coalesce(named, same))
+        F.when(kind == "phone", F.concat(code, F.substring(same, F.length(code) + 1, F.length(same)))).when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", F.coalesce(named, same))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(same, F.lit(2), F.length(same))))
         .when(kind == "iban", F.concat(F.substring(form, F.lit(1), F.lit(2)), F.substring(same, F.lit(3), F.length(same)))).otherwise(same)
     )
@@ -96,8 +106,7 @@ def _draw(kind: Column, form: Column, key: str, attempt: Column) -> Column:
 
 def _render(kind: Column, surface: Column, surrogate: Column) -> Column:
     """A surrogate in the writing of one mention: its separators, its country code, its case."""
-    code = F.length(F.regexp_extract(surface, r"^\+([0-9]{1,3})", 1))
-    digits = F.when(kind == "phone", F.concat(F.regexp_extract(surface, r"^\+([0-9]{1,3})", 1), F.substring(surrogate, code + 1, F.length(surrogate)))).otherwise(surrogate)
+    digits = F.when(kind == "phone", F.regexp_replace(surrogate, "[^0-9]", "")).otherwise(surrogate)
     pieces = F.split(surface, "")
     # How many letters or digits stand up to each place: the length of the start of the writing without the rest.
     at = lambda i: F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), "[^A-Z0-9]", ""))
@@ -120,12 +129,14 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     Of entities that drew the same, the least form keeps it and the others draw
     again; the rounds end when none clashes, after one for all but a few.
     """
+    bare = lambda c: _bare(F.col("kind"), F.col(c))
     real = stored(entities.select("kind", "form").distinct(), "entities")
     drawn = stored(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", _draw(F.col("kind"), F.col("form"), key, F.col("attempt"))), "surrogates")
     while True:
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("form").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        twice = drawn.join(first, ["kind", "surrogate"]).where("form <> first").select("kind", "form")
-        taken = drawn.join(real.select("kind", F.col("form").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "form")
+        keyed = drawn.withColumn("bare", bare("surrogate"))
+        first = keyed.groupBy("kind", "bare").agg(F.min("form").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        twice = keyed.join(first, ["kind", "bare"]).where("form <> first").select("kind", "form")
+        taken = keyed.join(real.select("kind", bare("form").alias("bare")), ["kind", "bare"], "left_semi").select("kind", "form")
         clash = stored(twice.unionAll(taken).distinct(), "clashes")
         if clash.isEmpty():
             return drawn.select("kind", "form", "surrogate")

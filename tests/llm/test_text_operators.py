@@ -248,6 +248,17 @@ def test_surrogates_are_distinct_and_never_real(spark):
     assert len(drawn) == len(out) == len({(r.kind, r.form) for r in out}) and not drawn & {(r.kind, r.form) for r in out}
 
 
+def test_numbers_with_a_country_code_are_distinct_as_written(spark, monkeypatch):
+    monkeypatch.setattr(pii, "DIGITS", "01")  # 1,024 surrogates, so that many clash
+    numbers = [f"+1 ({k:03b}) 555-3069" for k in range(8)] + [f"+1 (741) 555-3{k:03d}" for k in range(110)]
+    numbers += [f"+1 (010) 01{k // 2 % 2}-1{k:03b}" for k in range(8)] + [f"(001) 110-0{k:03b}" for k in range(8)] + ["+1741 555 8888"]
+    docs = spark.createDataFrame([*enumerate(numbers)], "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymize(docs, "key").orderBy("doc_id").collect()]
+    ten = lambda t: re.sub("[^0-9]", "", t)[-10:]
+    assert len({ten(t) for t in out}) == len({ten(t) for t in numbers}) == len(numbers) and not {*map(ten, out)} & {*map(ten, numbers)}
+    assert all(a.startswith("+1") == b.startswith("+1") for a, b in zip(out, numbers, strict=True)) and re.match(r"\+1[01]{3} [01]{3} [01]{4}$", out[-1])
+
+
 def test_the_key_decides(spark):
     df = spark.createDataFrame([("ip", "1.2.3.4")], "kind string, form string")
     a, b, c = (pii.surrogates(df, k).first().surrogate for k in ("one", "one", "two"))
