@@ -127,3 +127,16 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 
 
 ORACLES["op6_licenses"] = _license_sql()
+
+# Base32 of a SHA-1: four times five bytes as a number, cut into eight groups of five bits.
+ORACLES["op11_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+k AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS place,
+        first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS head FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(sha, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
+    CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN place > 1 THEN head END AS refers_to, true AS intact
+FROM k
+"""

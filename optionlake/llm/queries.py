@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe, decontam, fingerprints, jaccard, langid, licenses, pii, quality, repair, secrets
+from . import align, bpe, conversations, decontam, fingerprints, jaccard, langid, licenses, pii, quality, repair, secrets, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,18 @@ def op10_decontamination(spark, sf):
 @query
 def op10_near_matches(spark, sf):
     return decontam.mark_near(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op11_warc(spark, sf):
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
+@query
+def op12_conversation_repair(spark, sf):
+    return conversations.repair(table(spark, sf, "conversations"))
+
+
+@query
+def op13_alignment(spark, sf):
+    return align.compare(table(spark, sf, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"), bpe.tokenizer_path("piece_bpe_32k.model"))
