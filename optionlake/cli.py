@@ -35,9 +35,9 @@ class Place:
 
 
 def status(place: Place, args) -> int:
-    """The health record that screening the archive leaves, per ticker."""
+    """The health record that screening the archive leaves, per ticker, and how long ago each of its clocks moved."""
     screened = collect.screen(archive.with_bodies(archive.scan(place.spark, place.raw)))
-    record = health.fold(collect.outcomes(screened), ["ticker"], ["at"]).persist()
+    record = health.with_ages(health.fold(collect.outcomes(screened), ["ticker"], ["at"]), F.now()).persist()
     known = reports.show("health", record, "ticker")
     return OK if known and record.where("consecutive_failures > 0").isEmpty() else ATTENTION
 

@@ -29,12 +29,6 @@ FORCED = "forced"
 LOCKED = "skipped_locked"
 ACCEPTED = (ACCEPT, FORCED)
 
-BAND_SECONDS = 86400
-
-
-def _band(seconds: int) -> Column:
-    return F.floor(F.unix_micros("capture_utc") / (seconds * 1_000_000))
-
 
 def verdict_of(last_print: Column, this_print: Column, fresh: Column, force: Column) -> Column:
     return (
@@ -57,12 +51,24 @@ def _led_by(rows: DataFrame, seed: DataFrame, **marks) -> DataFrame:
     return rows.withColumn("_seed", F.lit(False)).unionByName(lead, allowMissingColumns=True)
 
 
+def read_prints(attempts: DataFrame, max_stale: timedelta = MAX_STALE) -> DataFrame:
+    """Add what the gate compares: ``print``, ``age_minutes``, ``_force`` and ``_fresh``."""
+    force = F.coalesce("force", F.lit(False)) if "force" in attempts.columns else F.lit(False)
+    age = clock.seconds_between(F.col("index_last_trade"), F.col("capture_utc"))
+    return attempts.withColumns(
+        {
+            "print": clock.eastern_print(F.col("index_last_trade")), "age_minutes": age / 60.0, "_force": force,
+            "_fresh": age <= max_stale.total_seconds(),
+        }
+    )
+
+
 def judge(
     attempts: DataFrame,
     seed: DataFrame | None = None,
     max_stale: timedelta = MAX_STALE,
-    band_seconds: int = BAND_SECONDS,
     order: list[str] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Verdict of every capture attempt, in order of arrival per ticker.
 
@@ -71,20 +77,11 @@ def judge(
     before the first attempt. ``seqno`` plays no part: it moves without new prints.
     """
     order = order or ["capture_utc"]
-    limit = max_stale.total_seconds()
-    force = F.coalesce("force", F.lit(False)) if "force" in attempts.columns else F.lit(False)
-    rows = attempts.withColumns(
-        {
-            "print": clock.eastern_print(F.col("index_last_trade")),
-            "age_minutes": clock.seconds_between(F.col("index_last_trade"), F.col("capture_utc")) / 60.0,
-            "_force": force,
-            "_fresh": clock.seconds_between(F.col("index_last_trade"), F.col("capture_utc")) <= limit,
-        }
-    )
+    rows = read_prints(attempts, max_stale)
     if seed is not None:
         rows = _led_by(rows, seed, _force=True, _fresh=False)
     state = F.when(F.col("_force") | F.col("_fresh"), F.col("print"))
-    held = last_before(rows, ["ticker"], _band(band_seconds), order, state, "last_print")
+    held = last_before(rows, ["ticker"], order, state, "last_print", tasks)
     if seed is not None:
         held = held.where(~F.col("_seed")).drop("_seed").select(
             *attempts.columns, "print", "age_minutes", "last_print", "_force", "_fresh"
@@ -94,26 +91,15 @@ def judge(
     ).drop("_force", "_fresh")
 
 
-def with_detail(
-    judged: DataFrame, seed: DataFrame | None = None, max_stale: timedelta = MAX_STALE, band_seconds: int = BAND_SECONDS,
-    order: list[str] | None = None,
-) -> DataFrame:
-    """Add the human-readable reason, with the numbers behind it.
-
-    Needs ``spot``, ``seqno`` and ``n_options``.
-    """
-    accepted = F.when(F.col("verdict").isin(*ACCEPTED), F.col("seqno"))
-    rows = judged if seed is None else _led_by(judged, seed.drop("print"), verdict=ACCEPT)
-    rows = last_before(rows, ["ticker"], _band(band_seconds), order or ["capture_utc"], accepted, "_seqno")
-    if seed is not None:
-        rows = rows.where(~F.col("_seed")).drop("_seed")
+def detail_of(last_seqno: Column, max_stale: timedelta = MAX_STALE) -> Column:
+    """The human-readable reason of a judged row with ``spot``, ``seqno`` and ``n_options``, with the numbers behind it."""
     minutes = int(max_stale.total_seconds() // 60)
     moved = F.when(
-        F.col("_seqno") != F.col("seqno"),
-        F.format_string(", advanced from %d: seqno moves without new prints and is not a dedup key", "_seqno"),
+        last_seqno != F.col("seqno"),
+        F.format_string(", advanced from %d: seqno moves without new prints and is not a dedup key", last_seqno),
     ).otherwise("")
     spot = F.col("spot").cast("string")
-    detail = (
+    return (
         F.when(
             F.col("verdict") == FORCED,
             F.format_string("forced: index last printed %s ET (%.1f min old), spot %s", "print", "age_minutes", spot),
@@ -136,7 +122,19 @@ def with_detail(
             )
         )
     )
-    return rows.withColumn("detail", detail).drop("_seqno")
+
+
+def with_detail(
+    judged: DataFrame, seed: DataFrame | None = None, max_stale: timedelta = MAX_STALE, order: list[str] | None = None,
+    tasks: int | None = None,
+) -> DataFrame:
+    """Add the human-readable reason. Needs ``spot``, ``seqno`` and ``n_options``."""
+    accepted = F.when(F.col("verdict").isin(*ACCEPTED), F.col("seqno"))
+    rows = judged if seed is None else _led_by(judged, seed.drop("print"), verdict=ACCEPT)
+    rows = last_before(rows, ["ticker"], order or ["capture_utc"], accepted, "_seqno", tasks)
+    if seed is not None:
+        rows = rows.where(~F.col("_seed")).drop("_seed")
+    return rows.withColumn("detail", detail_of(F.col("_seqno"), max_stale)).drop("_seqno")
 
 
 def accepted(judged: DataFrame) -> DataFrame:

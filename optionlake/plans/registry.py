@@ -269,13 +269,13 @@ def body_screening(spark, sf):
 
 @query
 def freshness_verdicts(spark, sf):
-    judged = gate.judge(tape.attempts(spark, sf), band_seconds=3600, order=["capture_utc", "event_id"])
+    judged = gate.judge(tape.attempts(spark, sf), order=["capture_utc", "event_id"])
     return judged.select("event_id", "ticker", "print", "last_print", rnd("age_minutes", 4), "verdict")
 
 
 @query
 def verdict_counts(spark, sf):
-    judged = gate.judge(tape.attempts(spark, sf), band_seconds=3600, order=["capture_utc", "event_id"])
+    judged = gate.judge(tape.attempts(spark, sf), order=["capture_utc", "event_id"])
     return judged.groupBy("ticker", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 

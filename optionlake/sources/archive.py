@@ -10,19 +10,31 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import os
+import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    DataSourceStreamWriter,
+    DataSourceWriter,
+    InputPartition,
+)
 
 from ..functions import symbols
 from ..operators import reconcile
+from .files import DRAFTS, Drafted, Drafts
 
 FORMAT = "capture_files"
 LISTING = "name string, path string, size bigint"
@@ -35,7 +47,8 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 def _children(path: str, deep: bool = False) -> list[pafs.FileInfo]:
     fs, root = _open(path)
-    return fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=deep))
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=deep))
+    return [f for f in found if f"/{DRAFTS}" not in f.path]
 
 
 class _Folder(InputPartition):
@@ -59,8 +72,124 @@ class _Lister(DataSourceReader):
                 yield info.base_name, info.path, info.size
 
 
+# --- arrivals ------------------------------------------------------------------
+
+_NAME = re.compile(symbols.CAPTURE_FILE)
+_STAMP = "%Y-%m-%dT%H-%M-%SZ"  # fixed value: how a capture instant is written in a name
+
+
+def capture_key(name: str) -> tuple[str, str] | None:
+    """(stamp, ticker) of a capture's file name, the order in which captures are streamed."""
+    found = _NAME.match(name)
+    if not found:
+        return None
+    try:
+        datetime.strptime(found[2], _STAMP)
+    except ValueError:
+        return None
+    return found[2], found[1]
+
+
+class _Range(_Folder):
+    """The captures of one folder after one key and up to another."""
+
+    def __init__(self, path: str, deep: bool, after: tuple[str, str], upto: tuple[str, str]):
+        super().__init__(path, deep)
+        self.after, self.upto = after, upto
+
+
+class _Arrivals(DataSourceStreamReader):
+    """Captures in order of (stamp, ticker): an offset is the last key taken.
+
+    Files are found by tasks, a folder each; the driver keeps one key while it
+    looks for the newest. ``lag`` seconds hold the newest captures back, for
+    archives whose writers may finish out of order: a capture that lands later
+    than that is not streamed.
+    """
+
+    def __init__(self, root: str, lag: float = 0.0):
+        self.root, self.lag = root, timedelta(seconds=lag)
+
+    def initialOffset(self) -> dict:
+        return {"stamp": "", "ticker": ""}
+
+    def latestOffset(self) -> dict:
+        keys = (capture_key(info.base_name) for p in _Lister(self.root).partitions() for info in _children(p.path, p.deep))
+        newest = max((k for k in keys if k), default=("", ""))
+        if self.lag and newest[0]:
+            held = (datetime.strptime(newest[0], _STAMP).replace(tzinfo=UTC) - self.lag).strftime(_STAMP)
+            newest = (held, "\U0010ffff")  # every ticker of that instant
+        return {"stamp": newest[0], "ticker": newest[1]}
+
+    def partitions(self, start: dict, end: dict):
+        after, upto = ((o["stamp"], o["ticker"]) for o in (start, end))
+        return [_Range(p.path, p.deep, after, upto) for p in _Lister(self.root).partitions()] if after < upto else []
+
+    def read(self, partition):
+        for info in _children(partition.path, partition.deep):
+            key = capture_key(info.base_name)
+            if key and partition.after < key <= partition.upto:
+                yield info.base_name, info.path, info.size
+
+
+# --- the archive as a sink -----------------------------------------------------
+
+
+def packed(body: str) -> bytes:
+    """A body as it is archived: compact JSON, gzip without a time, so equal bodies give equal bytes."""
+    return gzip.compress(json.dumps(json.loads(body), separators=(",", ":")).encode(), compresslevel=GZIP_LEVEL, mtime=0)
+
+
+class _Sink(DataSourceWriter):
+    """(ticker, capture_utc, body) rows as one compressed file each: drafts by the tasks, renamed together at the commit."""
+
+    def __init__(self, target: str, name: str | None = None):
+        self.drafts = Drafts(target, name)
+
+    def write(self, iterator):
+        files = []
+        for row in iterator:
+            at = row.capture_utc if row.capture_utc.tzinfo is None else row.capture_utc.astimezone(UTC)
+            name = f"{row.ticker}_{at.strftime(_STAMP)}.json.gz"
+            files.append((self.drafts.write(packed(row.body)), name))
+        return Drafted(files)
+
+    def commit(self, messages):
+        counted = Counter(name for m in messages if m is not None for _, name in m.files)
+        twice = sorted(name for name, n in counted.items() if n > 1)
+        if twice:
+            self.drafts.abort()
+            raise ValueError(f"{len(twice)} names are written more than once, the first is {twice[0]}; nothing was archived")
+        self.drafts.commit(messages)
+
+    def abort(self, messages):
+        self.drafts.abort()
+
+
+class _StreamSink(DataSourceStreamWriter):
+    """The same per micro-batch; one that is repeated writes the same names and bytes.
+
+    Tasks and commits of a stream use instances of their own, so the drafts folder has a name given with the query.
+    """
+
+    def __init__(self, target: str, name: str):
+        self.sink = _Sink(target, name)
+
+    def write(self, iterator):
+        return self.sink.write(iterator)
+
+    def commit(self, messages, batchId):
+        self.sink.commit(messages)
+
+    def abort(self, messages, batchId):
+        self.sink.abort(messages)
+
+
 class CaptureFiles(DataSource):
-    """``spark.read.format("capture_files").load(dir)``: every file, hidden or not."""
+    """``spark.read.format("capture_files").load(dir)``: every file, hidden or not.
+
+    As a stream, the captures that arrive; as a sink, an archive of bodies.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -72,6 +201,15 @@ class CaptureFiles(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Lister(self.options["path"])
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Arrivals(self.options["path"], float(self.options.get("lag", "0")))
+
+    def writer(self, schema, overwrite) -> DataSourceWriter:
+        return _Sink(self.options["path"])
+
+    def streamWriter(self, schema, overwrite) -> DataSourceStreamWriter:
+        return _StreamSink(self.options["path"], self.options.get("drafts", "stream"))
+
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """(name, path, size) of every file below a folder."""
@@ -79,13 +217,36 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format(FORMAT).load(str(folder))
 
 
+def _named(files: DataFrame) -> DataFrame:
+    return files.withColumn("_c", symbols.capture_file(F.col("name"))).where("_c is not null").select("_c.*", "name", "path", "size")
+
+
 def scan(spark: SparkSession, raw_dir: str) -> DataFrame:
     """Captures of an archive folder; other files in it are none of our business."""
-    return (
-        listing(spark, raw_dir).withColumn("_c", symbols.capture_file(F.col("name")))
-        .where("_c is not null")
-        .select("_c.*", "name", "path", "size")
-    )
+    return _named(listing(spark, raw_dir))
+
+
+def arrivals(spark: SparkSession, raw_dir: str, lag_seconds: float = 0.0) -> DataFrame:
+    """The same as a stream: each capture once, under its own name, whatever folder it lands in."""
+    spark.dataSource.register(CaptureFiles)
+    return _named(spark.readStream.format(FORMAT).option("lag", lag_seconds).load(str(raw_dir)))
+
+
+def _to_sink(bodies: DataFrame) -> DataFrame:
+    bodies.sparkSession.dataSource.register(CaptureFiles)
+    return bodies.select("ticker", "capture_utc", "body")
+
+
+def write(bodies: DataFrame, raw_dir: str) -> None:
+    """Archive (ticker, capture_utc, body) rows, all of them or none; a name that occurs twice stops the write."""
+    _to_sink(bodies).write.format(FORMAT).option("path", str(raw_dir)).mode("append").save()
+
+
+def write_stream(bodies: DataFrame, raw_dir: str, checkpoint_dir: str):
+    """Archive streamed bodies, a micro-batch at a time; returns the query."""
+    writer = _to_sink(bodies).writeStream.format(FORMAT).option("path", str(raw_dir)).option("drafts", uuid.uuid4().hex)
+    writer = writer.option("checkpointLocation", checkpoint_dir)
+    return writer.trigger(availableNow=True).start()
 
 
 def oldest_first(captures: DataFrame) -> DataFrame:

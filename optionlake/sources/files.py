@@ -33,10 +33,10 @@ class Drafted(WriterCommitMessage):
 
 
 class Drafts:
-    """The drafts folder of one write."""
+    """The drafts folder of one write; ``name`` tells it from those of other writes to the target."""
 
-    def __init__(self, target: str):
-        self.target, self.folder = target, f"{target.rstrip('/')}/{DRAFTS}{uuid.uuid4().hex}"
+    def __init__(self, target: str, name: str | None = None):
+        self.target, self.folder = target, f"{target.rstrip('/')}/{DRAFTS}{name or uuid.uuid4().hex}"
 
     def write(self, content: bytes) -> str:
         """Store a draft under a name of its own and return that."""

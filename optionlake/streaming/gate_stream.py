@@ -1,26 +1,33 @@
-"""The freshness gate over a stream of landed bodies.
+"""The freshness gate over a stream of captures.
 
-Each micro-batch runs the batch operators, so a ticker that floods the stream is
-still cut into bands and spread over tasks. What crosses batches is one row per
-ticker, kept in two alternating slots: batch N reads the slot batch N-1 wrote,
-so a retried batch starts from the state it started from the first time, and
-writing verdicts by batch number makes the retry overwrite itself.
+Bodies are read and validated by tasks without state. What crosses captures and
+micro-batches is keyed state, one row per ticker: the print and sequence number
+last accepted. Spark keeps it in the query's checkpoint under the batch's number,
+so a batch that is repeated starts from the state it started from the first
+time, and the file sink takes each batch's verdicts once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import timedelta
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.symbols import STAMP
 from ..operators import gate
-from ..plans.collect import screen
+from ..sources import archive, payloads
 
-STATE = "ticker string, print string, seqno bigint, capture_utc timestamp"
+STATE = "print string, seqno bigint"
+HEAD = (
+    "ticker string, capture_utc timestamp, feed_timestamp string, index_last_trade timestamp, seqno bigint, spot double, "
+    "n_options bigint, error string, print string, age_minutes double, _force boolean, _fresh boolean"
+)
+COLUMNS = [c.split()[0] for c in HEAD.split(", ")]
 
 
 def landed(spark: SparkSession, landing_dir: str, max_files: int = 1000) -> DataFrame:
@@ -41,41 +48,51 @@ def landed(spark: SparkSession, landing_dir: str, max_files: int = 1000) -> Data
     ).where("capture_utc is not null")
 
 
-def _state(spark: SparkSession, folder: str) -> DataFrame:
-    try:
-        return spark.read.schema(STATE).parquet(folder)
-    except AnalysisException:
-        return spark.createDataFrame([], STATE)
+def archived(spark: SparkSession, raw_dir: str, lag_seconds: float = 0.0) -> DataFrame:
+    """Stream of the bodies of an archive, under the archive's own names. An unreadable file is a body that fails to parse."""
+    return archive.with_bodies(archive.arrivals(spark, raw_dir, lag_seconds)).select(
+        "ticker", "capture_utc", F.coalesce("body", F.lit("")).alias("body")
+    )
 
 
-def _advance(before: DataFrame, judged: DataFrame) -> DataFrame:
-    """The last accepted capture per ticker after a batch."""
-    fields = ["ticker", "print", "seqno", "capture_utc"]
-    every = before.unionByName(gate.accepted(judged).select(*fields))
-    return every.groupBy("ticker").agg(
-        F.max_by(F.struct("print", "seqno", "capture_utc"), "capture_utc").alias("s")
-    ).select("ticker", "s.*")
+def _carry(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What was last accepted before each head of a ticker; heads are a few numbers each, put in order here."""
+    heads = pd.concat(list(frames)).sort_values("capture_utc", kind="stable")
+    known, seqno = state.get if state.exists else (None, None)
+    before = []
+    for own, number, force, fresh in zip(heads["print"], heads["seqno"], heads["_force"], heads["_fresh"], strict=True):
+        before.append((known, seqno))
+        if force or (fresh and own != known):  # accepted
+            known, seqno = own, number
+    if known is not None:
+        state.update((known, None if pd.isna(seqno) else int(seqno)))
+    prints, numbers = zip(*before, strict=True)
+    yield heads.assign(last_print=list(prints), last_seqno=pd.array([None if n is None or pd.isna(n) else int(n) for n in numbers], "Int64"))
+
+
+def judged(bodies: DataFrame, max_stale: timedelta = gate.MAX_STALE, force: bool = False) -> DataFrame:
+    """The columns of ``collect.screen`` for a stream of (ticker, capture_utc, body)."""
+    heads = payloads.snapshots(bodies).select(
+        "ticker", "capture_utc", "feed_timestamp",
+        # An unusable body has no print to compare and must not become the state.
+        F.when(F.col("error").isNull(), F.col("index_last_trade")).alias("index_last_trade"), F.col("seqno").cast("bigint").alias("seqno"),
+        "spot", F.col("n_options").cast("bigint").alias("n_options"), "error",
+    )
+    usable = F.col("error").isNull()
+    rows = gate.read_prints(heads.withColumn("force", F.lit(force) & usable), max_stale)
+    rows = rows.withColumn("_fresh", F.coalesce(F.col("_fresh") & usable, F.lit(False)))
+    held = rows.select(*COLUMNS).groupBy("ticker").applyInPandasWithState(
+        _carry, f"{HEAD}, last_print string, last_seqno bigint", STATE, "append", GroupStateTimeout.NoTimeout
+    )
+    verdict = gate.verdict_of(F.col("last_print"), F.col("print"), F.col("_fresh"), F.col("_force"))
+    with_verdict = held.withColumn("verdict", F.when(usable, verdict))
+    return with_verdict.withColumn("detail", F.when(usable, gate.detail_of(F.col("last_seqno"), max_stale))).drop("_force", "_fresh", "last_seqno")
 
 
 def start(
     bodies: DataFrame, out_dir: str, checkpoint_dir: str, max_stale: timedelta = gate.MAX_STALE,
-    available_now: bool = True,
+    available_now: bool = True, force: bool = False,
 ) -> StreamingQuery:
-    """Write the verdict of every streamed capture to ``out_dir/batch=<n>``."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = (
-            _state(spark, f"{checkpoint_dir}/gate/slot={(number - 1) % 2}")
-            if number
-            else spark.createDataFrame([], STATE)
-        )
-        seed = before.select("ticker", "print", "seqno")
-        here = f"{out_dir}/batch={number}"
-        screen(batch, seed, max_stale).write.mode("overwrite").parquet(here)
-        _advance(before, spark.read.parquet(here)).write.mode("overwrite").parquet(
-            f"{checkpoint_dir}/gate/slot={number % 2}"
-        )
-
-    writer = bodies.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint_dir}/stream")
+    """Write the verdict of every streamed capture to a Parquet table."""
+    writer = judged(bodies, max_stale, force).writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint_dir)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
