@@ -360,3 +360,48 @@ ORACLES: dict[str, str] = {
         excluded IS NULL AS trustworthy, '' AS failures, excluded FROM sizes z JOIN shape s ON s.capture_utc = z.capture_utc AND s.expiry = z.expiry AND s.root = z.root"""),
     "estimate_verdicts": q(FLAGGED, f"SELECT {SMILE}, count(*) AS n_quotes, count(*) >= 8 AS trustworthy, '' AS failures, CASE WHEN count(*) < 8 THEN printf('only %d usable quotes, need 8', count(*)) END AS excluded FROM kept GROUP BY {KEY}"),
 }
+
+
+# --- files, streams, subsets ---------------------------------------------------
+
+_STEM = f"'_SPX_' || {_STAMPED.format(x='capture_utc')}"
+_GOOD = "h % 89 <> 0 AND cap % 7 NOT IN (3, 5, 6)"
+ORACLES |= {
+    "archive_bodies": q(_BODIES, f"SELECT {_STEM} AS stem, {text('capture_utc', 'capture')}, '_SPX' AS ticker, error, n_all AS n_options FROM judged"),
+    "archive_names": q(_BODIES, f"SELECT '_SPX' AS ticker, {text('capture_utc', 'capture')}, true AS compressed, {_STEM} AS stem, {_STEM} || '.json.gz' AS name, true AS filled FROM judged"),
+    "manifest_on_disk": q(_BODIES, f"""SELECT unnest(CASE WHEN s % 11 = 0 THEN [name] WHEN s % 13 = 0 THEN [name, 'new_' || name] ELSE [name] END) AS name,
+        unnest(CASE WHEN s % 11 = 0 THEN ['missing'] WHEN s % 13 = 0 THEN ['missing', 'unlisted'] WHEN s % 17 = 0 THEN ['corrupted'] ELSE ['ok'] END) AS status
+        FROM (SELECT {_STEM} || '.json.gz' AS name, epoch_us(capture_utc) // 1000000 AS s FROM judged)"""),
+    "gzip_archive": q(_BODIES, f"SELECT {_STEM} AS stem, false AS skipped, true AS smaller, n_all AS n_options, count(*) OVER () AS plain_before FROM judged"),
+    "curated_captures": q(QUOTES, f"SELECT {text('capture_utc', 'capture')}, any_value(feed_timestamp) AS feed_timestamp, {text('any_value(index_last_trade)', 'index_last_trade')}, any_value(seqno) AS seqno, any_value(underlying_ticker) AS underlying_ticker, any_value(underlying_price) AS underlying_price, count(*) AS n_options, count(DISTINCT expiry) AS n_expiries, count(DISTINCT root) AS n_roots FROM quotes WHERE {_GOOD} GROUP BY capture_utc"),
+    "curated_quotes": q(QUOTES, f"SELECT {SMILE}, count(*) AS n, sum(strike) AS strikes, count(bid) AS bids, {rnd('sum(ask)', 4, 'asks')}, count(*) FILTER (h % 2 = 0) AS ups FROM quotes WHERE {_GOOD} GROUP BY {KEY}"),
+    "backfill_resumed": q(_BODIES, f"SELECT {_STEM} AS stem, CASE WHEN error IS NULL THEN 'skipped' ELSE 'failed' END AS status, CASE WHEN error IS NULL THEN n_all - bad ELSE 0 END AS rows, CASE WHEN error IS NULL THEN bad ELSE 0 END AS unparsed, error FROM judged"),
+    "curated_divergence": q(_BODIES, f"SELECT {_STEM} AS stem, 'missing_curated' AS side FROM judged WHERE error IS NOT NULL"),
+    "stream_verdicts": ORACLES["freshness_verdicts"],
+    "stream_bodies": q(_BODIES, f"""SELECT {text('capture_utc', 'capture')}, CASE WHEN error IS NULL THEN 'accept' END AS verdict, CASE WHEN error IS NULL THEN 15.0::DOUBLE END AS age_minutes, n_all AS n_options, error,
+        CASE WHEN error IS NULL THEN 'new data: index last printed ' || strftime(timezone('America/New_York', timezone('UTC', capture_utc - INTERVAL 15 MINUTE)), '%Y-%m-%dT%H:%M:%S') || ' ET (15.0 min ago), spot ' || underlying_price::DOUBLE || ', ' || n_all || ' options' END AS detail FROM judged"""),
+    "health_ages": """WITH r AS (SELECT event_type AS ticker, ts, event_id % 9 AS kind FROM events WHERE event_id % 9 <> 8),
+        c AS (SELECT ticker, max(ts) AS a, max(ts) FILTER (kind NOT IN (4, 5)) AS o, max(ts) FILTER (kind < 3) AS w FROM r GROUP BY ticker)
+        SELECT ticker, (epoch_us(TIMESTAMP '2030-01-01') - epoch_us(a)) // 60000000 * 60 AS attempt_age, (epoch_us(TIMESTAMP '2030-01-01') - epoch_us(o)) // 60000000 * 60 AS ok_age,
+          (epoch_us(TIMESTAMP '2030-01-01') - epoch_us(w)) // 60000000 * 60 AS write_age, w IS NULL OR TIMESTAMP '2030-01-01' - w > INTERVAL 1 DAY AS late FROM c""",
+}
+_REASONS = [  # name, condition, order, how many
+    ("0-DTE, within 2% of spot", "week = 0 AND abs(strike - spot)/spot <= 0.02", "option_symbol", None),
+    ("root collision, near spot", "n_roots = 2 AND week = 1 AND abs(strike - spot)/spot <= 0.03", "option_symbol", None),
+    ("deep ITM, degenerate IV", "strike < spot*0.92", "option_symbol", 8),
+    ("zero-IV sentinel with a live quote, near spot", "iv = 0 AND bid > 0 AND abs(strike - spot)/spot <= 0.10", "option_symbol", 20),
+    ("zero bid", "bid = 0", "option_symbol", 12),
+    ("stale last trade", "traded < '2026-01'", "traded, option_symbol", 8),
+    ("relative spread > 50%", "bid > 0 AND ask > 0 AND (ask - bid)/((ask + bid)/2) > 0.5", "option_symbol", 10),
+    ("monthly, liquid, near the money", "week = 5 AND abs(strike - spot)/spot <= 0.05 AND bid > 0 AND iv <> 0", "option_symbol", 120),
+]
+_SUBSET = f"""{QUOTES},
+chain AS (SELECT *, underlying_price AS spot, CASE WHEN h % 17 = 0 THEN '2025-' || lpad(CAST(h % 12 + 1 AS VARCHAR), 2, '0') || '-15T10:00:00' WHEN h % 5 <> 0 THEN '2026-08-10T15:59:00' END AS traded,
+  count(*) OVER (PARTITION BY capture_utc, expiry, option_right, strike) AS n_roots FROM quotes),
+picks AS ({' UNION ALL '.join(
+    f"SELECT capture_utc, option_symbol, {k} AS no FROM (SELECT *, row_number() OVER (PARTITION BY capture_utc ORDER BY {order}) AS place FROM chain WHERE {where})" + (f" WHERE place <= {limit}" if limit else "")
+    for k, (_, where, order, limit) in enumerate(_REASONS))}),
+chosen AS (SELECT capture_utc, option_symbol, min(no) AS no FROM picks GROUP BY ALL),
+why AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{name}')" for k, (name, *_) in enumerate(_REASONS))}) v(no, reason))"""
+ORACLES["subset_by_reason"] = q(_SUBSET, f"SELECT {text('capture_utc', 'capture')}, option_symbol, no::BIGINT AS reason_no, reason FROM chosen JOIN why USING (no)")
+ORACLES["subset_tally"] = q(_SUBSET, f"SELECT {text('capture_utc', 'capture')}, reason, count(*) AS n FROM chosen JOIN why USING (no) GROUP BY ALL")

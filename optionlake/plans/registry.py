@@ -568,3 +568,6 @@ def full_arbitrage_report(spark, sf):
     """All three conditions on curated chains with inverted volatilities."""
     prepared = settle(inversion.prepare(curate.build(tape.quotes(spark, sf)).quotes))
     return arb.report(prepared).withColumn("capture_utc", when_text())
+
+
+from . import layer  # noqa: E402, F401 (registers the queries over files and streams)

@@ -44,6 +44,11 @@ def get_spark(master: str | None = None, app: str = "optionlake", **conf) -> Spa
     return tune(builder.getOrCreate())
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A folder that every executor shares: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute a frame once that several parts of a plan read, and cut its lineage.
 
@@ -52,8 +57,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work")
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -135,23 +135,24 @@ class _Arrivals(DataSourceStreamReader):
 # --- the archive as a sink -----------------------------------------------------
 
 
-def packed(body: str) -> bytes:
+def packed(body: str, compressed: bool = True) -> bytes:
     """A body as it is archived: compact JSON, gzip without a time, so equal bodies give equal bytes."""
-    return gzip.compress(json.dumps(json.loads(body), separators=(",", ":")).encode(), compresslevel=GZIP_LEVEL, mtime=0)
+    plain = json.dumps(json.loads(body), separators=(",", ":")).encode()
+    return gzip.compress(plain, compresslevel=GZIP_LEVEL, mtime=0) if compressed else plain
 
 
 class _Sink(DataSourceWriter):
-    """(ticker, capture_utc, body) rows as one compressed file each: drafts by the tasks, renamed together at the commit."""
+    """(ticker, capture_utc, body) rows as one file each: drafts by the tasks, renamed together at the commit."""
 
-    def __init__(self, target: str, name: str | None = None):
-        self.drafts = Drafts(target, name)
+    def __init__(self, target: str, name: str | None = None, compressed: bool = True):
+        self.drafts, self.compressed = Drafts(target, name), compressed
 
     def write(self, iterator):
         files = []
         for row in iterator:
             at = row.capture_utc if row.capture_utc.tzinfo is None else row.capture_utc.astimezone(UTC)
-            name = f"{row.ticker}_{at.strftime(_STAMP)}.json.gz"
-            files.append((self.drafts.write(packed(row.body)), name))
+            name = f"{row.ticker}_{at.strftime(_STAMP)}.json{'.gz' if self.compressed else ''}"
+            files.append((self.drafts.write(packed(row.body, self.compressed)), name))
         return Drafted(files)
 
     def commit(self, messages):
@@ -205,7 +206,7 @@ class CaptureFiles(DataSource):
         return _Arrivals(self.options["path"], float(self.options.get("lag", "0")))
 
     def writer(self, schema, overwrite) -> DataSourceWriter:
-        return _Sink(self.options["path"])
+        return _Sink(self.options["path"], compressed=self.options.get("compressed", "true") == "true")
 
     def streamWriter(self, schema, overwrite) -> DataSourceStreamWriter:
         return _StreamSink(self.options["path"], self.options.get("drafts", "stream"))
@@ -237,9 +238,9 @@ def _to_sink(bodies: DataFrame) -> DataFrame:
     return bodies.select("ticker", "capture_utc", "body")
 
 
-def write(bodies: DataFrame, raw_dir: str) -> None:
+def write(bodies: DataFrame, raw_dir: str, compressed: bool = True) -> None:
     """Archive (ticker, capture_utc, body) rows, all of them or none; a name that occurs twice stops the write."""
-    _to_sink(bodies).write.format(FORMAT).option("path", str(raw_dir)).mode("append").save()
+    _to_sink(bodies).write.format(FORMAT).option("path", str(raw_dir)).option("compressed", compressed).mode("append").save()
 
 
 def write_stream(bodies: DataFrame, raw_dir: str, checkpoint_dir: str):

@@ -25,12 +25,15 @@ from ..schema import QUOTE_COLUMNS, QUOTE_FIELDS, QUOTES
 from . import archive, payloads
 
 QUOTE, UNPARSED, CAPTURE = "quote", "unparsed", "capture"
+TOTALS = ("n_options", "expiries", "roots")
 DAY = "capture_date"
 TABLE = T.StructType(
     [T.StructField("kind", T.StringType()), T.StructField("ticker", T.StringType()),
      T.StructField("stem", T.StringType()), T.StructField("error", T.StringType()),
      T.StructField("run", T.StringType())]
     + [T.StructField(f.name, f.dataType) for f in QUOTES]
+    # Of a capture's own row: how many quotes it has, and on what.
+    + [T.StructField("n_options", T.LongType()), T.StructField("expiries", T.ArrayType(T.DateType())), T.StructField("roots", T.ArrayType(T.StringType()))]
     + [T.StructField(DAY, T.DateType())]
 )
 
@@ -39,17 +42,24 @@ def table_rows(bodies: DataFrame, run: str) -> DataFrame:
     """Rows of the table for (ticker, capture_utc, stem, body, read_error)."""
     snaps = payloads.snapshots(bodies).withColumn("error", F.coalesce("read_error", "error"))
     good = F.col("error").isNull()
-    option = snaps.schema["options"].dataType.elementType
-    own = F.array(F.struct(F.lit(True).alias("own"), F.lit(None).cast(option).alias("o")))
-    each = F.transform("options", lambda o: F.struct(F.lit(False).alias("own"), o.alias("o")))
+    listed = F.when(good, F.transform("options", lambda o: F.struct(o.alias("o"), symbols.contract(payloads._text(o["option"])).alias("contract"))))
+    snaps = snaps.withColumn("_listed", listed)
+    parsed = F.filter("_listed", lambda e: e["contract"].isNotNull())
+    each_type = snaps.schema["_listed"].dataType.elementType
+    totals = [
+        F.size(parsed).cast("bigint").alias("n_options"),
+        F.array_distinct(F.transform(parsed, lambda e: e["contract"]["expiry"])).alias("expiries"),
+        F.array_distinct(F.transform(parsed, lambda e: e["contract"]["root"])).alias("roots"),
+    ]
+    own = F.array(F.struct(F.lit(True).alias("own"), F.lit(None).cast(each_type).alias("e"), *[F.when(good, t).alias(n) for t, n in zip(totals, TOTALS, strict=True)]))
+    nothing = [F.lit(None).cast(TABLE[n].dataType).alias(n) for n in TOTALS]
+    each = F.transform("_listed", lambda e: F.struct(F.lit(False).alias("own"), e.alias("e"), *nothing))
     exploded = snaps.select(
         "ticker", "stem", "error", "capture_utc", "feed_timestamp", "index_last_trade", "seqno",
         F.col("ticker").alias("underlying_ticker"), F.col("spot").alias("underlying_price"),
         F.explode_outer(F.when(good, F.concat(own, each)).otherwise(own)).alias("_e"),
-    ).select("*", F.col("_e.own").alias("own"), F.col("_e.o").alias("_o"))
-    parsed = exploded.withColumn(
-        "contract", F.when(~F.col("own"), symbols.contract(payloads._text(F.col("_o.option"))))
     )
+    parsed = exploded.select("*", F.col("_e.own").alias("own"), F.col("_e.e.o").alias("_o"), F.col("_e.e.contract").alias("contract"), *[F.col(f"_e.{n}").alias(n) for n in TOTALS])
     kind = F.when(F.col("own"), CAPTURE).when(F.col("contract").isNull(), UNPARSED).otherwise(QUOTE)
     values = {
         name: payloads._text(F.col(f"_o.{name}")) if isinstance(t, T.StringType) else F.col(f"_o.{name}")
@@ -58,7 +68,7 @@ def table_rows(bodies: DataFrame, run: str) -> DataFrame:
     return (
         parsed.withColumn("kind", kind)
         .select("kind", "ticker", "stem", "error", F.lit(run).alias("run"), *QUOTE_COLUMNS[:6], "contract.*",
-                *[v.alias(n) for n, v in values.items()], F.to_date("capture_utc").alias(DAY))
+                *[v.alias(n) for n, v in values.items()], *TOTALS, F.to_date("capture_utc").alias(DAY))
         .select(*TABLE.fieldNames())
     )
 
@@ -194,12 +204,29 @@ def captures_view(quotes: DataFrame) -> DataFrame:
     )
 
 
+def known_captures(rows: DataFrame) -> DataFrame:
+    """``captures_view`` of the table, from the captures' own rows: quotes are not read.
+
+    Those rows are committed with the day they belong to, so a rebuilt day
+    brings its captures along.
+    """
+    mine = rows.where((F.col("kind") == CAPTURE) & F.col("error").isNull() & (F.col("n_options") > 0))
+
+    def kinds(name: str):  # lists of the few tickers captured at one instant
+        return F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("bigint")
+
+    return mine.groupBy("capture_utc").agg(
+        *[F.any_value(c).alias(c) for c in ("feed_timestamp", "index_last_trade", "seqno", "underlying_ticker", "underlying_price")],
+        F.sum("n_options").alias("n_options"), kinds("expiries").alias("n_expiries"), kinds("roots").alias("n_roots"),
+    )
+
+
 def open_catalog(spark: SparkSession, curated_dir: str) -> DataFrame:
     """Register the views ``quotes`` and ``captures`` for any ``spark.sql`` query."""
     rows = table(spark, curated_dir)
     quotes = rows.where(F.col("kind") == QUOTE).select(*QUOTE_COLUMNS, DAY)
     quotes.createOrReplaceTempView("quotes")
-    captures_view(quotes).createOrReplaceTempView("captures")
+    known_captures(rows).createOrReplaceTempView("captures")
     return quotes
 
 

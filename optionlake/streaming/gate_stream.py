@@ -15,6 +15,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,13 +24,6 @@ from ..operators import gate
 from ..sources import archive, payloads
 
 STATE = "print string, seqno bigint"
-HEAD = (
-    "ticker string, capture_utc timestamp, feed_timestamp string, index_last_trade timestamp, seqno bigint, spot double, "
-    "n_options bigint, error string, print string, age_minutes double, _force boolean, _fresh boolean"
-)
-COLUMNS = [c.split()[0] for c in HEAD.split(", ")]
-
-
 def landed(spark: SparkSession, landing_dir: str, max_files: int = 1000) -> DataFrame:
     """Stream of bodies landed as ``ticker=<ticker>/<stamp>.json[.gz]``.
 
@@ -55,19 +49,35 @@ def archived(spark: SparkSession, raw_dir: str, lag_seconds: float = 0.0) -> Dat
     )
 
 
-def _carry(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What was last accepted before each head of a ticker; heads are a few numbers each, put in order here."""
-    heads = pd.concat(list(frames)).sort_values("capture_utc", kind="stable")
-    known, seqno = state.get if state.exists else (None, None)
-    before = []
-    for own, number, force, fresh in zip(heads["print"], heads["seqno"], heads["_force"], heads["_fresh"], strict=True):
-        before.append((known, seqno))
-        if force or (fresh and own != known):  # accepted
-            known, seqno = own, number
-    if known is not None:
-        state.update((known, None if pd.isna(seqno) else int(seqno)))
-    prints, numbers = zip(*before, strict=True)
-    yield heads.assign(last_print=list(prints), last_seqno=pd.array([None if n is None or pd.isna(n) else int(n) for n in numbers], "Int64"))
+def _carry(order: list[str]):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """What was last accepted before each row of a ticker; rows are a few numbers each, put in order here."""
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        known, seqno = state.get if state.exists else (None, None)
+        before = []
+        for own, number, force, fresh in zip(rows["print"], rows["seqno"], rows["_force"], rows["_fresh"], strict=True):
+            before.append((known, seqno))
+            if force or (fresh and own != known):  # accepted
+                known, seqno = own, None if pd.isna(number) else int(number)
+        if known is not None:
+            state.update((known, seqno))
+        prints, numbers = zip(*before, strict=True)
+        yield rows.assign(last_print=list(prints), last_seqno=pd.array(list(numbers), "Int64"))
+
+    return run
+
+
+def carried(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``last_print`` and ``last_seqno`` to a stream of what ``gate.read_prints`` gives, per ticker in ``order``."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("last_print", T.StringType()), T.StructField("last_seqno", T.LongType())])
+    return rows.groupBy("ticker").applyInPandasWithState(_carry(order), schema, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def verdicts(attempts: DataFrame, max_stale: timedelta = gate.MAX_STALE, order: list[str] | None = None) -> DataFrame:
+    """``gate.judge`` for a stream of attempts."""
+    held = carried(gate.read_prints(attempts, max_stale), order or ["capture_utc"])
+    verdict = gate.verdict_of(F.col("last_print"), F.col("print"), F.col("_fresh"), F.col("_force"))
+    return held.withColumn("verdict", verdict).drop("_force", "_fresh", "last_seqno")
 
 
 def judged(bodies: DataFrame, max_stale: timedelta = gate.MAX_STALE, force: bool = False) -> DataFrame:
@@ -81,9 +91,7 @@ def judged(bodies: DataFrame, max_stale: timedelta = gate.MAX_STALE, force: bool
     usable = F.col("error").isNull()
     rows = gate.read_prints(heads.withColumn("force", F.lit(force) & usable), max_stale)
     rows = rows.withColumn("_fresh", F.coalesce(F.col("_fresh") & usable, F.lit(False)))
-    held = rows.select(*COLUMNS).groupBy("ticker").applyInPandasWithState(
-        _carry, f"{HEAD}, last_print string, last_seqno bigint", STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    held = carried(rows.drop("force"), ["capture_utc"])
     verdict = gate.verdict_of(F.col("last_print"), F.col("print"), F.col("_fresh"), F.col("_force"))
     with_verdict = held.withColumn("verdict", F.when(usable, verdict))
     return with_verdict.withColumn("detail", F.when(usable, gate.detail_of(F.col("last_seqno"), max_stale))).drop("_force", "_fresh", "last_seqno")
@@ -94,5 +102,9 @@ def start(
     available_now: bool = True, force: bool = False,
 ) -> StreamingQuery:
     """Write the verdict of every streamed capture to a Parquet table."""
-    writer = judged(bodies, max_stale, force).writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint_dir)
+    return to_table(judged(bodies, max_stale, force), out_dir, checkpoint_dir, available_now)
+
+
+def to_table(judged_rows: DataFrame, out_dir: str, checkpoint_dir: str, available_now: bool = True) -> StreamingQuery:
+    writer = judged_rows.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint_dir)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

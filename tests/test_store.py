@@ -79,6 +79,9 @@ def test_sql_over_the_catalog(spark, data):
     rows = spark.sql("select capture_utc, n_options, n_expiries, n_roots from captures order by 1").collect()
     assert [(r.n_options, r.n_expiries, r.n_roots) for r in rows] == [(len(chain_options()), 2, 1)] * 2
     captures = spark.table("captures")
+    read = captures._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(kind,capture)" in read and "EqualTo(kind,quote)" not in read and "strike" not in read  # no quote is read
+    assert sorted(map(tuple, captures.collect())) == sorted(map(tuple, curated.captures_view(quotes).collect()))
     assert curated.resolve_capture(captures) == rows[1].capture_utc
     assert curated.resolve_capture(captures, "20-37") == rows[0].capture_utc
     with pytest.raises(LookupError, match="newest is 2026-08-11T20-47-05Z"):
