@@ -29,10 +29,16 @@ GRID_REACH = 3.0
 LOWER = np.array([-np.inf, 0.0, -0.999, -np.inf, 1e-6])
 UPPER = np.array([np.inf, np.inf, 0.999, np.inf, np.inf])
 
-MAX_STEPS = 300
+MAX_STEPS = 2000
 BATCH = 64
 NAMES = ("a", "b", "rho", "m", "sigma")
-PARAMS = T.StructType([T.StructField(n, T.DoubleType()) for n in NAMES])
+#: Certificate of a solution: share by which the cost may still fall, steps taken, parameters on a bound.
+PROOF = ("decrement", "steps", "bounds_hit")
+SOLUTION = T.StructType([T.StructField(n, T.DoubleType()) for n in (*NAMES, *PROOF)])
+#: A solution is certain up to this decrement, and a descent stops at one this small; starts within this factor of the lowest are all descended.
+CERTAIN, ARRIVED, NEAR_START = 1e-6, 1e-14, 2.0
+#: Weighted variances are taken to be known to this share of themselves.
+ROUNDING = 1e-9
 
 
 def curves(prepared: DataFrame) -> DataFrame:
@@ -153,42 +159,75 @@ def _starts(k, w, weight, valid):
     return out
 
 
-def _descend(theta, data, penalty):
-    """Levenberg-Marquardt inside the bounds, every curve of the batch at once."""
+def _evaluate(theta, data, penalty):
+    """Cost, gradient and Gauss-Newton matrix (halved derivatives of the cost)."""
+    r, j = _residuals(theta, *data, penalty)
+    return np.sum(r * r, 1), np.einsum("bri,br->bi", j, r), np.einsum("bri,brj->bij", j, j)
+
+
+def _inside(theta, grad, hess):
+    """Gradient and matrix without the parameters that a bound holds, and which those are."""
+    held = ((theta <= LOWER) & (grad > 0)) | ((theta >= UPPER) & (grad < 0))
+    grad, hess = np.where(held, 0.0, grad), hess.copy()
+    hess[held] = 0.0
+    hess.swapaxes(1, 2)[held] = 0.0
+    return grad, hess, held
 
-    def evaluate(th, rows):
-        r, j = _residuals(th, *(d[rows] for d in data), penalty)
-        return np.sum(r * r, 1), np.einsum("bri,br->bi", j, r), np.einsum("bri,brj->bij", j, j)
 
+def _noise(data):
+    """Cost that rounding of the variances alone would leave."""
+    _, w, root_weight, _ = data
+    return np.sum((root_weight * w * ROUNDING) ** 2, 1)
+
+
+def _descend(theta, data, penalty):
+    """Levenberg-Marquardt inside the bounds, every curve of the batch at once; also the steps each took."""
     live = np.arange(len(theta))
-    cost, grad, hess = evaluate(theta, live)
-    damp = np.full(len(theta), 1e-3)
+    cost, grad, hess = _evaluate(theta, data, penalty)
+    damp, steps, least = np.full(len(theta), 1e-3), np.zeros(len(theta), np.int64), _noise(data)
     for _ in range(MAX_STEPS):
         if not live.size:
             break
-        th, g, h = theta[live], grad[live], hess[live].copy()
-        pinned = ((th <= LOWER) & (g > 0)) | ((th >= UPPER) & (g < 0))
-        g = np.where(pinned, 0.0, g)
-        h[pinned] = 0.0
-        h.swapaxes(1, 2)[pinned] = 0.0
+        steps[live] += 1
+        th = theta[live]
+        g, h, held = _inside(th, grad[live], hess[live])
         scale = np.einsum("bii->bi", h)
-        np.einsum("bii->bi", h)[...] += damp[live][:, None] * scale + 1e-18 + pinned
+        np.einsum("bii->bi", h)[...] += damp[live][:, None] * scale + 1e-18 + held
         step = np.linalg.solve(h, -g[..., None])[..., 0]
         trial = np.clip(th + step, LOWER, UPPER)
-        new_cost, new_grad, new_hess = evaluate(trial, live)
+        new_cost, new_grad, new_hess = _evaluate(trial, tuple(d[live] for d in data), penalty)
         better = new_cost < cost[live]
         moved = np.max(np.abs(trial - th) / (np.abs(th) + 1e-8), 1)
-        small = (cost[live] - new_cost <= 1e-15 * cost[live]) | (moved < 1e-11)
+        promised = np.abs(np.einsum("bi,bi->b", g, step)) <= ARRIVED * np.maximum(cost[live], least[live])
+        small = (cost[live] - new_cost <= 1e-15 * cost[live]) | (moved < 1e-11) | (promised & (damp[live] < 1e-6))
         won = live[better]
         theta[won], cost[won] = trial[better], new_cost[better]
         grad[won], hess[won] = new_grad[better], new_hess[better]
         damp[live] = np.where(better, np.maximum(damp[live] / 5.0, 1e-15), damp[live] * 4.0)
         live = live[~((better & small) | (damp[live] > 1e10))]
-    return theta, cost
+    return theta, cost, steps
+
+
+def certificate(theta, data, penalty):
+    """How far each curve's cost may still fall, as a share of the noise it could be told from, and the bounds it is on.
+
+    Half the Newton decrement is what the quadratic model promises from here,
+    with bound parameters held. It is set against the cost itself, or against
+    what rounding leaves of the weighted variances where the fit is exact.
+    """
+    cost, grad, hess = _evaluate(theta, data, penalty)
+    g, h, held = _inside(theta, grad, hess)
+    size = np.einsum("bii->bi", h)
+    size = np.sqrt(np.where(size > 0, size, 1.0))
+    unit = h / size[:, :, None] / size[:, None, :]  # parameters differ by orders of magnitude
+    unit += np.eye(5) * (1e-12 + held[:, None, :])
+    step = np.linalg.solve(unit, (g / size)[..., None])[..., 0]
+    promise = np.einsum("bi,bi->b", g / size, step)
+    return np.abs(promise) / np.maximum(cost, _noise(data)), held.sum(1)
 
 
 def solve(k, w, weight, penalty: float = PENALTY) -> np.ndarray:
-    """Parameters of a batch of curves given as lists of arrays; NaN rows failed."""
+    """Parameters and certificates of a batch of curves given as lists of arrays; NaN rows failed."""
     size = max(len(x) for x in k)
 
     def pad(rows, fill):
@@ -210,22 +249,32 @@ def solve(k, w, weight, penalty: float = PENALTY) -> np.ndarray:
         order = np.argsort(np.where(np.isfinite(costs), costs, np.inf), axis=0)
         stacked = np.stack(starts)
         rows = np.arange(len(kk))
-        best, best_cost = None, None
-        for rank in range(2):
-            theta, cost = _descend(stacked[order[rank], rows].copy(), data, penalty)
-            if best is None:
-                best, best_cost = theta, cost
-            else:
-                better = cost < best_cost
-                best[better], best_cost[better] = theta[better], cost[better]
+        best, best_cost = np.full(stacked.shape[1:], np.nan), np.full(len(kk), np.inf)
+        best_gap, best_steps, best_held = np.full(len(kk), np.inf), np.zeros(len(kk), np.int64), np.zeros(len(kk), np.int64)
+        ranked = np.take_along_axis(costs, order, 0)
+        for rank in range(len(starts)):
+            # The lowest start, every other that is near it, and others while no end is certain.
+            some = rows if rank == 0 else rows[(ranked[rank] <= NEAR_START * ranked[0]) | (best_gap > CERTAIN)]
+            if not some.size:
+                break
+            own = tuple(d[some] for d in data)
+            theta, cost, steps = _descend(stacked[order[rank, some], some].copy(), own, penalty)
+            gap, held = certificate(theta, own, penalty)
+            # An end that is certain beats one that is not, unless that lies well below it.
+            before, sure = best_cost[some], best_gap[some] <= CERTAIN
+            better = np.where(sure == (gap <= CERTAIN), cost < before, np.where(sure, cost < 0.999 * before, ~(before < 0.999 * cost)))
+            better &= np.isfinite(cost)
+            won = some[better]
+            best[won], best_cost[won], best_gap[won] = theta[better], cost[better], gap[better]
+            best_steps[won], best_held[won] = steps[better], held[better]
     best[~np.isfinite(best_cost)] = np.nan
-    return best
+    return np.column_stack([best, best_gap, best_steps, best_held])
 
 
 def _solver(penalty: float):
-    @F.pandas_udf(PARAMS)
+    @F.pandas_udf(SOLUTION)
     def run(k: pd.Series, w: pd.Series, weight: pd.Series) -> pd.DataFrame:
-        out = np.full((len(k), 5), np.nan)
+        out = np.full((len(k), len(NAMES) + len(PROOF)), np.nan)
         # Similar lengths together, so padding stays small.
         rows = [i for i in np.argsort([0 if x is None else len(x) for x in k]) if k.iloc[i] is not None]
         for at in range(0, len(rows), BATCH):
@@ -238,7 +287,7 @@ def _solver(penalty: float):
                         out[[i]] = solve([k.iloc[i]], [w.iloc[i]], [weight.iloc[i]], penalty)
                     except np.linalg.LinAlgError:
                         pass
-        return pd.DataFrame(out, columns=list(NAMES))
+        return pd.DataFrame(out, columns=[*NAMES, *PROOF])
 
     return run
 
@@ -258,6 +307,8 @@ def fit(
     Each curve is little data and much arithmetic, so the rows are spread by
     count: size-based coalescing would put them all into one task. ``solver`` is
     a function of the (k, w, weight) array columns giving a parameter struct.
+    A fit whose certificate (``decrement``) does not say that it has arrived is
+    excluded as not converged.
     """
     span = F.col("k_max") - F.col("k_min")
     before = (
@@ -274,14 +325,18 @@ def fit(
         F.transform("knots", lambda p: F.when(weighted & (p["weight"] > 0), p["w_weighted"]).otherwise(p["w_plain"])),
         F.transform("knots", lambda p: F.when(weighted, p["weight"] / mean_weight).otherwise(p["n"].cast("double"))),
     ]
-    solved = ready.withColumn("_p", (solver or _solver(penalty))(*[F.when(run, a) for a in arrays])).select(
-        "*", *[F.when(run, F.nanvl(F.col(f"_p.{n}"), F.lit(None).cast("double"))).alias(n) for n in NAMES]
-    )
+    solved = ready.withColumn("_p", (solver or _solver(penalty))(*[F.when(run, a) for a in arrays]))
+    given = solved.schema["_p"].dataType.names  # another solver may come without a certificate
+    solved = solved.select("*", *[
+        (F.when(run, F.nanvl(F.col(f"_p.{n}"), F.lit(None).cast("double"))) if n in given else F.lit(None).cast("double")).alias(n)
+        for n in (*NAMES, *PROOF)
+    ])
     smile = Smile.of()
     low_model = F.array_min(F.transform("knots", lambda p: smile.total_variance(p["k"])))
     reason = (
         F.when(~run, F.col("_before"))
         .when(F.col("a").isNull(), F.lit("solver failed: no finite minimum"))
+        .when(F.col("decrement") > CERTAIN, F.lit("solver failed: not converged"))
         .when(
             smile.wing_slope() > MAX_WING_SLOPE * WING_SLACK,
             F.format_string(
@@ -319,5 +374,6 @@ def fit(
         F.when(good, F.sqrt(squares / F.col("n_points")) / unit).alias("rmse_vol"),
         F.when(good, widest / unit).alias("max_abs_vol_error"),
         F.when(good, durrleman_minimum(smile, first, last)).alias("min_durrleman"),
+        "decrement", F.col("steps").cast("bigint").alias("steps"), F.col("bounds_hit").cast("bigint").alias("bounds_hit"),
         "excluded",
     )

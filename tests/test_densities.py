@@ -153,3 +153,29 @@ def test_penalty_keeps_a_dented_smile_arbitrage_free():
         return np.min((1 - grid * dv / (2 * v)) ** 2 - dv**2 / 4 * (1 / v + 0.25) + d2v / 2)
 
     assert lowest(held) >= min(lowest(free), -1e-2) and lowest(held) > -1e-2
+
+
+def test_a_fit_that_has_not_arrived_says_so(spark, monkeypatch):
+    done = smile.fit(smile.curves(inversion.prepare(surface(spark)))).first()
+    assert done.excluded is None and done.decrement <= smile.CERTAIN and done.steps > 3 and done.bounds_hit == 0
+    monkeypatch.setattr(smile, "MAX_STEPS", 2)
+    stopped = smile.fit(smile.curves(inversion.prepare(surface(spark)))).first()
+    assert stopped.excluded == "solver failed: not converged" and stopped.decrement > smile.CERTAIN and stopped.rmse_vol is None
+    assert estimate.estimate_all(surface(spark)).first().excluded == stopped.excluded
+
+
+def test_certificate_promises_what_further_steps_give():
+    rng = np.random.default_rng(2)
+    k = np.linspace(-0.3, 0.3, 25)
+    w = 0.01 + 0.1 * (-0.5 * (k - 0.02) + np.sqrt((k - 0.02) ** 2 + 0.01)) + rng.normal(0, 2e-4, 25)
+    found = smile.solve([k], [w], [np.ones_like(k)])[0]
+    data = (k[None], w[None], np.ones((1, 25)), np.linspace(-3, 3, 400)[None])
+    assert found[5] <= smile.CERTAIN
+    for scale in (1e-2, 1e-3):
+        theta = found[None, :5] * (1 + scale)
+        gap, held = smile.certificate(theta, data, 0.0)
+        cost = smile._evaluate(theta, data, 0.0)[0][0]
+        best = smile._evaluate(found[None, :5], data, 0.0)[0][0]
+        assert gap[0] * cost == pytest.approx(cost - best, rel=0.3) and held[0] == 0
+    flat = smile.solve([k], [np.full(25, 0.01)], [np.ones_like(k)])[0]
+    assert flat[5] <= smile.CERTAIN  # an exact fit, with parameters to spare
