@@ -405,3 +405,47 @@ chosen AS (SELECT capture_utc, option_symbol, min(no) AS no FROM picks GROUP BY
 why AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{name}')" for k, (name, *_) in enumerate(_REASONS))}) v(no, reason))"""
 ORACLES["subset_by_reason"] = q(_SUBSET, f"SELECT {text('capture_utc', 'capture')}, option_symbol, no::BIGINT AS reason_no, reason FROM chosen JOIN why USING (no)")
 ORACLES["subset_tally"] = q(_SUBSET, f"SELECT {text('capture_utc', 'capture')}, reason, count(*) AS n FROM chosen JOIN why USING (no) GROUP BY ALL")
+
+
+# --- estimates end to end --------------------------------------------------------
+
+# Total volatility by bisection, out of the money: the lower end moves up by halves of the range while the price there is too low.
+_LOW_VOL, _TOP_VOL = 1e-8, 5.0
+_HALVES = "[" + ", ".join([repr(_LOW_VOL), *(repr((_TOP_VOL - _LOW_VOL) / 2**k) for k in range(1, 61))]) + "]"
+
+
+def _unit_price(v: str) -> str:
+    near = f"(side*(ln(forward/strike)/({v}) + ({v})/2))"
+    return f"side*(forward*{cdf(near)} - strike*{cdf(f'({near} - side*({v}))')})"
+
+
+PREPARED = f"""{FLAGGED},
+sided AS (SELECT *, CASE WHEN option_right = 'call' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side, mid/discount AS target FROM kept),
+bounded AS (SELECT *, mid > discount*greatest(side*(forward - strike), 0) + 1e-12 AND mid < discount*CASE WHEN side > 0 THEN forward ELSE strike END - 1e-12
+   AND target <= {_unit_price(repr(_TOP_VOL))} AS solvable FROM sided),
+inverted AS (SELECT *, CASE WHEN solvable THEN list_reduce({_HALVES}, lambda low_end, half: CASE WHEN {_unit_price('(low_end + half)')} < target THEN low_end + half ELSE low_end END) END AS v FROM bounded),
+prepared AS (SELECT *, v/sqrt(tenor_years) AS implied_vol, v*v AS total_variance FROM inverted)"""
+_CALENDAR = f"""
+knots AS (SELECT {KEY}, log_moneyness AS k, avg(total_variance) AS w, min(tenor_years) AS tenor FROM prepared WHERE total_variance > 0 GROUP BY ALL),
+curves AS (SELECT {KEY}, min(k) AS lo, max(k) AS hi, min(tenor) AS tenor FROM knots GROUP BY ALL HAVING count(*) >= 4),
+neighbours AS (SELECT *, lead(expiry) OVER o AS far, lead(lo) OVER o AS lo2, lead(hi) OVER o AS hi2 FROM curves WINDOW o AS (PARTITION BY capture_utc, root ORDER BY tenor)),
+shared AS (SELECT capture_utc, root, expiry AS near, far, i, CASE WHEN i = 40 THEN least(hi, hi2) ELSE greatest(lo, lo2) + i*((least(hi, hi2)-greatest(lo, lo2))/40) END AS g
+   FROM neighbours, range(0, 41) t(i) WHERE far IS NOT NULL AND least(hi, hi2) > greatest(lo, lo2)),
+pieces AS (SELECT *, lead(k) OVER o AS k2, lead(w) OVER o AS w2, lead(k, 2) OVER o IS NULL AS final FROM knots WINDOW o AS (PARTITION BY {KEY} ORDER BY k)),
+near_side AS (SELECT g.*, p.w + (g - k)/(k2 - k)*(w2 - w) AS wa FROM shared g JOIN pieces p ON p.capture_utc = g.capture_utc AND p.root = g.root AND p.expiry = g.near AND k2 IS NOT NULL AND g >= k AND (g < k2 OR (final AND g = k2))),
+both_sides AS (SELECT a.*, p.w + (g - k)/(k2 - k)*(w2 - w) AS wb FROM near_side a JOIN pieces p ON p.capture_utc = a.capture_utc AND p.root = a.root AND p.expiry = a.far AND k2 IS NOT NULL AND g >= k AND (g < k2 OR (final AND g = k2))),
+drops AS (SELECT capture_utc, root, near FROM both_sides GROUP BY ALL HAVING max(wa - wb) > 1e-6)"""
+ORACLES |= {
+    "inverted_quotes": q(PREPARED, f"SELECT {CONTRACT}, {rnd('implied_vol', 6, 'implied_vol')}, {rnd('total_variance', 8, 'total_variance')}, {rnd('discount*forward*exp(-0.5*pow(ln(forward/strike)/v + v/2, 2))/sqrt(2*pi())', 3, 'vega')} FROM prepared"),
+    "full_arbitrage_report": q(f"""{PREPARED},{curve('kept').removeprefix(FLAGGED).lstrip(',')},{_CALENDAR},
+        sizes AS (SELECT capture_utc, count(*) AS n FROM kept WHERE mid IS NOT NULL GROUP BY {KEY}),
+        checks AS (SELECT capture_utc, 'vertical' AS kind, sum(CASE WHEN n >= 3 THEN n - 1 ELSE 0 END) AS n_checked FROM sizes GROUP BY 1
+           UNION ALL SELECT capture_utc, 'butterfly', sum(CASE WHEN n >= 3 THEN n - 2 ELSE 0 END) FROM sizes GROUP BY 1
+           UNION ALL SELECT capture_utc, 'calendar', count(*) FROM (SELECT DISTINCT {KEY} FROM kept) GROUP BY 1),
+        tally AS (SELECT capture_utc, kind, count(*) AS on_mids, count(*) FILTER (executable) AS exe, max(relative) FILTER (executable) AS worst FROM found GROUP BY 1, 2
+           UNION ALL SELECT capture_utc, 'calendar', count(*), 0, NULL FROM drops GROUP BY 1)""",
+        f"SELECT {text('capture_utc', 'capture')}, kind, CAST(n_checked AS BIGINT) AS n_checked, coalesce(on_mids, 0) AS on_mids, coalesce(exe, 0) AS executable, {rnd('coalesce(worst, 0)', 8, 'worst_rel')} FROM checks LEFT JOIN tally USING (capture_utc, kind)"),
+    "estimate_counts": q(f"""{PREPARED}, smile_sizes AS (SELECT {KEY}, count(*) AS n, count(*) FILTER (total_variance > 0) AS solved FROM prepared WHERE total_variance IS NOT NULL GROUP BY ALL),
+        smiles_all AS (SELECT {KEY}, coalesce(n, 0) AS n FROM (SELECT DISTINCT {KEY} FROM kept) LEFT JOIN smile_sizes USING (capture_utc, expiry, root))""",
+        f"SELECT {text('capture_utc', 'capture')}, count(*) AS n_smiles, count(*) FILTER (n >= 8) AS n_trustworthy, count(*) FILTER (n < 8) AS n_excluded, coalesce(string_agg(CASE WHEN n < 8 THEN 'only ' || n || ' usable quotes, need 8' END, '; ' ORDER BY n), '') AS reasons FROM smiles_all GROUP BY capture_utc"),
+}

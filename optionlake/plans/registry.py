@@ -567,7 +567,26 @@ def estimate_summary(spark, sf):
 def full_arbitrage_report(spark, sf):
     """All three conditions on curated chains with inverted volatilities."""
     prepared = settle(inversion.prepare(curate.build(tape.quotes(spark, sf)).quotes))
-    return arb.report(prepared).withColumn("capture_utc", when_text())
+    r = arb.report(prepared)
+    return r.select(when_text(), "kind", *[count(c, c) for c in ("n_checked", "on_mids", "executable")], rnd("worst_rel", 8))
+
+
+@query
+def inverted_quotes(spark, sf):
+    """Curated quotes with their volatility, variance and vega, from their own mids and parity forwards."""
+    p = inversion.prepare(curate.build(tape.quotes(spark, sf)).quotes)
+    return p.select(*contract_key(), rnd("implied_vol", 6), rnd("total_variance", 8), rnd("vega", 3))
+
+
+@query
+def estimate_counts(spark, sf):
+    """Smiles per capture: how many are trusted or left out, and why."""
+    e = estimate.estimate_all(curate.build(tape.quotes(spark, sf)).quotes)
+    reasons = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_quotes", "excluded"))), lambda x: x["excluded"]), "; ")
+    per = e.groupBy("capture_utc").agg(
+        F.count(F.lit(1)).alias("n_smiles"), F.count_if("trustworthy").alias("n_trustworthy"), F.count("excluded").alias("n_excluded"), reasons.alias("reasons")
+    )
+    return per.select(when_text(), *[count(c, c) for c in ("n_smiles", "n_trustworthy", "n_excluded")], "reasons")
 
 
 from . import layer  # noqa: E402, F401 (registers the queries over files and streams)
