@@ -1,149 +1,126 @@
-"""Implied volatility: the one scalar the JVM cannot solve for in closed form."""
+"""Implied volatility in the JVM: a start for each part of the price curve, then steps of third order.
 
-from __future__ import annotations
+Time value in units of D * sqrt(F * K) is a function of total volatility alone
+once the log-moneyness is given. Below its inflection point the steps solve for
+the reciprocal of its logarithm, near its upper limit for the logarithm of what
+is missing from that, and in between for the price itself: in these the curve is
+nearly straight. From the starts here three steps reach rounding over all
+log-moneyness up to 5 and total volatility from 0.001 to 5; a fourth is taken to
+be safe, and a volatility is an answer only if it gives the price back.
+
+Every stage is a projection, so nothing leaves the JVM and no row waits for another.
+"""
 
-import math
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import black76, normal
+from ..functions import black76
+from ..functions.normal import SQRT_2PI, with_norm_cdf
 
 # Search range in total volatility and the price-bound margin.
 MIN_VOL = 1e-8
 MAX_VOL = 5.0
 MARGIN = 1e-12
-MAX_STEPS = 100
-
 
 #: A price counts as matched within this share of itself, or of the least price that is told apart from nothing.
 RESIDUAL, LEAST_PRICE = 1e-8, 1e-8
+STEPS = 4
+#: The inflection point is taken no nearer to zero than this; prices beyond this share of the limit are solved for what is missing.
+LEAST_START, HIGH = 1e-3, 0.5
+
+
+def _unit_price(df: DataFrame, price: str, slope: str, v: str) -> DataFrame:
+    """Out-of-the-money price per unit of sqrt(F * K) and its derivative; ``_x = -|ln(F/K)|`` makes a call of every contract."""
+    staged = with_norm_cdf(df.withColumn("_d1", F.expr(f"_x / {v} + {v} / 2D")), {"_n1": F.col("_d1"), "_n2": F.col("_d1") - F.col(v)})
+    return staged.withColumns(
+        {price: F.expr("_half * _n1 - _n2 / _half"), slope: F.expr(f"_half * exp(-0.5D * _d1 * _d1) / {SQRT_2PI!r}D")}
+    ).drop("_d1", "_n1", "_n2")
+
+
+def _start(df: DataFrame) -> DataFrame:
+    """Add ``_low`` and ``_high`` (which part of the curve) and ``_v``, a volatility near the answer."""
+    at = _unit_price(df.withColumn("_vc", F.expr(f"least(greatest(sqrt(-2D * _x), {LEAST_START}D), {MAX_VOL}D)")), "_cc", "_sc", "_vc")
+    at = at.withColumns({"_low": F.expr("_c < _cc"), "_high": F.expr(f"_c >= _cc AND _c > {HIGH}D * _half")})
+    # The tail of the price far below the inflection, or the chord from nothing to it, whichever is higher.
+    tail = "-_x / nullif(sqrt(2D * (-_x / 4D + ln(_cc / _c))), 0D)"
+    below = f"greatest({tail}, _vc * try_divide(_c, _cc))"
+    # At the money the price is 1 - 2N(-v/2); the normal quantile by a rational approximation good to 5e-4.
+    t = "sqrt(-2D * ln(greatest((_half - _c) / _half / 2D, 1e-300D)))"
+    at = at.withColumn("_t", F.expr(f"CASE WHEN _high THEN {t} END"))
+    quantile = "_t - (2.515517D + 0.802853D * _t + 0.010328D * _t * _t) / (1D + 1.432788D * _t + 0.189269D * _t * _t + 0.001308D * _t * _t * _t)"
+    first = f"CASE WHEN _low THEN {below} WHEN _high THEN greatest(2D * ({quantile}), _vc) ELSE _vc + try_divide(_c - _cc, _sc) END"
+    return at.withColumn("_v", F.expr(f"least(greatest(coalesce({first}, _vc), {MIN_VOL}D), {MAX_VOL}D)")).drop("_t", "_cc", "_sc", "_vc")
+
+
+def _step(df: DataFrame) -> DataFrame:
+    """One step: what is left over the slope, corrected by the second and third derivatives."""
+    at = _unit_price(df, "_m", "_s", "_v").withColumn("_h2", F.expr("_x * _x / (_v * _v * _v) - _v / 4D"))
+    at = at.withColumns(
+        {
+            "_h3": F.expr("_h2 * _h2 - 3D * _x * _x / (_v * _v * _v * _v) - 0.25D"), "_l": F.expr("ln(try_divide(_m, _half))"),
+            "_r": F.expr("CASE WHEN _low THEN try_divide(_s, _m) WHEN _high THEN try_divide(_s, _half - _m) END"),
+        }
+    )
+    left = (
+        "CASE WHEN _low THEN try_divide((try_divide(1D, _l) - try_divide(1D, ln(_c / _half))) * _l * _l, -_r)"
+        " WHEN _high THEN try_divide(ln(try_divide(_half - _m, _half - _c)), -_r) ELSE try_divide(_m - _c, _s) END"
+    )
+    second = "CASE WHEN _low THEN _h2 - _r * (1D + try_divide(2D, _l)) WHEN _high THEN _h2 + _r ELSE _h2 END"
+    third = (
+        "CASE WHEN _low THEN _h3 - 3D * _r * _h2 * (1D + try_divide(2D, _l)) + _r * _r * (2D + try_divide(6D, _l) + try_divide(6D, _l * _l))"
+        " WHEN _high THEN _h3 + 3D * _r * _h2 + 2D * _r * _r ELSE _h3 END"
+    )
+    at = at.withColumns({"_nu": F.expr(left), "_a": F.expr(second), "_b": F.expr(third)})
+    move = F.expr("try_divide(_nu * (1D - 0.5D * _nu * _a), 1D - _nu * (_a - _b * _nu / 6D))")
+    at = at.withColumn("_move", F.when(F.abs(move) < float("inf"), move).otherwise(0.0))  # not for NaN either
+    return at.withColumn("_v", F.expr(f"least(greatest(least(greatest(_v - _move, _v / 3D), _v * 3D), {MIN_VOL}D), {MAX_VOL}D)")).drop(
+        "_m", "_s", "_h2", "_h3", "_l", "_r", "_nu", "_a", "_b", "_move"
+    )
 
 
-def erfc(x: np.ndarray) -> np.ndarray:
-    """Cody's approximation (see ``functions.normal``) over whole arrays."""
-    y = np.abs(x)
-    out = np.where(x > 0, 0.0, 2.0)
-    near = y <= 0.46875
-    square = x[near] * x[near]
-    out[near] = 1.0 - x[near] * np.polyval(normal.ERF_NUM, square) / np.polyval(normal.ERF_DEN, square)
-    for span, tail in (((y > 0.46875) & (y <= 4.0), False), ((y > 4.0) & (y < normal.UNDERFLOW), True)):
-        z = y[span]
-        coarse = np.rint(z * 16.0) / 16.0
-        decay = np.exp(-coarse * coarse) * np.exp(-(z - coarse) * (z + coarse))
-        if tail:
-            inverse = 1.0 / (z * z)
-            part = (normal.INV_SQRT_PI - inverse * np.polyval(normal.TAIL_NUM, inverse) / np.polyval(normal.TAIL_DEN, inverse)) / z
-        else:
-            part = np.polyval(normal.MID_NUM, z) / np.polyval(normal.MID_DEN, z)
-        out[span] = np.where(x[span] > 0, decay * part, 2.0 - decay * part)
-    out[np.isnan(x)] = np.nan
-    return out
-
-
-def _cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * erfc(x * -math.sqrt(0.5))
-
-
-def _otm_price(x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Out-of-the-money price and its derivative, per unit of sqrt(F * K).
-
-    ``x = -|ln(F/K)|`` makes a call of every contract: the normalised price of a
-    put equals that of the call mirrored about the forward.
-    """
-    d1 = x / v + v / 2.0
-    half = np.exp(x / 2.0)
-    price = half * _cdf(d1) - _cdf(d1 - v) / half
-    return price, half * np.exp(-0.5 * d1 * d1) / math.sqrt(2.0 * math.pi)
+def with_total_vol(df: DataFrame, name: str, price: Column, forward: Column, strike: Column, discount: Column, right: Column) -> DataFrame:
+    """Add the total volatility of a price; null where none gives it. Never raises.
 
+    Prices on or outside the no-arbitrage bounds, and anything null, NaN or of
+    another right, have none.
+    """
+    given = {"_p": price, "_f": forward, "_k": strike, "_d": discount}
+    staged = df.withColumns({n: c.cast("double") for n, c in given.items()} | {"_side": F.when(right == "call", 1.0).when(right == "put", -1.0)})
+    inside = (
+        f"_p > _d * greatest(_side * (_f - _k), 0D) + {MARGIN}D AND _p < _d * (CASE WHEN _side > 0 THEN _f ELSE _k END) - {MARGIN}D"
+        " AND _d > 0 AND _f > 0 AND _k > 0 AND _f < double('infinity') AND _k < double('infinity') AND _d < double('infinity')"
+    )
+    staged = staged.withColumn("_unit", F.expr(f"CASE WHEN {inside} THEN _d * sqrt(_f * _k) END"))
+    staged = staged.withColumns(
+        {"_c": F.expr("(_p - _d * greatest(_side * (_f - _k), 0D)) / _unit"), "_x": F.expr("CASE WHEN _unit IS NOT NULL THEN -abs(ln(_f / _k)) END")}
+    ).withColumn("_half", F.expr("exp(_x / 2D)"))
+    solved = _start(staged)
+    for _ in range(STEPS):
+        solved = _step(solved)
+    proved = _unit_price(solved, "_m", "_s", "_v")
+    missed = f"abs(_m - _c) * _unit / greatest(_p, {LEAST_PRICE}D)"
+    return proved.withColumn(name, F.expr(f"CASE WHEN {missed} < {RESIDUAL}D THEN _v END")).drop(
+        *given, "_side", "_unit", "_c", "_x", "_half", "_low", "_high", "_v", "_m", "_s"
+    )
 
-def total_vol(price, forward, strike, discount, is_call) -> np.ndarray:
-    """Vectorised inversion; NaN where no total volatility gives the price.
 
-    Newton from the inflection point of the price in volatility, on the log of
-    the price below it and on the price above it, kept inside a bracket that
-    shrinks every step. Each element stops on its own, and its volatility is an
-    answer only if it gives the price back.
-    """
-    with np.errstate(all="ignore"):
-        gap = forward - strike
-        low = discount * np.maximum(np.where(is_call, gap, -gap), 0.0)
-        high = discount * np.where(is_call, forward, strike)
-        ok = (price > low + MARGIN) & (price < high - MARGIN) & (discount > 0)
-        out = np.full(price.shape, np.nan)
-        live = np.flatnonzero(ok)
-        # Time value in units of D * sqrt(F * K): the out-of-the-money twin.
-        scale = discount[live] * np.sqrt(forward[live] * strike[live])
-        target = (price[live] - low[live]) / scale
-        x = -np.abs(np.log(forward[live] / strike[live]))
-        v = np.clip(np.sqrt(-2.0 * x), 1e-3, MAX_VOL)
-        lo, hi = np.full(v.shape, MIN_VOL), np.full(v.shape, MAX_VOL)
-        on_log = target < _otm_price(x, v)[0]
-        reachable = _otm_price(x, hi)[0] >= target
-        live, target, x, v, lo, hi, on_log = (
-            a[reachable] for a in (live, target, x, v, lo, hi, on_log)
-        )
-        asked, wanted, at, unit = live, target, x, scale[reachable]
-        for _ in range(MAX_STEPS):
-            if not live.size:
-                break
-            model, slope = _otm_price(x, v)
-            above = model > target
-            hi, lo = np.where(above, v, hi), np.where(above, lo, v)
-            step = np.where(on_log, np.log(model / target) * model, model - target) / slope
-            nxt = v - step
-            bad = ~np.isfinite(nxt) | (nxt <= lo) | (nxt >= hi)
-            nxt = np.where(bad, 0.5 * (lo + hi), nxt)
-            done = (np.abs(nxt - v) <= 4e-16 * v) | (hi - lo <= 1e-15 * hi) | (model == target)
-            nxt = np.where(model == target, v, nxt)
-            out[live] = nxt
-            on = ~done
-            live, target, x, v, lo, hi, on_log = (
-                a[on] for a in (live, target, x, nxt, lo, hi, on_log)
-            )
-        missed = np.abs(_otm_price(at, out[asked])[0] - wanted) * unit / np.maximum(price[asked], LEAST_PRICE)
-        out[asked[~(missed < RESIDUAL)]] = np.nan
-    return out
-
-
-@F.pandas_udf(T.DoubleType())
-def _total_vol_udf(
-    price: pd.Series, forward: pd.Series, strike: pd.Series, discount: pd.Series, is_call: pd.Series
-) -> pd.Series:
-    columns = [s.to_numpy(dtype=float, na_value=np.nan) for s in (price, forward, strike, discount)]
-    return pd.Series(total_vol(*columns, is_call.fillna(False).to_numpy(dtype=bool)))
-
-
-def implied_total_vol(price, forward, strike, discount, right) -> Column:
-    """Total volatility of a price, NULL where none exists. Never raises."""
-    solved = _total_vol_udf(price, forward, strike, discount, right == "call")
-    return F.when(right.isin("call", "put"), F.nanvl(solved, F.lit(None).cast("double")))
-
-
-def implied_vol(price, forward, strike, tenor, discount, right) -> Column:
-    return F.when(tenor > 0, implied_total_vol(price, forward, strike, discount, right) / F.sqrt(tenor))
+def with_implied_vol(df: DataFrame, name: str, price: Column, forward: Column, strike: Column, tenor: Column, discount: Column, right: Column) -> DataFrame:
+    """Add the annualised volatility; null where there is no total one, or no time left."""
+    staged = with_total_vol(df.withColumn("_tenor", tenor.cast("double")), "_total", price, forward, strike, discount, right)
+    return staged.withColumn(name, F.when(F.col("_tenor") > 0, F.col("_total") / F.sqrt("_tenor"))).drop("_tenor", "_total")
 
 
 def prepare(quotes: DataFrame) -> DataFrame:
     """Add implied_vol, total_variance and the vega a smile fit weighs by."""
-    solved = quotes.withColumn(
-        "_v", implied_total_vol(
-            F.col("mid"), F.col("forward"), F.col("strike"), F.col("discount"), F.col("option_right")
-        )
+    solved = with_implied_vol(
+        quotes, "implied_vol", F.col("mid"), F.col("forward"), F.col("strike"), F.col("tenor_years"), F.col("discount"), F.col("option_right")
     )
-    iv = F.when(F.col("tenor_years") > 0, F.col("_v") / F.sqrt("tenor_years"))
-    return (
-        solved.withColumn("implied_vol", iv)
-        .withColumn("total_variance", F.col("implied_vol") * F.col("implied_vol") * F.col("tenor_years"))
-        .withColumn(
-            "vega",
-            black76.vega(
-                F.col("forward"), F.col("strike"),
-                F.col("implied_vol") * F.sqrt(F.greatest("tenor_years", F.lit(0.0))), F.col("discount"),
-            ),
-        )
-        .drop("_v")
+    return solved.withColumn("total_variance", F.col("implied_vol") * F.col("implied_vol") * F.col("tenor_years")).withColumn(
+        "vega",
+        black76.vega(
+            F.col("forward"), F.col("strike"),
+            F.col("implied_vol") * F.sqrt(F.greatest("tenor_years", F.lit(0.0))), F.col("discount"),
+        ),
     )

@@ -419,10 +419,10 @@ def implied_vols(spark, sf):
     """Volatility back from a price moved off the money's time-value floor."""
     q = tape.model_quotes(spark, sf).withColumn("v", F.sqrt("w0") + 0.05)
     q = black76.with_price(q, "price", F.col("f0"), F.col("strike"), F.col("v"), F.col("d0"), F.col("option_right"))
-    iv = inversion.implied_vol(
-        F.col("price"), F.col("f0"), F.col("strike"), F.col("days") / 365.0, F.col("d0"), F.col("option_right")
+    q = inversion.with_implied_vol(
+        q, "implied_vol", F.col("price"), F.col("f0"), F.col("strike"), F.col("days") / 365.0, F.col("d0"), F.col("option_right")
     )
-    return q.select(*contract_key(), rnd(iv, 6, "implied_vol"))
+    return q.select(*contract_key(), rnd("implied_vol", 6))
 
 
 @query
@@ -431,8 +431,8 @@ def unpriceable(spark, sf):
     q = tape.model_quotes(spark, sf)
     low, high = black76.price_bounds(F.col("f0"), F.col("strike"), F.col("d0"), F.col("option_right"))
     bad = F.when(F.col("slot") % 3 == 0, low).when(F.col("slot") % 3 == 1, high * 1.01).otherwise(-5.0)
-    v = inversion.implied_total_vol(bad, F.col("f0"), F.col("strike"), F.col("d0"), F.col("option_right"))
-    return q.select("capture_utc", v.alias("v")).groupBy("capture_utc").agg(
+    q = inversion.with_total_vol(q, "v", bad, F.col("f0"), F.col("strike"), F.col("d0"), F.col("option_right"))
+    return q.groupBy("capture_utc").agg(
         F.count(F.lit(1)).alias("n"), F.count("v").alias("inverted")
     ).select(when_text(), count("n", "n"), count("inverted", "inverted"))
 

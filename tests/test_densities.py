@@ -66,18 +66,38 @@ def test_inversion_round_trips_and_never_raises(spark):
     df = spark.createDataFrame(rows, "s double, k double, r string")
     vol = F.col("s") * math.sqrt(TENOR)
     df = black76.with_price(df, "p", FWD, F.col("k"), vol, DISC, F.col("r"))
-    iv = inversion.implied_vol(F.col("p"), F.lit(FWD), F.col("k"), F.lit(TENOR), F.lit(DISC), F.col("r"))
-    for r in df.withColumn("iv", iv).collect():
+    solved = inversion.with_implied_vol(df, "iv", F.col("p"), F.lit(FWD), F.col("k"), F.lit(TENOR), F.lit(DISC), F.col("r"))
+    assert "Python" not in solved._jdf.queryExecution().executedPlan().toString()
+    for r in solved.collect():
         floor = DISC * max((FWD - r.k) if r.r == "call" else (r.k - FWD), 0)
         if r.p - floor > 1e-4:
             assert r.iv == pytest.approx(r.s, rel=1e-8)
     bad = spark.createDataFrame([(-5.0,), (0.0,), (1e12,), (float("nan"),), (None,), (100.0,)], "p double")
-    got = [r.v for r in bad.select(inversion.implied_total_vol(F.col("p"), F.lit(FWD), F.lit(7800.0), F.lit(DISC), F.lit("call")).alias("v")).collect()]
+    got = [r.v for r in inversion.with_total_vol(bad, "v", F.col("p"), F.lit(FWD), F.lit(7800.0), F.lit(DISC), F.lit("call")).collect()]
     assert got[:5] == [None] * 5 and got[5] > 0
-    expired = bad.select(inversion.implied_vol(F.col("p"), F.lit(FWD), F.lit(7800.0), F.lit(0.0), F.lit(DISC), F.lit("call")).alias("v"))
+    expired = inversion.with_implied_vol(bad, "v", F.col("p"), F.lit(FWD), F.lit(7800.0), F.lit(0.0), F.lit(DISC), F.lit("call"))
     assert {r.v for r in expired.collect()} == {None}
 
 
+def test_inversion_reaches_rounding_wherever_a_price_tells_volatilities_apart(spark):
+    """Total volatility 0.001 to 5 and log-moneyness to 5, on both sides; the price is given back, or there is no answer."""
+    vols = [*np.geomspace(1e-3, 1, 40), *np.linspace(1.1, 4.99, 25)]
+    rows = [(float(v), float(np.exp(x)), r) for v in vols for x in (0.0, 1e-9, 1e-4, 0.003, 0.02, 0.1, 0.4, 1.0, 2.5, 5.0) for r in ("call", "put")]
+    rows += [(float(v), float(np.exp(-x)), r) for v, x, r in ((v, abs(math.log(k)), r) for v, k, r in rows[::3])]
+    df = black76.with_price(spark.createDataFrame(rows, "v double, k double, r string"), "p", 1.0, F.col("k"), F.col("v"), 0.97, F.col("r"))
+    solved = inversion.with_total_vol(df, "got", F.col("p"), F.lit(1.0), F.col("k"), F.lit(0.97), F.col("r"))
+    back = black76.with_price(solved, "again", 1.0, F.col("k"), F.col("got"), 0.97, F.col("r")).collect()
+    told = 0
+    for r in back:
+        low, high = 0.97 * max(1 - r.k if r.r == "call" else r.k - 1, 0), 0.97 * (1 if r.r == "call" else r.k)
+        if low + 1e-9 < r.p < high - 1e-9:
+            told += 1
+            assert abs(r.again - r.p) <= 1e-8 * max(r.p, 1e-8)
+            if r.p - low > 1e-5 * r.p and high - r.p > 1e-5 * r.p:
+                assert r.got == pytest.approx(r.v, rel=1e-7)
+    assert told > 1000
+
+
 def surface(spark, n=60, copies=1, root="SPXW"):
     ks = np.linspace(-0.5, 0.3, n)
     a, b, rho, m, s = EQUITY
