@@ -54,6 +54,11 @@ def _start(df: DataFrame) -> DataFrame:
     return at.withColumn("_v", F.expr(f"least(greatest(coalesce({first}, _vc), {MIN_VOL}D), {MAX_VOL}D)")).drop("_t", "_cc", "_sc", "_vc")
 
 
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    """End the generated code here: a lambda is evaluated outside it, and all steps in one method would pass the JVM's limit."""
+    return df.withColumn(name, F.element_at(F.transform(F.array(name), lambda v: v), 1))
+
+
 def _step(df: DataFrame) -> DataFrame:
     """One step: what is left over the slope, corrected by the second and third derivatives."""
     at = _unit_price(df, "_m", "_s", "_v").withColumn("_h2", F.expr("_x * _x / (_v * _v * _v) - _v / 4D"))
@@ -96,9 +101,9 @@ def with_total_vol(df: DataFrame, name: str, price: Column, forward: Column, str
     staged = staged.withColumns(
         {"_c": F.expr("(_p - _d * greatest(_side * (_f - _k), 0D)) / _unit"), "_x": F.expr("CASE WHEN _unit IS NOT NULL THEN -abs(ln(_f / _k)) END")}
     ).withColumn("_half", F.expr("exp(_x / 2D)"))
-    solved = _start(staged)
+    solved = _cut(_start(staged), "_v")
     for _ in range(STEPS):
-        solved = _step(solved)
+        solved = _cut(_step(solved), "_v")
     proved = _unit_price(solved, "_m", "_s", "_v")
     missed = f"abs(_m - _c) * _unit / greatest(_p, {LEAST_PRICE}D)"
     return proved.withColumn(name, F.expr(f"CASE WHEN {missed} < {RESIDUAL}D THEN _v END")).drop(
