@@ -4,9 +4,9 @@ Time value in units of D * sqrt(F * K) is a function of total volatility alone
 once the log-moneyness is given. Below its inflection point the steps solve for
 the reciprocal of its logarithm, near its upper limit for the logarithm of what
 is missing from that, and in between for the price itself: in these the curve is
-nearly straight. From the starts here three steps reach rounding over all
-log-moneyness up to 5 and total volatility from 0.001 to 5; a fourth is taken to
-be safe, and a volatility is an answer only if it gives the price back.
+nearly straight. From the starts here three steps come within 1e-10 of the price
+over all log-moneyness up to 5 and total volatility from 0.001 to 5, and a
+volatility is an answer only if it gives the price back.
 
 Every stage is a projection, so nothing leaves the JVM and no row waits for another.
 """
@@ -26,7 +26,7 @@ MARGIN = 1e-12
 
 #: A price counts as matched within this share of itself, or of the least price that is told apart from nothing.
 RESIDUAL, LEAST_PRICE = 1e-8, 1e-8
-STEPS = 4
+STEPS = 3
 #: The inflection point is taken no nearer to zero than this; prices beyond this share of the limit are solved for what is missing.
 LEAST_START, HIGH = 1e-3, 0.5
 
@@ -55,8 +55,11 @@ def _start(df: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame, name: str) -> DataFrame:
-    """End the generated code here: a lambda is evaluated outside it, and all steps in one method would pass the JVM's limit."""
-    return df.withColumn(name, F.element_at(F.transform(F.array(name), lambda v: v), 1))
+    """End the generated code here: a lambda is evaluated outside it, and all steps in one method would pass the JVM's limit.
+
+    The column is named twice, so that what it stands for is not moved into the lambda.
+    """
+    return df.withColumn(name, F.element_at(F.transform(F.array(name, name), lambda v: v), 1))
 
 
 def _step(df: DataFrame) -> DataFrame:
