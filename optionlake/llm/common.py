@@ -5,7 +5,8 @@ from __future__ import annotations
 import sys
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The word rules of the operators. Bytes of UTF-8 above 0x7F always belong to a word.
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -28,6 +29,11 @@ def alnum_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_ALNUM_TABLE).split()
 
 
+def text_digest(text: Column) -> Column:
+    """What tells rows of one doc_id apart: equal for equal texts, null like empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def per_worker(name, make):
     """What ``make`` gives, made once per Python worker and kept from task to task.
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, stored
+from .common import alnum_words, stored, text_digest
 
 #: Words of a window; words of a block of the index; words of the benchmark taken at a time.
 WINDOW, BLOCK_WORDS, ITEM_WORDS = 10, 1_000_000, 500_000
@@ -28,10 +28,10 @@ WINDOW, BLOCK_WORDS, ITEM_WORDS = 10, 1_000_000, 500_000
 SLACK, LACKING, CANDIDATES = 2, 5, 2_000_000
 
 INDEX = (
-    "block bigint, n_rows int, terms binary, counts binary, gaps binary, has_id binary, doc_ids binary, starts binary, lengths binary"
+    "block bigint, n_rows int, terms binary, counts binary, gaps binary, has_id binary, doc_ids binary, digests binary, starts binary, lengths binary"
 )
 FOUND = (
-    "block bigint, row int, doc_id bigint, n_words bigint, spans array<struct<a:int,b:int>>, items array<bigint>, near array<bigint>"
+    "block bigint, row int, doc_id bigint, digest bigint, n_words bigint, spans array<struct<a:int,b:int>>, items array<bigint>, near array<bigint>"
 )
 
 
@@ -46,7 +46,7 @@ def build(docs: DataFrame, block_words: int = BLOCK_WORDS, gap: int = WINDOW + S
     each for itself. Documents lie ``gap`` positions apart, so no window spans two.
     """
 
-    def flush(block: int, ids: list, texts: list[list[bytes]]):
+    def flush(block: int, ids: list, digests: list[int], texts: list[list[bytes]]):
         names: dict[bytes, int] = {}
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         starts = np.concatenate(([0], np.cumsum(lengths + gap)[:-1])).astype(np.int64)
@@ -66,28 +66,30 @@ def build(docs: DataFrame, block_words: int = BLOCK_WORDS, gap: int = WINDOW + S
         counts = np.bincount(coded, minlength=len(order))
         return (
             block, len(texts), b" ".join(order), _pack(counts, "<i4"), _pack(gaps, "<i4"), _pack([i is not None for i in ids], "u1"),
-            _pack([i or 0 for i in ids], "<i8"), _pack(starts, "<i8"), _pack(lengths, "<i4"),
+            _pack([i or 0 for i in ids], "<i8"), _pack(digests, "<i8"), _pack(starts, "<i8"), _pack(lengths, "<i4"),
         )
 
     def run(batches):
         schema = pa.schema(
             [("block", pa.int64()), ("n_rows", pa.int32())]
-            + [(c, pa.binary()) for c in ("terms", "counts", "gaps", "has_id", "doc_ids", "starts", "lengths")]
+            + [(c, pa.binary()) for c in ("terms", "counts", "gaps", "has_id", "doc_ids", "digests", "starts", "lengths")]
         )
-        at, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        at, ids, digests, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text, digest in zip(*batch.columns, strict=True):
                 words = alnum_words(text.as_py())
                 ids.append(doc_id.as_py())
+                digests.append(digest.as_py())
                 texts.append(words)
                 size += len(words) + gap
                 if size >= block_words:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, flush(at, ids, texts), strict=True))], schema)
-                    at, ids, texts, size = at + 1, [], [], 0
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, flush(at, ids, digests, texts), strict=True))], schema)
+                    at, ids, digests, texts, size = at + 1, [], [], [], 0
         if ids:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, flush(at, ids, texts), strict=True))], schema)
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, flush(at, ids, digests, texts), strict=True))], schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, INDEX)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), text_digest(text).alias("digest")).mapInArrow(run, INDEX)
 
 
 class Block:
@@ -97,8 +99,8 @@ class Block:
         read = lambda name, kind: np.frombuffer(row[name], kind)
         self.id, self.counts = row["block"], read("counts", "<i4").astype(np.int64)
         self.terms = row["terms"].split(b" ") if row["terms"] else []
-        self.starts, self.lengths, self.ids, self.has = (
-            read("starts", "<i8"), read("lengths", "<i4").astype(np.int64), read("doc_ids", "<i8"), read("has_id", "u1").astype(bool)
+        self.starts, self.lengths, self.ids, self.has, self.digests = (
+            read("starts", "<i8"), read("lengths", "<i4").astype(np.int64), read("doc_ids", "<i8"), read("has_id", "u1").astype(bool), read("digests", "<i8")
         )
         gaps = read("gaps", "<i4").astype(np.int64)
         self.ends = np.cumsum(self.counts)
@@ -252,11 +254,11 @@ def _search(index: DataFrame, items: list[tuple[int | None, str]], slack: int |
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block.id] * n, pa.int64()), pa.array(range(n), pa.int32()),
-                        pa.array([int(i) if h else None for i, h in zip(block.ids, block.has, strict=True)], pa.int64()), pa.array(block.lengths, pa.int64()),
+                        pa.array([int(i) if h else None for i, h in zip(block.ids, block.has, strict=True)], pa.int64()), pa.array(block.digests), pa.array(block.lengths, pa.int64()),
                         pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
                         pa.array(found, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64())),
                     ],
-                    names=["block", "row", "doc_id", "n_words", "spans", "items", "near"],
+                    names=["block", "row", "doc_id", "digest", "n_words", "spans", "items", "near"],
                 )
 
     return index.mapInArrow(run, FOUND)
@@ -285,7 +287,7 @@ def search(index: DataFrame, benchmark: DataFrame, slack: int | None = None, ite
         return found
     joined = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  a list per group
     return found.groupBy("block", "row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.first("n_words").alias("n_words"),
         joined("spans").alias("spans"), *[F.array_distinct(joined(c)).alias(c) for c in ("items", "near")],
     )
 
@@ -320,8 +322,9 @@ def mark_near(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK) -> Data
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without an exact window of a benchmark item, all columns kept.
 
-    Rows that share a doc_id with a contaminated one go with it; a null id is an id here.
+    A row goes by its own text: others that share its doc_id, or have none either, stay.
     """
     index = stored(build(docs), "postings")
-    bad = search(index, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_bad"]), "left_anti")
+    bad = search(index, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad"), F.col("digest").alias("_bad_digest")).distinct()
+    same = docs["doc_id"].cast("bigint").eqNullSafe(bad["_bad"]) & (text_digest(docs["text"].cast("string")) == bad["_bad_digest"])
+    return docs.join(bad, same, "left_anti")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, spaced_words, stored
+from .common import parts, spaced_words, stored, text_digest
 from .components import components
 
 #: Words of a shingle; head shingles of a block, of a counting bucket, shingles of a searched part.
@@ -89,45 +89,46 @@ def _blob(array, kind) -> bytes:
     return np.ascontiguousarray(array, kind).tobytes()
 
 
-BLOCKS = "block bigint, shingles bigint, has binary, doc_ids binary, sizes binary, classes binary, own binary, lengths binary, heads binary"
+BLOCKS = "block bigint, shingles bigint, has binary, doc_ids binary, digests binary, sizes binary, classes binary, own binary, lengths binary, heads binary"
 
 
 def blocks(docs: DataFrame, block_size: int = BLOCK) -> DataFrame:
     """One row per run of documents: ids, set sizes and class digests of all, heads of the distinct classes (``own``: their rows)."""
 
     def pack(block, rows, heads):
-        ids, sizes, classes = zip(*rows, strict=True)
+        ids, sizes, classes, digests = zip(*rows, strict=True)
         own = sorted(heads.values(), key=lambda x: x[0])
         return {
             "block": block, "shingles": sum(len(h) for _, h in own), "has": _blob([i is not None for i in ids], "u1"),
-            "doc_ids": _blob([i or 0 for i in ids], "<i8"), "sizes": _blob(sizes, "<i8"), "classes": b"".join(classes),
+            "doc_ids": _blob([i or 0 for i in ids], "<i8"), "digests": _blob(digests, "<i8"), "sizes": _blob(sizes, "<i8"), "classes": b"".join(classes),
             "own": _blob([k for k, _ in own], "<i4"), "lengths": _blob([len(h) for _, h in own], "<i4"),
             "heads": _blob(np.concatenate([h for _, h in own]) if own else [], "<u8"),
         }
 
     def run(batches):
         fields = [("block", pa.int64()), ("shingles", pa.int64())]
-        schema = pa.schema(fields + [(c, pa.binary()) for c in ("has", "doc_ids", "sizes", "classes", "own", "lengths", "heads")])
+        schema = pa.schema(fields + [(c, pa.binary()) for c in ("has", "doc_ids", "digests", "sizes", "classes", "own", "lengths", "heads")])
         at, rows, heads, size = TaskContext.get().partitionId() << 32, [], {}, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text, digest in zip(*batch.columns, strict=True):
                 s = shingles(text.as_py())
                 name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if len(s) and name not in heads:
                     heads[name] = (len(rows), s[: int(head_size(len(s)))])
                     size += len(heads[name][1])
-                rows.append((doc_id.as_py(), len(s), name))
+                rows.append((doc_id.as_py(), len(s), name, digest.as_py()))
                 if size >= block_size or len(rows) >= block_size:
                     yield pa.RecordBatch.from_pylist([pack(at, rows, heads)], schema)
                     at, rows, heads, size = at + 1, [], {}, 0
         if rows:
             yield pa.RecordBatch.from_pylist([pack(at, rows, heads)], schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), text_digest(text).alias("digest")).mapInArrow(run, BLOCKS)
 
 
 def members(made: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class of every document."""
+    """doc_id, n_shingles, class, digest (of the text) of every document."""
 
     def run(batches):
         for batch in batches:
@@ -137,11 +138,12 @@ def members(made: DataFrame) -> DataFrame:
                     [
                         pa.array(ids, mask=has == 0), pa.array(np.frombuffer(r["sizes"], "<i8")),
                         pa.array([r["classes"][k : k + 16] for k in range(0, len(r["classes"]), 16)], pa.binary()),
+                        pa.array(np.frombuffer(r["digests"], "<i8")),
                     ],
-                    names=["doc_id", "n_shingles", "class"],
+                    names=["doc_id", "n_shingles", "class", "digest"],
                 )
 
-    return made.select("has", "doc_ids", "sizes", "classes").mapInArrow(run, "doc_id bigint, n_shingles bigint, class binary")
+    return made.select("has", "doc_ids", "digests", "sizes", "classes").mapInArrow(run, "doc_id bigint, n_shingles bigint, class binary, digest bigint")
 
 
 def shared(made: DataFrame, buckets: int) -> DataFrame:
@@ -414,9 +416,9 @@ def tally(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None =
 
 
 def search(docs: DataFrame, groups: DataFrame, every: bool = False, count: bool = False) -> DataFrame:
-    """Links (a, b) within groups, all of them or enough to connect the same: rows of ``groups`` are doc_id, class, members, group, part_a, part_b, part.
+    """Links (a, b) within groups, all of them or enough to connect the same: rows of ``groups`` are doc_id, digest, class, members, group, part_a, part_b, part.
 
-    The texts come by doc_id; a text of another class under the same id is left out.
+    The text of a class comes by the id and digest of one row that has it.
     With ``count``, links that connect the same, and rows of a class alone (b is
     null) with n, the documents in other classes that it links with there.
     """
@@ -436,9 +438,10 @@ def search(docs: DataFrame, groups: DataFrame, every: bool = False, count: bool
         rows = [(names[a], names[b], 0) for a, b in pairs] + [(names[k], None, int(total[k])) for k in np.flatnonzero(total)]
         return pd.DataFrame(rows, columns=["a", "b", "n"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), text.alias("text"), text_digest(text).alias("_digest"))
     return (
-        groups.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")))
+        groups.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
         .select("group", "part_a", "part_b", "part", "class", "members", "text")
         .groupBy("group", "part_a", "part_b").applyInPandas(run, "a binary, b binary" + ", n bigint" * count)
     )
@@ -476,7 +479,8 @@ def join(
         .select("class", "group", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
     )
     owned = members(made)
-    holder = owned.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members"))
+    holder = owned.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "digest")).alias("held"), F.count(F.lit(1)).alias("members"))
+    holder = holder.select("class", "held.*", "members")
     return owned, stored(search(docs, dealt.join(holder, "class"), every, count), "pairs")
 
 
@@ -519,6 +523,28 @@ def _named(owned: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the least doc_id, all columns kept; empty ones stay."""
-    kept = label(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each component, all columns kept; rows without words stay, each for itself.
+
+    The row of the least doc_id stays, one without an id only where none has
+    one; of rows with that id the one with the least digest of its text, and of
+    rows with equal id and text any one.
+    """
+    owned, links = join(docs, every=False)
+    alike = owned.where("n_shingles > 0").groupBy("class", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    labelled = alike.join(components(links).toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("f"))
+    empty = owned.where("n_shingles = 0").select("doc_id", "digest", F.lit(False)).distinct()
+    kept = first.select("f.doc_id", "f.digest", F.col("f.n") > 1).unionAll(empty).toDF("_kept", "_kept_digest", "_repeated")
+    kept = stored(kept, "kept")
+
+    def held(by: DataFrame) -> DataFrame:
+        same = docs["doc_id"].cast("bigint").eqNullSafe(by["_kept"]) & (text_digest(docs["text"].cast("string")) == by["_kept_digest"])
+        return docs.join(by, same, "left_semi")
+
+    out, repeated = held(kept.where("not _repeated")), kept.where("_repeated")
+    if not repeated.isEmpty():
+        again = held(repeated)
+        row = F.struct(*[again[c] for c in again.columns])
+        one = again.groupBy(again["doc_id"].cast("bigint"), text_digest(again["text"].cast("string"))).agg(F.first(row).alias("_row"))
+        out = out.unionAll(one.select("_row.*"))
+    return out

@@ -141,11 +141,41 @@ def test_jaccard_components_equal_all_pairs(spark, documents, rows, nothing):
     assert jaccard.label(nothing).count() == 0
 
 
+def check_one_of_each(kept, rows):
+    """Of (doc_id, text) rows: one per component of texts, under its least id; rows without words all stay."""
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    texts = sorted({t for _, t in rows if spaced(t)})
+    component = dict(zip(texts, (c for _, _, c in sorted(plain_components([(k, t, None, None) for k, t in enumerate(texts)]))), strict=True))
+    least = defaultdict(list)
+    for i, t in rows:
+        if spaced(t):
+            least[component[t]].append((i is None, i or 0))
+    worded = [(component[t], (i is None, i or 0)) for i, t in kept if spaced(t)]
+    assert sorted(worded) == sorted((c, min(ids)) for c, ids in least.items())
+    assert all(row in rows for row in kept)
+    assert sorted((r for r in kept if not spaced(r[1])), key=repr) == sorted((r for r in rows if not spaced(r[1])), key=repr)
+
+
 def test_jaccard_keeps_one_document_of_each_component(documents, rows):
     kept = jaccard.keep_first(documents)
     assert kept.columns == documents.columns
-    want = sorted({repr(i) for i, _, c in plain_components(rows) if i == c})
-    assert sorted({repr(r.doc_id) for r in kept.select("doc_id").collect()}) == want
+    check_one_of_each(kept, [r[:2] for r in rows])
+
+
+def test_one_row_stays_whatever_ids_are_repeated_or_missing(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    near, other = long.replace("w59", "end"), " ".join(f"v{k}" for k in range(30))
+    rows = [
+        (1, long), (1, long), (1, long), (3, near), (3, other), (None, long), (None, other), (None, "lone words here"), (None, "lone words here"),
+        (4, "x y z"), (4, "a b c"), (4, "a b c"), (5, ""), (5, ""), (None, None), (None, None), (6, other),
+    ]
+    docs = spark.createDataFrame([(*r, k, "a", True) for k, r in enumerate(rows)], "doc_id long, text string, _kept int, _row string, _repeated boolean").repartition(3)
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns
+    check_one_of_each(kept, rows)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
+        [(1, long), (3, other), (0, "lone words here"), (4, "x y z"), (4, "a b c"), (5, ""), (5, ""), (0, ""), (0, "")]
+    )
 
 
 def test_prefix_tree_finds_what_all_pairs_connect():
@@ -535,9 +565,18 @@ def test_decontamination_equals_a_plain_search(spark, documents, rows, nothing):
     assert got(decontam.mark(documents, bench)) == want
     assert decontam.mark(nothing, bench).count() == 0
     assert not any(r.contaminated for r in decontam.mark(documents, bench.limit(0)).collect())
-    bad = {r[0] for r in want if r[5]}
+    bad = {r[0] for r in plain_hits([*enumerate(r[1] for r in rows)], [i for i in items if i[0] is not None]) if r[5]}
     kept = decontam.clean(documents, bench)
-    assert kept.columns == documents.columns and sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(r[0]) for r in rows if r[0] not in bad)
+    assert kept.columns == documents.columns
+    assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == sorted(repr(r[:2]) for k, r in enumerate(rows) if k not in bad)
+
+
+def test_only_contaminated_rows_go_whatever_their_ids(spark):
+    rows = [(None, "one two three four"), (None, "clean"), (None, "also clean"), (5, "one two three four"), (5, "clean too"), (5, "clean too"), (6, None), (None, None), (7, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, digest int").repartition(3)
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.digest for r in kept.collect()) == [1, 2, 4, 5, 6, 7, 8]
 
 
 def test_index_in_many_blocks_and_benchmark_in_many_groups(spark, documents, rows):
