@@ -449,3 +449,36 @@ ORACLES |= {
         smiles_all AS (SELECT {KEY}, coalesce(n, 0) AS n FROM (SELECT DISTINCT {KEY} FROM kept) LEFT JOIN smile_sizes USING (capture_utc, expiry, root))""",
         f"SELECT {text('capture_utc', 'capture')}, count(*) AS n_smiles, count(*) FILTER (n >= 8) AS n_trustworthy, count(*) FILTER (n < 8) AS n_excluded, coalesce(string_agg(CASE WHEN n < 8 THEN 'only ' || n || ' usable quotes, need 8' END, '; ' ORDER BY n), '') AS reasons FROM smiles_all GROUP BY capture_utc"),
 }
+
+
+# --- what results say about themselves ---------------------------------------------
+
+_DOUBTFUL = dense().replace(f"{tape.B}::DOUBLE AS b", f"{tape.B}::DOUBLE*(CASE week WHEN 4 THEN 2.0 WHEN 5 THEN 31.0 ELSE 1.0 END)::DOUBLE AS b").replace(
+    f"{tape.SIGMA}::DOUBLE AS sigma", f"(CASE WHEN week = 4 THEN 0.004 ELSE {tape.SIGMA} END)::DOUBLE AS sigma"
+)
+_VALUE = "(w1*c + w3*c3 - c2)"
+ORACLES |= {
+    "violation_details": q(f"""{curve('kept')},
+        told AS (SELECT *, 'vertical' AS kind, printf('%.1f/%.1f', strike, k2) AS strikes, printf('call price rises with strike: dC/dK = %+.6f > 0', sl) AS detail FROM sloped WHERE k2 IS NOT NULL AND sl > 1e-9
+          UNION ALL SELECT *, 'vertical', printf('%.1f/%.1f', strike, k2), printf('call spread cheaper than its worst case: dC/dK = %.6f < -D = %.6f', sl, -discount) FROM sloped WHERE k2 IS NOT NULL AND sl < -discount-1e-9
+          UNION ALL SELECT *, 'butterfly', printf('%.1f/%.1f/%.1f', strike, k2, k3), printf('butterfly value %.6e on mids, %.6e at the quoted bid-ask -- negative density between %.0f and %.0f', {_VALUE}, w1*ca + w3*ca3 - cb2, strike, k3)
+          FROM sloped WHERE k3 IS NOT NULL AND {_VALUE} < -1e-9)""",
+        f"SELECT {SMILE}, kind, strikes, detail FROM told"),
+    "moment_differences": q(f"""{nodes(4001)},
+        vv AS (SELECT *, sqrt(greatest({svi('k')}, 1e-14)) AS v, CASE WHEN k >= 0 THEN 1.0 ELSE -1.0 END AS side FROM weighted),
+        o AS (SELECT *, sw/(strike*strike)*side*(forward*{cdf('side*(-k/v + v/2)')} - strike*{cdf('side*(-k/v - v/2)')}) AS o FROM vv),
+        sums AS (SELECT {KEY}, -sum(o) AS l1, sum(2*(1-k)*o) AS l2, sum((6*k-3*k*k)*o) AS l3, sum((12*k*k-4*k*k*k)*o) AS l4 FROM o GROUP BY ALL),
+        s AS (SELECT *, {_moment_shape('l')} FROM sums),
+        dens AS (SELECT *, {pdf('k')} AS p FROM weighted),
+        means AS (SELECT {KEY}, any_value(forward) AS forward, {_REL_SUMS} FROM dens GROUP BY ALL),
+        r AS (SELECT *, {_moment_shape('r')} FROM means),
+        both_routes AS (SELECT r.capture_utc, r.expiry, r.root, forward*(1+r1) AS m1, forward AS m2, forward*forward*r.var AS v1, s.var AS v2, r.skew AS s1, s.skew AS s2, r.kurt AS k1, s.kurt AS k2 FROM r JOIN s USING ({KEY}))""",
+        f"SELECT {SMILE}, " + ", ".join(rnd(f"({x}1 - {x}2)/greatest(abs({x}1), abs({x}2))", 5, n) for x, n in (("m", "mean"), ("v", "variance"), ("s", "skewness"), ("k", "kurtosis"))) + " FROM both_routes"),
+    "verdict_failures": q(f"""{_DOUBTFUL},
+        shown AS (SELECT {KEY}, any_value(week) AS week, sum(sw*p) AS mass, min(p) AS low, max(p) AS top, abs(sum(sw*p*strike)/any_value(forward) - 1) AS off FROM dens GROUP BY ALL)""",
+        f"""SELECT {SMILE}, CASE WHEN week = 1 THEN 'left out' END AS excluded, CASE WHEN week = 1 THEN '' ELSE concat_ws('; ',
+          CASE WHEN week = 2 THEN 'fit rmse 0.0123 vol pts' END, CASE WHEN week = 3 THEN 'durrleman -2.50e-01' END,
+          CASE WHEN abs(mass - 1) > 1e-4 THEN printf('mass %.6f', mass) END,
+          CASE WHEN low/top < -1e-5 THEN printf('negative density %.2e (%.1e of peak)', low, low/top) END,
+          CASE WHEN off > 1e-4 THEN printf('E[S]/F - 1 = %.2e', off) END) END AS failures FROM shown"""),
+}

@@ -589,4 +589,40 @@ def estimate_counts(spark, sf):
     return per.select(when_text(), *[count(c, c) for c in ("n_smiles", "n_trustworthy", "n_excluded")], "reasons")
 
 
+@query
+def violation_details(spark, sf):
+    """What every price breach of the curated chains says about itself."""
+    found = arb.price_violations(arb.call_curve(curate.build(tape.quotes(spark, sf)).quotes))
+    strikes = F.concat_ws("/", F.transform("strikes", lambda k: F.format_string("%.1f", k)))
+    return found.select(*smile_key(), "kind", strikes.alias("strikes"), "detail")
+
+
+@query
+def moment_differences(spark, sf):
+    """Price-space moments against the spanning route, field by field."""
+    gaps = moments.relative_to(moments.moments(tape.smiles(spark, sf), KEY), KEY, "px", "bkm")
+    return gaps.select(*smile_key(), *[rnd(f, 5) for f in ("mean", "variance", "skewness", "kurtosis")])
+
+
+def _doubtful(spark, sf) -> DataFrame:
+    """Fits with one fault each by week: badly fitting, dipping on paper, dented, with wings that hold too much, and left out."""
+    week = F.col("week")
+    fits = tape.smiles(spark, sf).withColumns(
+        {
+            "rmse_vol": F.when(week == 2, 0.0123).otherwise(0.001), "min_durrleman": F.when(week == 3, -0.25).otherwise(0.1),
+            "b": F.col("b") * F.when(week == 4, 2.0).when(week == 5, 31.0).otherwise(1.0),
+            "sigma": F.when(week == 4, 0.004).otherwise(F.col("sigma")), "excluded": F.when(week == 1, "left out"),
+        }
+    )
+    return fits.withColumns({c: F.when(week != 1, F.col(c)) for c in ("a", "b", "rho", "m", "sigma")}).drop("week")
+
+
+@query
+def verdict_failures(spark, sf):
+    """Checks that doubtful fits do not pass, with their numbers; the agreement of the two moment routes is in other queries."""
+    judged = estimate.judge(_doubtful(spark, sf))
+    shown = F.filter(F.split("failures", "; "), lambda f: ~f.startswith("BL/BKM"))
+    return judged.select(*smile_key(), "excluded", F.array_join(shown, "; ").alias("failures"))
+
+
 from . import layer  # noqa: E402, F401 (registers the queries over files and streams)
