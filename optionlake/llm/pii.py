@@ -39,6 +39,8 @@ SCRIPTS = {
     "greek": (r"\p{IsGreek}", "βγδλμνρτ", "αειο", {"m": "ς", "f": "α"}),
 }
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+#: Draws before giving up; with half of a format's surrogates taken, each leaves half of the clashes.
+ROUNDS = 40
 
 
 def kind_of(surface: Column) -> Column:
@@ -87,7 +89,8 @@ def _draw(kind: Column, form: Column, key: str, attempt: Column) -> Column:
 
     def name(script: str, gender: str) -> Column:
         _, consonants, vowels, last = SCRIPTS[script]
-        word = lambda w, k: F.initcap(F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(2))), lambda i: (
+        # A name drawn again and again grows by two letters every second time, so that a free one is found however many there are.
+        word = lambda w, k: F.initcap(F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(2)) + 2 * F.floor(attempt / 2).cast("int")), lambda i: (
             F.when(i % 2 == 1, pick(consonants, i + k)).otherwise(pick(vowels, i + k)))), ""), F.lit(last[gender]) if k < 40 else pick(vowels, F.lit(k))))
         words = F.split(form, " ")
         return F.concat_ws(" ", F.get(words, F.lit(0)), word(F.get(words, F.lit(1)), 0), F.when(F.size(words) > 2, word(F.get(words, F.lit(2)), 40)))
@@ -127,12 +130,14 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, form, surrogate) of distinct entities, each surrogate unlike any other and unlike any entity.
 
     Of entities that drew the same, the least form keeps it and the others draw
-    again; the rounds end when none clashes, after one for all but a few.
+    again; the rounds end when none clashes, after one for all but a few. Names
+    grow meanwhile; where a kind of fixed format has more entities than it has
+    surrogates, ROUNDS end in an error instead.
     """
     bare = lambda c: _bare(F.col("kind"), F.col(c))
     real = stored(entities.select("kind", "form").distinct(), "entities")
     drawn = stored(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", _draw(F.col("kind"), F.col("form"), key, F.col("attempt"))), "surrogates")
-    while True:
+    for _ in range(ROUNDS):
         keyed = drawn.withColumn("bare", bare("surrogate"))
         first = keyed.groupBy("kind", "bare").agg(F.min("form").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         twice = keyed.join(first, ["kind", "bare"]).where("form <> first").select("kind", "form")
@@ -143,6 +148,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         again = drawn.join(clash, ["kind", "form"]).withColumn("attempt", F.col("attempt") + 1)
         again = again.withColumn("surrogate", _draw(F.col("kind"), F.col("form"), key, F.col("attempt")))
         drawn = stored(drawn.join(clash, ["kind", "form"], "left_anti").unionByName(again.select(drawn.columns)), "surrogates")
+    left = clash.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per kind
+    raise ValueError("no distinct surrogates left for " + ", ".join(f"{r.n} of kind {r.kind}" for r in left))
 
 
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:

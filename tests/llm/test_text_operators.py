@@ -289,6 +289,18 @@ def test_numbers_with_a_country_code_are_distinct_as_written(spark, monkeypatch)
     assert all(a.startswith("+1") == b.startswith("+1") for a, b in zip(out, numbers, strict=True)) and re.match(r"\+1[01]{3} [01]{3} [01]{4}$", out[-1])
 
 
+def test_draws_end_however_few_surrogates_there_are(spark, monkeypatch):
+    short = [f"Mr {a}{b}{c}" for a in "BDFGL" for b in "aeio" for c in "nrt"]  # 60 names, 12 x 4 surrogates of their length
+    names = spark.createDataFrame([("name", n) for n in short], "kind string, form string")
+    out = [r.surrogate for r in pii.surrogates(names, "key").collect()]
+    assert len({*out}) == 60 and not {*out} & {*short} and all(re.fullmatch(r"Mr [A-Z][a-z]+o", s) for s in out)
+    monkeypatch.setattr(pii, "DIGITS", "0")
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    numbers = spark.createDataFrame([("ssn", "123456789"), ("ssn", "123456780")], "kind string, form string")
+    with pytest.raises(ValueError, match="no distinct surrogates left for 1 of kind ssn"):
+        pii.surrogates(numbers, "key")
+
+
 def test_the_key_decides(spark):
     df = spark.createDataFrame([("ip", "1.2.3.4")], "kind string, form string")
     a, b, c = (pii.surrogates(df, k).first().surrogate for k in ("one", "one", "two"))
