@@ -6,10 +6,12 @@ Input everywhere: one row per smile with ``a, b, rho, m, sigma``, ``forward``,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import black76
+from ..functions import black76, grid
 from ..functions.quadrature import log_step, simpson_weight
 from ..functions.svi import PDF_FLOOR, Smile
 from ..session import spread
@@ -29,33 +31,43 @@ IS_PROPER_MASS = 1e-3
 _TRIES = 9
 
 
-def half_width(smile: Smile, forward: Column, k_required: Column, tail: float = TAIL) -> Column:
-    """Log half-width where the density has died out against its own peak."""
-    step = 2.0 * PEAK_REACH / (PEAK_POINTS - 1)
-    peak = F.array_max(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(PEAK_POINTS - 1)),
-            lambda i: smile.pdf(i * step - PEAK_REACH, forward),
-        )
-    )
-    atm = F.sqrt(F.greatest(smile.total_variance(F.lit(0.0)), F.lit(0.0)))
-    start = F.greatest(k_required, atm * 4.0, F.lit(START))
-    fades = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(_TRIES)), lambda j: start * F.pow(F.lit(WIDEN), j)),
-        lambda h: (h >= MAX_HALF_WIDTH)
-        | (F.greatest(F.abs(smile.pdf(h, forward)), F.abs(smile.pdf(-h, forward))) < peak * tail),
-    )
-    return F.when(
-        F.coalesce((peak > 0) & ~F.isnan(peak) & (peak < float("inf")), F.lit(False)),
-        F.least(F.get(fades, F.lit(0)), F.lit(MAX_HALF_WIDTH)),
-    ).otherwise(F.greatest(k_required, F.lit(1.0)))
+def half_widths(p: dict[str, np.ndarray], tail: float = TAIL) -> np.ndarray:
+    """Log half-width of every smile where its density has died out against its own peak; parameters are columns of numbers."""
+
+    def density(k):
+        w, slope, bend = grid.variance(p, k)
+        undefined = (k == p["m"]) & (p["sigma"] == 0)  # the point of a smile without width
+        return np.where(undefined, -np.inf, grid.pdf(k, w, slope, bend, p["forward"]))
+
+    required = p["k_required"]
+    peak = density(2.0 * PEAK_REACH / (PEAK_POINTS - 1) * np.arange(PEAK_POINTS) - PEAK_REACH).max(1, keepdims=True)
+    atm = np.sqrt(np.maximum(grid.variance(p, np.zeros((1, 1)))[0], 0.0))
+    tried = np.maximum(np.maximum(required, atm * 4.0), START) * WIDEN ** np.arange(_TRIES + 1.0)
+    ends = np.maximum(*(np.where(np.isneginf(d), d, np.abs(d)) for d in (density(tried), density(-tried))))
+    fades = (tried >= MAX_HALF_WIDTH) | (ends < peak * tail)
+    first = np.take_along_axis(tried, fades.argmax(1)[:, None], 1)
+    found = np.where(fades.any(1, keepdims=True), np.minimum(first, MAX_HALF_WIDTH), MAX_HALF_WIDTH)
+    return np.where((peak > 0) & (peak < np.inf), found, np.maximum(required, 1.0))[:, 0]
+
+
+def _half_width():
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, rho: pd.Series, m: pd.Series, sigma: pd.Series, forward: pd.Series, k_required: pd.Series) -> pd.Series:
+        given = {"a": a, "b": b, "rho": rho, "m": m, "sigma": sigma, "forward": forward, "k_required": k_required}
+        with np.errstate(all="ignore"):
+            return pd.Series(half_widths({n: c.to_numpy("float64")[:, None] for n, c in given.items()}))
+
+    return run
 
 
 def with_half_width(smiles: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Add ``half_width``, with the smiles spread over tasks for the grids to come."""
-    return spread(smiles, *keys).withColumn(
-        "half_width", half_width(Smile.of(), F.col("forward"), F.coalesce("k_required", F.lit(0.0)))
-    )
+    """Add ``half_width``, with the smiles spread over tasks for the grids to come.
+
+    It takes 121 densities a smile; lambdas over arrays are interpreted, and
+    repeat the peak wherever it is named, so this is one Arrow function.
+    """
+    given = [F.col(c).cast("double") for c in ("a", "b", "rho", "m", "sigma", "forward")]
+    return spread(smiles, *keys).withColumn("half_width", _half_width()(*given, F.coalesce("k_required", F.lit(0.0))))
 
 
 def on_grid(smiles: DataFrame, nodes: int = NODES) -> DataFrame:
@@ -82,10 +94,10 @@ def from_finite_differences(smiles: DataFrame, keys: list[str], nodes: int = NOD
     A window holds one grid (``nodes`` rows), never more. The second difference
     is the one for uneven spacing; end nodes take their neighbour's value.
     """
-    grid = on_grid(with_half_width(smiles, keys), nodes)
+    spaced = on_grid(with_half_width(smiles, keys), nodes)
     vol = F.sqrt(F.greatest(Smile.of().total_variance(F.col("k")), F.lit(PDF_FLOOR)))
     priced = black76.with_price(
-        grid, "_call", F.col("forward"), F.col("strike"), vol, F.col("discount"), "call"
+        spaced, "_call", F.col("forward"), F.col("strike"), vol, F.col("discount"), "call"
     )
     order = Window.partitionBy(*keys).orderBy("i")
     back = F.col("strike") - F.lag("strike").over(order)

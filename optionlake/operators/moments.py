@@ -4,19 +4,21 @@
 *Spanning*: integrate out-of-the-money option prices (Carr-Madan weights, the
 Bakshi-Kapadia-Madan contracts), touching neither the density nor its formula.
 
-Both run over one exploded grid: the 2,001 density nodes are every second node
+Both run over one grid, in numpy inside the tasks: the 2,001 density nodes are every second node
 of the 4,001 spanning nodes, since both use the same half-width.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import black76
-from ..functions.quadrature import log_step, simpson_weight
-from ..functions.svi import PDF_FLOOR, Smile
-from . import density as dens
+from ..functions import grid
+from ..functions.svi import PDF_FLOOR
+from .density import NODES, SPAN_NODES, with_half_width
 
 # Fixed value: scale floor of a relative comparison.
 RELATIVE_FLOOR = 1e-6
@@ -32,43 +34,63 @@ def _shape(mean: Column, m2: Column, m3: Column, m4: Column) -> tuple[Column, Co
     return var, F.try_divide(third, sd * sd * sd), F.try_divide(fourth, sd * sd * sd * sd)
 
 
+#: Smiles whose grids are in memory at once.
+CHUNK = 16
+SUMS = (
+    "mass", "min_pdf", "max_pdf", "implied_forward", *(f"log_{p}" for p in range(1, 5)), *(f"rel_{p}" for p in range(1, 5)),
+    *(f"span_{p}" for p in range(1, 5)),
+)
+
+
+def _sums(p: dict[str, np.ndarray]) -> np.ndarray:
+    """``SUMS`` of a few smiles whose parameters are given as columns of numbers."""
+    n, forward, discount, half = SPAN_NODES, p["forward"], p["discount"], p["half_width"]
+    step = half * 2.0 / (n - 1)
+    k = step * np.arange(n) - half
+    strike = forward * np.exp(k)
+    w, slope, bend = grid.variance(p, k)
+    vol = np.sqrt(np.maximum(w, PDF_FLOOR))
+    side = np.where(k >= 0, 1.0, -1.0)
+    d1 = (np.log(forward / strike) + vol * vol * 0.5) / vol
+    price = discount * side * (forward * grid.norm_cdf(side * d1) - strike * grid.norm_cdf(side * (d1 - vol)))
+    o = price * grid.simpson(n, strike, step) / (strike * strike * discount)
+    span = (-o, o * (1.0 - k) * 2.0, o * (k * 6.0 - k * k * 3.0), o * (k * k * 12.0 - k * k * k * 4.0))
+    k, strike = k[:, ::2], strike[:, ::2]
+    pdf = grid.pdf(k, w[:, ::2], slope[:, ::2], bend[:, ::2], forward)
+    q = pdf * grid.simpson(NODES, strike, half * 2.0 / (NODES - 1))
+    u, none = strike / forward - 1.0, np.isnan(pdf)
+    low = np.where(none.all(1), np.nan, np.min(np.where(none, np.inf, pdf), 1))
+    return np.stack(
+        [q.sum(1), low, pdf.max(1), (q * strike).sum(1), *((q * x**e).sum(1) for x in (k, u) for e in range(1, 5)), *(x.sum(1) for x in span)], 1
+    )
+
+
+def _integrated():
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in SUMS]))
+    def run(a: pd.Series, b: pd.Series, rho: pd.Series, m: pd.Series, sigma: pd.Series, forward: pd.Series, discount: pd.Series, half_width: pd.Series) -> pd.DataFrame:
+        given = {"a": a, "b": b, "rho": rho, "m": m, "sigma": sigma, "forward": forward, "discount": discount, "half_width": half_width}
+        columns = {n: c.to_numpy("float64")[:, None] for n, c in given.items()}
+        with np.errstate(all="ignore"):
+            parts = [_sums({n: c[at : at + CHUNK] for n, c in columns.items()}) for at in range(0, len(a), CHUNK)]
+        return pd.DataFrame(np.concatenate(parts) if parts else np.empty((0, len(SUMS))), columns=list(SUMS))
+
+    return run
+
+
 def integrals(smiles: DataFrame, keys: list[str], carry: list[str] = ()) -> DataFrame:
-    """Every integral of both routes in one aggregation per smile.
+    """Every integral of both routes, one row per smile.
 
-    ``carry`` columns ride along, so nothing has to be joined back. A smile
-    without parameters gets one empty node and NULL integrals.
+    Smiles are spread over the tasks and a task works through a few grids at a
+    time, so no node ever is a row. ``carry`` columns ride along. A smile
+    without parameters has NULL integrals.
     """
-    n = dens.SPAN_NODES
-    smile = Smile.of()
-    nodes = dens.on_grid(dens.with_half_width(smiles, keys), n)
-    k, strike, forward = F.col("k"), F.col("strike"), F.col("forward")
-    dense = F.col("i") % 2 == 0
-    total_vol = F.sqrt(F.greatest(smile.total_variance(k), F.lit(PDF_FLOOR)))
-    side = F.when(k >= 0, "call").otherwise("put")
-    span_weight = simpson_weight(F.col("i"), n, strike, log_step(F.col("half_width"), n))
-    pdf_weight = simpson_weight(
-        F.shiftright("i", 1), dens.NODES, strike, log_step(F.col("half_width"), dens.NODES)
-    )
-    priced = black76.with_price(nodes, "_price", forward, strike, total_vol, F.col("discount"), side)
-    valued = priced.withColumns(
-        {
-            "_pdf": F.when(dense, smile.pdf(k, forward)),
-            "_o": F.col("_price") * span_weight / (strike * strike * F.col("discount")),
-        }
-    ).withColumn("_q", F.col("_pdf") * pdf_weight)
-    q, o, u = F.col("_q"), F.col("_o"), F.col("strike") / F.col("forward") - 1.0
-    return valued.groupBy(*keys).agg(
-        F.sum(q).alias("mass"),
-        F.min("_pdf").alias("min_pdf"),
-        F.max("_pdf").alias("max_pdf"),
-        F.sum(q * strike).alias("implied_forward"),
-        *[F.first(c).alias(c) for c in dict.fromkeys(["forward", *carry])],
-        *[F.sum(q * F.pow(k, F.lit(p))).alias(f"log_{p}") for p in range(1, 5)],
-        *[F.sum(q * F.pow(u, F.lit(p))).alias(f"rel_{p}") for p in range(1, 5)],
-        F.sum(-o).alias("span_1"),
-        F.sum(o * (F.lit(1.0) - k) * 2.0).alias("span_2"),
-        F.sum(o * (k * 6.0 - k * k * 3.0)).alias("span_3"),
-        F.sum(o * (k * k * 12.0 - k * k * k * 4.0)).alias("span_4"),
+    ready = with_half_width(smiles, keys)
+    given = [F.col(c).cast("double") for c in ("a", "b", "rho", "m", "sigma", "forward", "discount", "half_width")]
+    summed = ready.withColumn("_sums", _integrated()(*given))
+    known = F.col("a").isNotNull()
+    return summed.select(
+        *keys, *[c for c in dict.fromkeys(["forward", *carry]) if c not in keys],
+        *[F.when(known, F.col("_sums")[n]).alias(n) for n in SUMS],
     )
 
 

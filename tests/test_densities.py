@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from optionlake.functions import black76
+from optionlake.functions import black76, grid
 from optionlake.functions.svi import Smile
 from optionlake.operators import density, inversion, moments, smile
 from optionlake.plans import estimate
@@ -220,3 +220,16 @@ def test_a_step_looks_only_at_curves_with_negative_density(monkeypatch):
     ones = [np.ones_like(k) for k in ks]
     alone = np.concatenate([smile.solve([k], [w], [o]) for k, w, o in zip(ks, ws, ones)])
     assert smile.solve(ks, ws, ones)[:, :5] == pytest.approx(alone[:, :5], rel=1e-5)
+
+
+def test_grids_are_numbers_in_a_task_and_equal_the_expressions(smiles):
+    """The half-width is no interpreted lambda, the integrals make no row of a node, and both forms of the density agree."""
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (density.with_half_width(smiles), moments.integrals(smiles, ["root"]))]
+    assert not any("lambda" in p or "Generate" in p for p in plans) and all("ArrowEvalPython" in p for p in plans)
+    nodes = density.from_smile(smiles.where("root = 'EQUITY'"), ["root"]).select("k", "pdf").collect()
+    k = np.array([[r.k for r in nodes]])
+    p = {n: np.array([[v]]) for n, v in zip(("a", "b", "rho", "m", "sigma"), EQUITY)}
+    assert grid.pdf(k, *grid.variance(p, k), FWD)[0] == pytest.approx([r.pdf for r in nodes], rel=1e-9, abs=1e-300)
+    x = np.linspace(-12, 12, 4001)
+    assert grid.norm_cdf(x) == pytest.approx([math.erfc(-v / math.sqrt(2)) / 2 for v in x], rel=1e-13)
+    assert grid.norm_cdf(np.array([-np.inf, np.inf])).tolist() == [0.0, 1.0]
