@@ -21,6 +21,9 @@ RUNTIME = {
     # Spark use its split-up form for the long pricing expressions instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Rows sent to Python are batched by size too: 10,000 bodies in one batch
+    # would be gigabytes a task.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 

@@ -277,3 +277,15 @@ def test_last_before_carries_over_tasks_and_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert ordered.last_before(frame.limit(0), ["k"], ["at"], F.col("v"), "before").count() == 0
+
+
+def test_bodies_reach_python_in_batches_of_bounded_size(spark):
+    """Rows of 20 KB: a batch holds some 16 MB of them, not the 10,000 rows that small ones would be."""
+    bodies = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 20000) AS body")
+
+    def measured(frames):
+        for frame in frames:
+            yield frame.assign(size=frame["body"].str.len().sum(), n=len(frame))[["size", "n"]].head(1)
+
+    got = bodies.mapInPandas(measured, "size long, n long").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.size for r in got) < 20 << 20
