@@ -9,7 +9,7 @@ whatever density, and carries one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,13 +146,17 @@ def _filled(columns: list[str], types: list[pa.DataType], value_type: pa.DataTyp
     return run
 
 
-def last_before(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, tasks: int | None = None) -> DataFrame:
+def last_before(
+    df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, tasks: int | None = None,
+    keep: Callable[[DataFrame], DataFrame] = settle,
+) -> DataFrame:
     """Add ``name``: the last non-null ``value`` strictly before each row of its group.
 
     One exchange by ranges of (keys, order), so a dense group is spread over as
     many tasks as its rows fill. Each task carries values forward and adds one
     row that says which groups it began and ended with and what it held at the
     end; those rows, one per task, tell a task what its first group had before.
+    ``keep`` stores the rows, which are read twice.
     """
     keyed = df.withColumns({"_key": F.to_json(F.struct(*keys)), "_value": value})
     fields = [f for f in keyed.schema.fields if f.name not in ("_key", "_value")]
@@ -162,7 +166,7 @@ def last_before(df: DataFrame, keys: list[str], order: list[str], value: Column,
         + [T.StructField("_seen", value_type), T.StructField("_open", T.BooleanType()), T.StructField("_part", T.IntegerType()), T.StructField("_edge", T.BooleanType()), T.StructField("_first", T.StringType()), T.StructField("_last", T.StringType())]
     )
     arrow = [to_arrow_type(f.dataType) for f in fields]
-    swept = settle(ranged(keyed, keys, order, tasks).mapInArrow(_filled([f.name for f in fields], arrow, to_arrow_type(value_type)), schema))
+    swept = keep(ranged(keyed, keys, order, tasks).mapInArrow(_filled([f.name for f in fields], arrow, to_arrow_type(value_type)), schema))
 
     along, group = Window.orderBy("_part"), Window.partitionBy("_last").orderBy("_part")  # a row per task
     edges = swept.where("_edge").select("_part", "_first", "_last", "_seen")

@@ -115,12 +115,12 @@ def curated_divergence(spark, sf):
 
 @query
 def stream_verdicts(spark, sf):
-    """The gate over the event log as a stream, its state kept by ticker between micro-batches."""
+    """The gate over the event log as a stream; what was last accepted of a ticker is kept between micro-batches."""
     attempts = tape.attempts(spark, sf)
     attempts.write.parquet(landing := fresh_folder(spark, "landing"))
     stream = spark.readStream.schema(attempts.schema).option("maxFilesPerTrigger", 1 << 20).parquet(landing)
     out = fresh_folder(spark, "verdicts")
-    gate_stream.to_table(gate_stream.verdicts(stream, order=["capture_utc", "event_id"]), out, fresh_folder(spark, "state")).awaitTermination()
+    gate_stream.verdicts(stream, out, fresh_folder(spark, "state"), order=["capture_utc", "event_id"]).awaitTermination()
     return spark.read.parquet(out).select("event_id", "ticker", "print", "last_print", rnd("age_minutes", 4), "verdict")
 
 
