@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,21 +18,29 @@ def clean_symbol(symbol: Column) -> Column:
     return F.translate(symbol, " ", "")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value worked out once: inside a lambda Spark works out every mention of an expression again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def contract(symbol: Column) -> Column:
     """``struct(option_symbol, root, option_right, expiry, strike)``, or NULL.
 
     NULL covers both a symbol off the layout and a date that does not exist.
     """
-    text = clean_symbol(symbol)
-    expiry = F.try_to_date(F.concat(F.lit("20"), F.regexp_extract(text, CONTRACT, 2)), "yyyyMMdd")
-    parsed = F.struct(
-        text.alias("option_symbol"),
-        F.regexp_extract(text, CONTRACT, 1).alias("root"),
-        F.when(F.regexp_extract(text, CONTRACT, 3) == "C", "call").otherwise("put").alias("option_right"),
-        expiry.alias("expiry"),
-        (F.regexp_extract(text, CONTRACT, 4).try_cast("int") / 1000.0).alias("strike"),
-    )
-    return F.when(text.rlike(CONTRACT) & expiry.isNotNull(), parsed)
+
+    def placed(text: Column, root: Column) -> Column:
+        after = F.length(root)
+        expiry = F.try_to_date(F.concat(F.lit("20"), text.substr(after + 1, F.lit(6))), "yyyyMMdd")
+        return F.when(root != "", _once(expiry, lambda day: F.when(day.isNotNull(), F.struct(  # "" where the layout is another
+            text.alias("option_symbol"),
+            root.alias("root"),
+            F.when(text.substr(after + 7, F.lit(1)) == "C", "call").otherwise("put").alias("option_right"),
+            day.alias("expiry"),
+            (text.substr(after + 8, F.lit(8)).try_cast("int") / 1000.0).alias("strike"),
+        ))))
+
+    return _once(clean_symbol(symbol), lambda text: _once(F.regexp_extract(text, CONTRACT, 1), lambda root: placed(text, root)))
 
 
 def capture_file(name: Column) -> Column:

@@ -78,3 +78,14 @@ def test_prices_reach_their_limits(spark):
         black76.with_price(df, "p", 7800.0, F.col("k"), F.col("v"), 0.99, "straddle")
     far = df.limit(1).select(black76.vega(7752.07, 100000.0, 0.03, 0.99).alias("v")).first().v
     assert 0 <= far < 1e-100
+
+
+def test_a_contract_reads_its_symbol_once(spark):
+    """Inside a lambda nothing is shared, so a symbol mentioned nine times was unpacked and matched as often."""
+    shown = str(symbols.contract(F.col("a_symbol")))
+    assert shown.count("a_symbol") == 1 and shown.count("regexp") + shown.count("RLIKE") == 1
+    rows = spark.createDataFrame([("SPXW260908C07825000",), ("SPX 260230P00000500",), ("SPX260229P00000500",), ("SPX260228P00000500\n",), ("?X260228P00000500",), ("",), (None,)], "s string")
+    got = [r.c for r in rows.select(F.transform(F.array("s"), symbols.contract)[0].alias("c")).collect()]
+    assert [g and (g.root, g.option_right, str(g.expiry), g.strike) for g in got] == [
+        ("SPXW", "call", "2026-09-08", 7825.0), None, None, ("SPX", "put", "2026-02-28", 0.5), None, None, None
+    ]
