@@ -563,10 +563,15 @@ def estimate_summary(spark, sf):
     return estimate.summary(e).withColumn("capture_utc", when_text())
 
 
+def _curated(spark, sf) -> DataFrame:
+    """Kept quotes of the curated chains. The chains are built once: forwards and flags read them three times."""
+    return curate.build(settle(tape.quotes(spark, sf).select(*curate.COLUMNS))).quotes
+
+
 @query
 def full_arbitrage_report(spark, sf):
     """All three conditions on curated chains with inverted volatilities."""
-    prepared = settle(inversion.prepare(curate.build(tape.quotes(spark, sf)).quotes))
+    prepared = settle(inversion.prepare(_curated(spark, sf)))
     r = arb.report(prepared)
     return r.select(when_text(), "kind", *[count(c, c) for c in ("n_checked", "on_mids", "executable")], rnd("worst_rel", 8))
 

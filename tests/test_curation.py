@@ -110,3 +110,10 @@ def test_build_accounts_for_every_quote(spark):
     with pytest.raises(ValueError, match="no quotes for capture"):
         extra = {c: F.lit(None).cast("double") for c in ("theo", "delta", "open_interest", "volume", "underlying_price")}
         curate.from_catalog(df.withColumns(extra), datetime(2020, 1, 1))
+
+
+def test_chains_are_built_once_for_forwards_and_flags(spark, capsys):
+    from optionlake.plans import registry
+
+    registry._curated(spark, "/root/testdata/sf0.001").explain()
+    assert "lineitem" not in capsys.readouterr().out
