@@ -41,18 +41,21 @@ TEMPLATES = (
 
 def _lower(text: Column) -> Column:
     """Lower case in which only A-Z turn into a-z: two other letters would, and are put out of the way."""
-    return F.lower(F.regexp_replace(text, "[Kİ]", "ß"))
+    for other in "Kİ":
+        text = F.replace(text, F.lit(other), F.lit("ß"))
+    return F.lower(text)
 
 
 def _phrase(phrase: str) -> str:
-    body = f"[{SEPARATOR}]+".join(phrase.split(" "))
-    return rf"(?i)(?<![^{SEPARATOR}]){body}(?![^{SEPARATOR}])"
+    """Pattern of a phrase. What precedes it is looked at after its first letter: few places have that letter."""
+    first, rest = phrase[0], f"[{SEPARATOR}]+".join(phrase[1:].split(" "))
+    return rf"(?i){first}(?<![^{SEPARATOR}]{first}){rest}(?![^{SEPARATOR}])"
 
 
 def _blocks(text: Column, words: list[str]) -> Column:
     """Per line, which of ``words`` are in it, in their order."""
     listed = F.array(*[F.lit(w) for w in words])
-    return F.transform(F.split(text, "\n"), lambda line: F.array_intersect(listed, F.split(_lower(line), f"[{SEPARATOR}]+")))
+    return F.transform(F.split(_lower(text), "\n"), lambda line: F.array_intersect(listed, F.split(line, f"[{SEPARATOR}]+")))
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -102,3 +102,14 @@ def test_sketches_are_the_least_hashes_and_merge(spark, documents):
     for r in sizes:
         true = len(hashes(rows[r.n][1]))
         assert r.d == true if true < fingerprints.K else abs(r.d / true - 1) < 0.4
+
+
+def test_a_phrase_is_looked_for_by_its_first_letter():
+    import re
+
+    from optionlake.llm import licenses
+
+    text = "cc by, xcc by CC-BY ccc by\ncc\nby\u00e9 cc by \u00e9cc by cc cc by"
+    assert licenses._phrase("cc by").startswith("(?i)c(?<!")
+    found = [m.span() for m in re.finditer(licenses._phrase("cc by"), text)]
+    assert found == [m.span() for m in re.finditer(rf"(?i)(?<![^{licenses.SEPARATOR}])cc[{licenses.SEPARATOR}]+by(?![^{licenses.SEPARATOR}])", text)] and len(found) == 4
