@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from .common import parts, per_worker, stored
 
 #: The id appended to each document; ids of a shard; a pair is replaced if it repeats this often; pairs replaced at a time.
 END, SHARD_IDS, REPEATS, AT_ONCE = 1, 1_000_000, 16, 4096
+#: Bytes of text whose distinct words are looked up together.
+TOGETHER = 8 << 20
 
 SHARDS = (
     "part int, shard int, docs bigint, size bigint, letters binary, rules binary, spans binary, sequence binary, "
@@ -41,6 +44,13 @@ def _mark(pairs: np.ndarray) -> np.ndarray:
     return ((pairs >> np.uint64(32)) * np.uint64(40503) + pairs) & np.uint64(0xFFFF)
 
 
+def _ranked(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, all below ``bound``, ascending, and the rank of each."""
+    seen = np.zeros(bound, bool)
+    seen[values] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.uint32)[values]
+
+
 def compress(ids: np.ndarray, repeats: int = REPEATS, at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(letters, rules, spans, sequence): symbol k below len(letters) is that id, the rest are rules in order.
 
@@ -49,8 +59,7 @@ def compress(ids: np.ndarray, repeats: int = REPEATS, at_once: int = AT_ONCE) ->
     Rounds go on while a pair repeats ``repeats`` times and the last round took
     a hundredth off the sequence.
     """
-    letters, sequence = np.unique(ids, return_inverse=True)
-    sequence = sequence.astype(np.uint32)
+    letters, sequence = _ranked(ids, int(ids.max(initial=0)) + 1)
     rules: list[np.ndarray] = []
     spans = np.ones(len(letters), np.int64)
     total, before = len(letters), np.inf
@@ -66,20 +75,23 @@ def compress(ids: np.ndarray, repeats: int = REPEATS, at_once: int = AT_ONCE) ->
         if len(often) > at_once:  # the most frequent; ties go to the smaller pair
             often = often[np.argsort(-counts[often], kind="stable")[:at_once]]
         chosen = np.sort(ordered[first[often]])
-        # A small table of marks leaves few pairs to look up.
-        marks = np.zeros(1 << 16, bool)
-        marks[_mark(chosen)] = True
-        place = np.flatnonzero(marks[_mark(pairs)])
-        at = np.minimum(np.searchsorted(chosen, pairs[place]), len(chosen) - 1)
-        hit = chosen[at] == pairs[place]
+        # A small table names a chosen pair for each mark; only pairs that share a mark with another are searched for.
+        marks = np.full(1 << 16, -1, np.int32)
+        marks[_mark(chosen)] = np.arange(len(chosen))
+        at = marks[_mark(pairs)]
+        place = np.flatnonzero(at >= 0)
+        at, found = at[place], pairs[place]
+        other = np.flatnonzero(chosen[at] != found)
+        at[other] = np.minimum(np.searchsorted(chosen, found[other]), len(chosen) - 1)
+        hit = chosen[at] == found
         place, at = place[hit], at[hit]
         # In a run of overlapping hits every other one counts, from the first.
         fresh = np.concatenate(([True], np.diff(place) > 1))
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
         turn = (np.arange(len(place)) - run) % 2 == 0
         place = place[turn]
-        used, named = np.unique(at[turn], return_inverse=True)
-        sequence[place] = (total + named).astype(np.uint32)
+        used, named = _ranked(at[turn], len(chosen))
+        sequence[place] = total + named
         keep = np.ones(len(sequence), bool)
         keep[place + 1] = False
         sequence = sequence[keep]
@@ -91,6 +103,12 @@ def compress(ids: np.ndarray, repeats: int = REPEATS, at_once: int = AT_ONCE) ->
     return letters.astype(np.uint32), flat.astype(np.uint32), spans[len(letters) :].astype(np.uint32), sequence
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Shard:
     """A stored shard, opened for reading."""
 
@@ -103,6 +121,12 @@ class Shard:
         self.has, self.doc_ids, self.lengths = read("has_id", "u1").astype(bool), read("doc_ids", "<i8"), read("lengths", "<u4").astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def whole(self) -> np.ndarray:
+        """All ids: every rule is unfolded once, and what the sequence names is copied."""
+        flat = np.concatenate((self.letters, self.unfold(np.arange(len(self.letters), len(self.spans)))))
+        starts = np.cumsum(self.spans) - self.spans
+        return flat[_spread(starts[self.sequence], self.spans[self.sequence])]
+
     def unfold(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for: the newest rules first, until only letters are left."""
         while len(symbols) and symbols.max() >= len(self.letters):
@@ -124,17 +148,20 @@ class Shard:
 
 
 class Words(dict):
-    """Ids of a stretch between ASCII white space, by the tokenizers library, remembered up to a number of stretches.
-
-    The vocabulary's normaliser and piece pattern never join across white space,
-    and drop it, so the ids of a text are those of its stretches in a row. A
-    stretch of printable ASCII is cut into pieces here and each piece goes to the
-    library's model; any other goes through the library as it is.
+    """Places of pieces in a store of ids; the ids are the tokenizers library's, remembered up to a number of pieces and characters.
+
+    The vocabulary's normaliser and piece pattern never join across ASCII white
+    space, and drop it, so the ids of a text are those of its stretches in a row.
+    The distinct stretches of many texts are looked at together: those of
+    printable ASCII and Latin-1 letters are cut into pieces here and each new
+    piece goes to the library's model; any other is one piece and goes through
+    the library as it is.
     """
 
-    MOST = 400_000
-    # The piece pattern of the vocabulary, for lower-case ASCII.
-    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    MOST, MOST_CHARACTERS = 800_000, 32_000_000
+    # The piece pattern of the vocabulary for lower-case ASCII and Latin-1; what is left to the library whole.
+    PIECE = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+    ODD = re.compile(r"[^!-~\xc0-\xd6\xd8-\xf6\xf8-\xff\n]|<\|")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -142,28 +169,89 @@ class Words(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.pieces: dict[str, list[int]] = {}
-
-    def __missing__(self, stretch: bytes) -> list[int]:
-        if len(self) >= self.MOST:
-            self.clear()
-        text = stretch.decode()
-        if text.isascii() and text.isprintable() and "<|" not in text:
-            ids = []
-            for piece in self.PIECE.findall(text.lower()):
-                known = self.pieces.get(piece)
-                if known is None:
-                    if len(self.pieces) >= self.MOST:
-                        self.pieces.clear()
-                    known = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
-                ids += known
+        kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}  # bytes that stand for themselves in the vocabulary
+        moved = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in kept)}
+        self.letters = {c: "".join(chr(moved.get(b, b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
+        self["\n"] = 0
+        self.fresh: list[str] = []
+        self.characters = 0
+        self.flat, self.sizes, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        self[piece] = place = len(self)
+        return place
+
+    def _learn(self) -> None:
+        """Ids of the pieces met since the last time, at the end of the store."""
+        joined = "\n".join(self.fresh)
+        self.characters += len(joined)
+        if self.ODD.search(joined):
+            lists = [
+                self.library.encode(piece, add_special_tokens=False).ids if self.ODD.search(piece) else self._modelled(piece.translate(self.letters))
+                for piece in self.fresh
+            ]
+        else:
+            lists = list(map(self._modelled, joined.translate(self.letters).split("\n")))
+        self.fresh = []
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _modelled(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _places(self, stretches: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pieces of stretches, each ended by a line feed, and where each stretch's pieces begin, the end included."""
+        if self.ODD.search(stretches):
+            pieces: list[str] = []
+            for stretch in stretches.split("\n")[:-1]:
+                pieces += [stretch] if self.ODD.search(stretch) else self.PIECE.findall(stretch.lower())
+                pieces.append("\n")
         else:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        self[stretch] = ids
-        return ids
+            pieces = self.PIECE.findall(stretches.lower())
+        place = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        ends = np.flatnonzero(place == 0)
+        return place[place > 0], np.concatenate(([0], ends - np.arange(len(ends))))
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text; null texts are empty."""
+        if len(self) >= self.MOST or self.characters >= self.MOST_CHARACTERS:
+            self._reset()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), "\n")[0].as_py()
+        place, cut = self._places(joined + "\n" if len(distinct) else "")
+        if self.fresh:
+            self._learn()
+        # The ids of each distinct stretch in a row, then those of every stretch.
+        own = _spread(self.starts[place], self.sizes[place])
+        ids = self.flat[own]
+        at = np.concatenate(([0], np.cumsum(self.sizes[place])))[cut]
+        which = coded.indices.to_numpy()
+        sizes = np.diff(at)[which]
+        flat = ids[_spread(at[which], sizes)]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return np.split(flat, ends[1:-1]) if len(texts) else []
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, (text or "").encode().split())), np.uint32)
+        return self.batch(pa.array([text], pa.string()))[0]
+
+
+def _slices(texts: pa.Array, most: int):
+    """Runs of texts of about ``most`` bytes in all, a text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, texts.slice(a, b - a)
+        a = b
 
 
 def write(docs: DataFrame, path: str, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -194,13 +282,15 @@ def write(docs: DataFrame, path: str, end: int = END, shard_ids: int = SHARD_IDS
             "letters", "rules", "spans", "sequence", "has_id", "doc_ids", "lengths")])
         tail = np.array([end], np.uint32)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids.append(doc_id.as_py())
-                held.append(np.concatenate((words.ids(text.as_py()), tail)))
-                size += len(held[-1])
-                if size >= shard_ids:
-                    yield pa.RecordBatch.from_pylist([pack(part, shard, ids, held)], schema)
-                    shard, ids, held, size = shard + 1, [], [], 0
+            doc_ids = batch.column(0).to_pylist()
+            for a, texts in _slices(batch.column(1), TOGETHER):
+                for doc_id, found in zip(doc_ids[a : a + len(texts)], words.batch(texts), strict=True):
+                    ids.append(doc_id)
+                    held.append(np.concatenate((found, tail)))
+                    size += len(held[-1])
+                    if size >= shard_ids:
+                        yield pa.RecordBatch.from_pylist([pack(part, shard, ids, held)], schema)
+                        shard, ids, held, size = shard + 1, [], [], 0
         if ids:
             yield pa.RecordBatch.from_pylist([pack(part, shard, ids, held)], schema)
 
@@ -220,7 +310,7 @@ def read(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 s = Shard(row)
-                flat = s.unfold(s.sequence).astype(np.int32)
+                flat = s.whole().astype(np.int32)
                 cut = pa.array(np.append(s.starts, len(flat)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s.doc_ids, mask=~s.has), pa.array(s.starts + row["start"]), pa.ListArray.from_arrays(cut, pa.array(flat))],
@@ -237,7 +327,7 @@ def listed(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 s = Shard(row)
-                flat = s.unfold(s.sequence).astype("<u4").tobytes()
+                flat = s.whole().astype("<u4").tobytes()
                 crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(s.starts.tolist(), (s.starts + s.lengths).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s.doc_ids, mask=~s.has), pa.array(s.starts + row["start"]), pa.array(s.lengths), pa.array(crc, pa.int64())],

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -481,6 +482,39 @@ def test_words_equal_the_library_on_odd_characters():
         assert words.ids(text).tolist() == ref.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_many_texts_equal_the_library():
+    words, ref = repair.Words(bpe.tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    rng = np.random.default_rng(7)
+    latin = [chr(c) for c in (*range(0x20, 0x7F), *range(0xA0, 0x100))] + list("\n\t  ''St")
+    mixed = [*latin, *"<||>\u0301\x1cΣ漢"]
+    texts = [None, "", " \x0b\x0c", "É\u0301 e\u0301", "<|endoftext|>", *("".join(rng.choice((latin, mixed)[n % 2], n)) for n in range(1, 300))]
+    for most, characters in ((800_000, 32_000_000), (50, 32_000_000), (800_000, 100)):
+        words.MOST, words.MOST_CHARACTERS = most, characters
+        got = [ids for _, part in repair._slices(pa.array(texts), 2_000) for ids in words.batch(part)]
+        assert [ids.tolist() for ids in got] == [ref.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert words.batch(pa.array([], pa.string())) == []
+
+
+def test_words_of_latin_letters_are_cut_once_each():
+    words, ref = repair.Words(bpe.tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    asked, model = [], words.model
+    words.library = None  # only odd stretches go through the whole library
+    words.model = type("Model", (), {"tokenize": lambda self, piece: asked.append(piece) or model.tokenize(piece)})()
+    text = "Été, été. ÜBER über; Straße STRASSE's ñandú ÿ 42 2"
+    assert words.ids(text).tolist() == ref.encode(text, add_special_tokens=False).ids
+    assert words.ids(text).tolist() == words.ids(text.lower()).tolist() and len(asked) == len(set(asked))
+
+
+def test_whole_shards_equal_their_unfolded_sequence():
+    rng = np.random.default_rng(8)
+    for flat in ([3], [9] * 3_000, rng.integers(0, 5, 4_000), np.tile(rng.integers(0, 50_000, 70), 40)):
+        press = lambda a, kind: zlib.compress(np.ascontiguousarray(a, kind).tobytes())
+        names = ("letters", "rules", "spans", "sequence")
+        row = {n: press(a, "<u4") for n, a in zip(names, repair.compress(np.asarray(flat, np.uint32), repeats=2, at_once=8), strict=True)}
+        shard = repair.Shard(row | {"has_id": press([1], "u1"), "doc_ids": press([1], "<i8"), "lengths": press([len(flat)], "<u4")})
+        assert shard.whole().tolist() == shard.unfold(shard.sequence).tolist() == np.asarray(flat).tolist()
+
+
 # --- 8 -------------------------------------------------------------------------
 
 
