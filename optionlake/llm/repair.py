@@ -147,21 +147,35 @@ class Shard:
         return self.unfold(self.sequence[first : last + 1])[a - before : b - before] if b > a else self.letters[:0]
 
 
+class ByteLevel(dict):
+    """Characters as the vocabulary writes them: a letter for each byte of UTF-8."""
+
+    def __init__(self):
+        kept = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))  # bytes that stand for themselves
+        self.moved = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in kept)}
+
+    def __missing__(self, c: int) -> str:
+        self[c] = chr(c) if c < 0x80 else "".join(chr(self.moved.get(b, b)) for b in chr(c).encode())
+        return self[c]
+
+
 class Words(dict):
     """Places of pieces in a store of ids; the ids are the tokenizers library's, remembered up to a number of pieces and characters.
 
     The vocabulary's normaliser and piece pattern never join across ASCII white
     space, and drop it, so the ids of a text are those of its stretches in a row.
-    The distinct stretches of many texts are looked at together: those of
-    printable ASCII and Latin-1 letters are cut into pieces here and each new
-    piece goes to the library's model; any other is one piece and goes through
-    the library as it is.
+    The distinct stretches of many texts are looked at together: those of plain
+    characters (neither they nor their lower case ever join a neighbour) are cut
+    into pieces here and each new piece goes to the library's model; any other
+    is one piece and goes through the library as it is.
     """
 
     MOST, MOST_CHARACTERS = 800_000, 32_000_000
-    # The piece pattern of the vocabulary for lower-case ASCII and Latin-1; what is left to the library whole.
-    PIECE = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
-    ODD = re.compile(r"[^!-~\xc0-\xd6\xd8-\xf6\xf8-\xff\n]|<\|")
+    # Plain letters beyond ASCII (Latin, Cyrillic) and marks, and the vocabulary's piece pattern over them.
+    LETTERS = "\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f\u0400-\u045f"
+    MARKS = "\xab\xbb\u2010-\u2027"
+    PIECE = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\sa-z0-9{LETTERS}]+")
+    ODD = re.compile(rf"[^!-~{LETTERS}{MARKS}\n]|<\|")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -169,9 +183,7 @@ class Words(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}  # bytes that stand for themselves in the vocabulary
-        moved = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in kept)}
-        self.letters = {c: "".join(chr(moved.get(b, b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self.byte_level = ByteLevel()
         self._reset()
 
     def _reset(self) -> None:
@@ -192,11 +204,11 @@ class Words(dict):
         self.characters += len(joined)
         if self.ODD.search(joined):
             lists = [
-                self.library.encode(piece, add_special_tokens=False).ids if self.ODD.search(piece) else self._modelled(piece.translate(self.letters))
+                self.library.encode(piece, add_special_tokens=False).ids if self.ODD.search(piece) else self._modelled(piece.translate(self.byte_level))
                 for piece in self.fresh
             ]
         else:
-            lists = list(map(self._modelled, joined.translate(self.letters).split("\n")))
+            lists = list(map(self._modelled, joined.translate(self.byte_level).split("\n")))
         self.fresh = []
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -495,12 +496,22 @@ def test_words_of_many_texts_equal_the_library():
     assert words.batch(pa.array([], pa.string())) == []
 
 
+def test_plain_characters_never_join_a_neighbour():
+    words, ref = repair.Words(bpe.tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    plain = [c for c in map(chr, range(0x21, 0xD800)) if not repair.Words.ODD.search(c)]
+    seconds = {chr(int(d.split()[1], 16)) for d in map(unicodedata.decomposition, map(chr, range(0x110000))) if len(d.split()) == 2 and d[0] != "<"}
+    assert len(plain) > 300 and not seconds & {*plain, *"".join(plain).lower()}
+    for k in range(0, len(plain), 500):
+        text = " ".join(f"{c} a{c}b 1{c}. {c}'s" for c in plain[k : k + 500])
+        assert words.ids(text).tolist() == ref.encode(text, add_special_tokens=False).ids
+
+
 def test_words_of_latin_letters_are_cut_once_each():
     words, ref = repair.Words(bpe.tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
     asked, model = [], words.model
     words.library = None  # only odd stretches go through the whole library
     words.model = type("Model", (), {"tokenize": lambda self, piece: asked.append(piece) or model.tokenize(piece)})()
-    text = "Été, été. ÜBER über; Straße STRASSE's ñandú ÿ 42 2"
+    text = "Été, été. ÜBER über; Straße STRASSE's ñandú ÿ 42 2 ŠKODA škoda “Война” и мир — «А»"
     assert words.ids(text).tolist() == ref.encode(text, add_special_tokens=False).ids
     assert words.ids(text).tolist() == words.ids(text.lower()).tolist() and len(asked) == len(set(asked))
 
