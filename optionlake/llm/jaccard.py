@@ -6,16 +6,22 @@ class. Two classes link at a Jaccard similarity of 0.8 or more. Work in steps:
 1. ``blocks``: one pass over the texts. Of each class keep the set size and its
    head, the shingles of least hash; linked classes share a known number of head
    shingles, whatever the rest.
-2. ``shared``: how many classes hold each head shingle, counted per block first,
+2. ``repeated``: a class that several blocks have counts in the first of them.
+3. ``shared``: how many classes hold each head shingle, counted per block first,
    so that a shingle of every document costs one entry per block.
-3. ``routes``: classes with too few shared head shingles drop out. The head in
+4. ``routes``: classes with too few shared head shingles drop out. The head in
    order of that count gives the prefix in which linked classes must meet;
    classes that meet are put into one group, by components of the meetings.
-4. ``search``: each group stores its sets, globally ordered, in a prefix tree and
+5. ``meetings``: chance meetings chain classes that have nothing else in common
+   into one group that grows faster than the corpus. In a group of over
+   GROUP_MEMBERS classes or GROUP_SHINGLES shingles only those count that share as
+   many shingles of a longer prefix as linked classes must, and whose sketches do
+   not show too many differences; it falls into the components of these.
+6. ``search``: each group stores its sets, globally ordered, in a prefix tree and
    walks it for each set still open, adding up overlaps along shared paths and
    leaving a subtree once what remains cannot reach the needed overlap. A group
-   over GROUP_SHINGLES is dealt into parts and every two parts are searched together.
-5. Components of the links found, by ``components``.
+   still over GROUP_SHINGLES is dealt into parts and every two parts are searched together.
+7. Components of the links found, by ``components``.
 """
 
 from __future__ import annotations
@@ -32,8 +38,10 @@ from pyspark.sql import functions as F
 from .common import parts, spaced_words, stored, text_digest
 from .components import components
 
-#: Words of a shingle; head shingles of a block, of a counting bucket, shingles of a searched part.
-WIDTH, BLOCK, BUCKET, GROUP_SHINGLES = 5, 400_000, 2_000_000, 3_000_000
+#: Words of a shingle; head shingles of a block, of a counting bucket, shingles of a searched part, classes of a group that needs no second look.
+WIDTH, BLOCK, BUCKET, GROUP_SHINGLES, GROUP_MEMBERS = 5, 400_000, 2_000_000, 3_000_000, 2_000
+#: Shingles that classes of a large group must share, if they need as many; classes up to which those of a shingle are taken two by two; bits of a sketch.
+MEET, FEW, SKETCH = 8, 32, (64, 1024)
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -85,36 +93,65 @@ def head_size(n):
     return n - need(n) + spare(n)
 
 
+def apart(x, y):
+    """Most shingles that only one of two linked sets of x and y shingles has."""
+    return x + y - 2 * -(-4 * (x + y) // 9)
+
+
+def sketch_words(n):
+    """64-bit words of the sketch of a set of n shingles: the least power of two of at least 2 n bits, within SKETCH."""
+    return 1 << ((min(SKETCH[1], max(SKETCH[0], 2 * int(n))) - 1).bit_length() - 6)
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the shingles that fall on each bit: two sketches differ in at most as many bits as their sets in shingles."""
+    bits = 64 * sketch_words(len(s))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """The sketch of the same set in fewer words, a power of two."""
+    return np.bitwise_xor.reduce(words.reshape(-1, width), axis=0)
+
+
 def _blob(array, kind) -> bytes:
     return np.ascontiguousarray(array, kind).tobytes()
 
 
-BLOCKS = "block bigint, shingles bigint, has binary, doc_ids binary, digests binary, sizes binary, classes binary, own binary, lengths binary, heads binary"
+def _joined(blobs, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
+
+
+BLOCKS = (
+    "block bigint, shingles bigint, has binary, doc_ids binary, digests binary, sizes binary, classes binary, "
+    "own binary, lengths binary, heads binary, sketches binary"
+)
 
 
 def blocks(docs: DataFrame, block_size: int = BLOCK) -> DataFrame:
-    """One row per run of documents: ids, set sizes and class digests of all, heads of the distinct classes (``own``: their rows)."""
+    """One row per run of documents: ids, set sizes and class digests of all, heads and sketches of the distinct classes (``own``: their rows)."""
 
     def pack(block, rows, heads):
         ids, sizes, classes, digests = zip(*rows, strict=True)
         own = sorted(heads.values(), key=lambda x: x[0])
         return {
-            "block": block, "shingles": sum(len(h) for _, h in own), "has": _blob([i is not None for i in ids], "u1"),
+            "block": block, "shingles": sum(len(h) for _, h, _ in own), "has": _blob([i is not None for i in ids], "u1"),
             "doc_ids": _blob([i or 0 for i in ids], "<i8"), "digests": _blob(digests, "<i8"), "sizes": _blob(sizes, "<i8"), "classes": b"".join(classes),
-            "own": _blob([k for k, _ in own], "<i4"), "lengths": _blob([len(h) for _, h in own], "<i4"),
-            "heads": _blob(np.concatenate([h for _, h in own]) if own else [], "<u8"),
+            "own": _blob([k for k, _, _ in own], "<i4"), "lengths": _blob([len(h) for _, h, _ in own], "<i4"),
+            "heads": _blob(np.concatenate([h for _, h, _ in own]) if own else [], "<u8"), "sketches": b"".join(w for _, _, w in own),
         }
 
     def run(batches):
         fields = [("block", pa.int64()), ("shingles", pa.int64())]
-        schema = pa.schema(fields + [(c, pa.binary()) for c in ("has", "doc_ids", "digests", "sizes", "classes", "own", "lengths", "heads")])
+        schema = pa.schema(fields + [(c, pa.binary()) for c in ("has", "doc_ids", "digests", "sizes", "classes", "own", "lengths", "heads", "sketches")])
         at, rows, heads, size = TaskContext.get().partitionId() << 32, [], {}, 0
         for batch in batches:
             for doc_id, text, digest in zip(*batch.columns, strict=True):
                 s = shingles(text.as_py())
                 name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if len(s) and name not in heads:
-                    heads[name] = (len(rows), s[: int(head_size(len(s)))])
+                    heads[name] = (len(rows), s[: int(head_size(len(s)))], sketch(s).tobytes())
                     size += len(heads[name][1])
                 rows.append((doc_id.as_py(), len(s), name, digest.as_py()))
                 if size >= block_size or len(rows) >= block_size:
@@ -146,22 +183,65 @@ def members(made: DataFrame) -> DataFrame:
     return made.select("has", "doc_ids", "digests", "sizes", "classes").mapInArrow(run, "doc_id bigint, n_shingles bigint, class binary, digest bigint")
 
 
+def _cut(key: np.ndarray, n: int):
+    """(k, places of key k) for each key from 0 to n - 1 that occurs."""
+    order = np.argsort(key, kind="stable")
+    ends = np.cumsum(np.bincount(key.astype(np.int64), minlength=n))
+    return [(k, order[a:b]) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
+
+
+def repeated(made: DataFrame, buckets: int) -> DataFrame:
+    """Per block, the places in ``own`` of classes that an earlier block has too: block, gone."""
+
+    def send(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = np.frombuffer(r["own"], "<i4")
+                names = np.frombuffer(r["classes"], "S16")[own]
+                for k, at in _cut(names.view("<u8")[::2] % np.uint64(buckets), buckets):
+                    yield pa.RecordBatch.from_pylist([{"bucket": k, "block": r["block"], "names": names[at].tobytes(), "places": _blob(at, "<i4")}], schema)
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")
+        names = _joined(group["names"], "S16")
+        first = np.zeros(len(names), bool)
+        first[np.unique(names, return_index=True)[1]] = True
+        out, at = [], 0
+        for block, places in zip(group["block"], group["places"], strict=True):
+            places = np.frombuffer(places, "<i4")
+            gone = places[~first[at : at + len(places)]]
+            at += len(places)
+            if len(gone):
+                out.append((block, gone))
+        return pd.DataFrame(out, columns=["block", "gone"])
+
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("names", pa.binary()), ("places", pa.binary())])
+    sent = made.select("block", "classes", "own").mapInArrow(send, "bucket int, block bigint, names binary, places binary")
+    found = sent.groupBy("bucket").applyInPandas(answer, "block bigint, gone array<int>")
+    return found.groupBy("block").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+
+
+def _held(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: which of its classes count here, and the rows, head lengths and heads of those."""
+    own, lengths, heads = np.frombuffer(r["own"], "<i4"), np.frombuffer(r["lengths"], "<i4"), np.frombuffer(r["heads"], "<u8")
+    here = np.ones(len(own), bool)
+    if r["gone"] is not None:
+        here[np.asarray(r["gone"], np.int64)] = False
+    return here, own[here], lengths[here], heads[np.repeat(here, lengths)]
+
+
 def shared(made: DataFrame, buckets: int) -> DataFrame:
-    """Per block, its head shingles that several classes hold, and how many do: block, hashes, counts."""
+    """Per block, its head shingles that several classes hold, and how many do: block, hashes, counts. ``gone`` (see ``repeated``) does not count."""
 
     def count(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                tokens, n = np.unique(np.frombuffer(r["heads"], "<u8"), return_counts=True)
-                bucket = (tokens >> np.uint64(20)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
-                cut = [order[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                full = [k for k in range(buckets) if len(cut[k])]
+                tokens, n = np.unique(_held(r)[3], return_counts=True)
+                cut = _cut((tokens >> np.uint64(20)) % np.uint64(buckets), buckets)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(full, pa.int32()), pa.array([r["block"]] * len(full), pa.int64()),
-                        pa.array([_blob(tokens[cut[k]], "<u8") for k in full], pa.binary()), pa.array([_blob(n[cut[k]], "<u4") for k in full], pa.binary()),
+                        pa.array([k for k, _ in cut], pa.int32()), pa.array([r["block"]] * len(cut), pa.int64()),
+                        pa.array([_blob(tokens[at], "<u8") for _, at in cut], pa.binary()), pa.array([_blob(n[at], "<u4") for _, at in cut], pa.binary()),
                     ],
                     names=["bucket", "block", "hashes", "counts"],
                 )
@@ -178,7 +258,7 @@ def shared(made: DataFrame, buckets: int) -> DataFrame:
                 out.append((block, _blob(own[n > 1], "<u8"), _blob(n[n > 1], "<u4")))
         return pd.DataFrame(out, columns=["block", "hashes", "counts"])
 
-    sent = made.select("block", "heads").mapInArrow(count, "bucket int, block bigint, hashes binary, counts binary")
+    sent = made.select("block", "own", "lengths", "heads", "gone").mapInArrow(count, "bucket int, block bigint, hashes binary, counts binary")
     return sent.groupBy("bucket").applyInPandas(answer, "block bigint, hashes binary, counts binary")
 
 
@@ -201,10 +281,15 @@ class Forest:
 
 
 def routes(made: DataFrame, known: DataFrame) -> DataFrame:
-    """(class, n, root, token): classes that may link; with a token, that the classes under this root meet there."""
+    """(class, n, root, token, prefix, counts, sketch): classes that may link; with a token, that the classes under this root meet there.
+
+    ``prefix`` is for ``meetings``: as many shared shingles of the head, rarest
+    first, as hold MEET of those that linked classes share, or all that they
+    must; ``counts`` their classes, at most 255.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["class", "n", "root", "token"]
+        columns = ["class", "n", "root", "token", "prefix", "counts", "sketch"]
         if not len(left) or not len(right):
             return pd.DataFrame([], columns=columns)
         r = left.iloc[0]
@@ -212,8 +297,11 @@ def routes(made: DataFrame, known: DataFrame) -> DataFrame:
         counts = np.concatenate([np.frombuffer(x, "<u4") for x in right["counts"]])
         order = np.argsort(tokens)
         tokens, counts = tokens[order], counts[order]
-        heads, lengths = np.frombuffer(r["heads"], "<u8"), np.frombuffer(r["lengths"], "<i4")
-        own, sizes = np.frombuffer(r["own"], "<i4"), np.frombuffer(r["sizes"], "<i8")
+        here, own, lengths, heads = _held(r)
+        sizes = np.frombuffer(r["sizes"], "<i8")
+        words = [sketch_words(n) for n in sizes[np.frombuffer(r["own"], "<i4")]]
+        past = np.cumsum(words)
+        sketches = [r["sketches"][8 * (a - w) : 8 * a] for a, w, k in zip(past.tolist(), words, here, strict=True) if k]
         at = np.minimum(np.searchsorted(tokens, heads), len(tokens) - 1)
         df = np.where(tokens[at] == heads, counts[at], 1).astype(np.int64)
         ends = np.cumsum(lengths)
@@ -225,24 +313,141 @@ def routes(made: DataFrame, known: DataFrame) -> DataFrame:
             held = df[span] > 1
             if int(held.sum()) < least:
                 continue
-            prefix = np.lexsort((heads[span], df[span]))[: lengths[k] - least + 1]
-            prefix = prefix[held[prefix]]
+            order = np.lexsort((heads[span], df[span]))
+            prefix, longer = order[: lengths[k] - least + 1], order[: lengths[k] - least + min(least, MEET)]
+            prefix, longer = prefix[held[prefix]], longer[held[longer]]
             if len(prefix):
-                alive.append((r["classes"][16 * own[k] : 16 * own[k] + 16], n))
+                more = _blob(heads[span][longer], "<u8"), _blob(np.minimum(df[span][longer], 255), "u1"), sketches[k]
+                alive.append((r["classes"][16 * own[k] : 16 * own[k] + 16], n, more))
                 kept.append(at[span][prefix])
         forest, first = Forest(len(alive)), {}
         for k, met in enumerate(kept):
             for t in met.tolist():
                 forest.join(k, first.setdefault(t, k))
-        out = [(c, n, alive[forest.find(k)][0], None) for k, (c, n) in enumerate(alive)]
+        out = [(c, n, alive[forest.find(k)][0], None, *more) for k, (c, n, more) in enumerate(alive)]
         signed = tokens.view(np.int64)
-        out += [(None, 0, alive[forest.find(k)][0], int(signed[t])) for t, k in first.items()]
+        out += [(None, 0, alive[forest.find(k)][0], int(signed[t]), None, None, None) for t, k in first.items()]
         frame = pd.DataFrame(out, columns=columns)
         frame["token"] = frame["token"].astype("Int64")
         return frame
 
-    narrow = made.select("block", "sizes", "classes", "own", "lengths", "heads")
-    return narrow.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(run, "class binary, n bigint, root binary, token bigint")
+    narrow = made.select("block", "sizes", "classes", "own", "lengths", "heads", "sketches", "gone")
+    schema = "class binary, n bigint, root binary, token bigint, prefix binary, counts binary, sketch binary"
+    return narrow.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(run, schema)
+
+
+def _sums(a, b, lack, n):
+    """Of (a, b, lack, n) each pair a, b once, with the sum of its n."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
+    return a[start], b[start], lack[order][start], np.add.reduceat(n[order], start) if len(a) else n
+
+
+def alike(codes: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect the classes whose sizes and sketches leave a link possible."""
+    order = np.argsort(sizes, kind="stable")
+    codes, sizes, words = codes[order], sizes[order], words[order]
+    out, left = [], np.arange(len(codes))
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            n = int(sizes[x])
+            a, b = np.searchsorted(sizes[left], [need(n), 5 * n // 4 + 1])
+            near = left[a:b]
+            met = np.bitwise_count(words[near] ^ words[x]).sum(axis=1, dtype=np.int64) <= apart(n, sizes[near])
+            if met.any():
+                out += [(int(codes[x]), y) for y in codes[near[met]].tolist()]
+                todo += near[met].tolist()
+                left = np.concatenate((left[:a], near[~met], left[b:]))
+    return out
+
+
+_MET = {"tokens": "<u8", "codes": "<i8", "sizes": "<i4", "k": "u1", "hubs": "u1", "words": "<u8"}
+_PAIRS = {"a": "<i8", "b": "<i8", "lack": "u1", "n": "u1"}
+
+
+def _rows(bucket: np.ndarray, buckets: int, columns: dict, kinds: dict, **more: int):
+    """A record batch with a row per bucket: the bucket's part of every column."""
+    cut = _cut(bucket, buckets)
+    values = {"bucket": pa.array([k for k, _ in cut], pa.int32())} | {c: pa.array([v] * len(cut), pa.int32()) for c, v in more.items()}
+    values |= {c: pa.array([_blob(columns[c][at], kind) for _, at in cut], pa.binary()) for c, kind in kinds.items()}
+    return pa.RecordBatch.from_pydict(values)
+
+
+def meetings(classes: DataFrame, buckets: int) -> DataFrame:
+    """(a, b): codes, as pairs that connect all among ``classes`` (of ``routes``, each with a code) that may link.
+
+    Linked classes share k shingles of their prefixes, k the lesser of MEET and
+    of what their heads must share. Those that share half of k among the shingles
+    of over FEW classes meet in one of the first of these, and their sketches are
+    compared there. Shingles of FEW classes or less are taken pair by pair, where
+    sketches allow a link; a pair needs the rest of k of them.
+    """
+
+    def send(batches):
+        rows, size = {}, 0
+        for batch in batches:
+            for code, n, prefix, counts, bits in zip(*batch.columns, strict=True):
+                code, n = code.as_py(), n.as_py()
+                tokens, bits = np.frombuffer(prefix.as_py(), "<u8"), np.frombuffer(bits.as_py(), "<u8")
+                light = int(np.searchsorted(np.frombuffer(counts.as_py(), "u1"), FEW, "right"))
+                k, hubs = min(int(spare(need(n))), MEET), len(tokens) - light
+                rows.setdefault(-1, []).append((tokens[:light], code, n, k, min(hubs, 255), folded(bits, 1)))
+                band, half = n.bit_length() - 1, max(1, k // 2)
+                # Linked classes are of one band, or the less of them is within a quarter of the next.
+                for at in (band, band + 1)[: 1 + (5 * n >= 4 << (band + 1))] if hubs >= half else ():
+                    rows.setdefault(at, []).append((tokens[light : len(tokens) - half + 1], code, n, k, min(hubs, 255), folded(bits, sketch_words(1 << at))))
+                size += len(tokens)
+                if size >= BLOCK:
+                    yield from pack(rows)
+                    rows, size = {}, 0
+        yield from pack(rows)
+
+    def pack(rows):
+        for band, found in rows.items():
+            tokens, *rest = zip(*found, strict=True)
+            lengths = [len(t) for t in tokens]
+            columns = {"tokens": np.concatenate(tokens)} | {c: np.repeat(np.array(v), lengths, axis=0) for c, v in zip(list(_MET)[1:], rest, strict=True)}
+            yield _rows((columns["tokens"] >> np.uint64(20)) % np.uint64(buckets), buckets, columns, _MET, band=band)
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        found = [tuple(np.empty(0, np.int64) for _ in _PAIRS)]
+        for band, part in group.groupby("band"):
+            tokens = _joined(part["tokens"], "<u8")
+            order = np.argsort(tokens, kind="stable")
+            tokens = tokens[order]
+            codes, sizes, k, hubs = (_joined(part[c], _MET[c])[order].astype(np.int64) for c in ("codes", "sizes", "k", "hubs"))
+            words = _joined(part["words"], "<u8").reshape(len(tokens), -1)[order]
+            if band >= 0:
+                ends = np.flatnonzero(np.concatenate((tokens[1:] != tokens[:-1], [True]))) + 1
+                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    pairs = np.array(alike(codes[a:b], sizes[a:b], words[a:b]), np.int64).reshape(-1, 2)
+                    found.append((pairs.min(axis=1), pairs.max(axis=1), np.ones(len(pairs), np.int64), np.full(len(pairs), MEET)))
+                continue
+            for step in range(1, len(tokens)):
+                x = np.flatnonzero(tokens[step:] == tokens[:-step])
+                if not len(x):
+                    break
+                y = x + step
+                differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+                near = (np.minimum(sizes[x], sizes[y]) >= need(np.maximum(sizes[x], sizes[y]))) & (differ <= apart(sizes[x], sizes[y]))
+                x, y = x[near], y[near]
+                half = np.maximum(1, np.maximum(k[x], k[y]) // 2)
+                lack = np.minimum(k[x], k[y]) - np.minimum(np.minimum(hubs[x], hubs[y]), half - 1)
+                found.append((np.minimum(codes[x], codes[y]), np.maximum(codes[x], codes[y]), np.maximum(lack, 1), np.ones(len(x), np.int64)))
+        a, b, lack, n = _sums(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        bucket = ((a.view(np.uint64) ^ (b.view(np.uint64) * _SEEDS[0])) >> np.uint64(20)) % np.uint64(buckets)
+        return _rows(bucket, buckets, {"a": a, "b": b, "lack": lack, "n": np.minimum(n, MEET)}, _PAIRS).to_pandas()
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        a, b, lack, n = _sums(*(_joined(group[c], kind).astype(np.int64) for c, kind in _PAIRS.items()))
+        return pd.DataFrame({"a": a[n >= lack], "b": b[n >= lack]})
+
+    sent = classes.select("code", "n", "prefix", "counts", "sketch").mapInArrow(send, "bucket int, band int, " + ", ".join(f"{c} binary" for c in _MET))
+    found = sent.groupBy("bucket").applyInPandas(meet, "bucket int, " + ", ".join(f"{c} binary" for c in _PAIRS))
+    return found.groupBy("bucket").applyInPandas(settle, "a bigint, b bigint")
 
 
 class PrefixTree:
@@ -458,23 +663,27 @@ def join(
     spark = docs.sparkSession
     made = stored(blocks(docs, block_size), "sets")
     total = made.agg(F.sum("shingles")).first()[0] or 0
-    known = shared(made, max(parts(spark), int(total // BUCKET) + 1))
-    routed = stored(routes(made, known), "routes")
+    owning = made.join(stored(repeated(made, parts(spark)), "gone"), "block", "left")
+    known = shared(owning, max(parts(spark), int(total // BUCKET) + 1))
+    routed = stored(routes(owning, known), "routes")
     met = routed.where("token is not null").select("token", "root").distinct()
     lead = met.groupBy("token").agg(F.min("root").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     group = components(met.join(lead, "token").select(F.col("root").alias("a"), F.col("lead").alias("b")))
-    nodes = routed.where("token is null").groupBy("class").agg(F.first("n").alias("n"), F.min("root").alias("root"))
-    rooted = routed.where("token is null").select("class", "root").distinct()
-    # A class in several blocks has several roots: they are one group too.
-    tied = components(
-        rooted.join(nodes.select("class", F.col("root").alias("_least")), "class").select(F.col("root").alias("a"), F.col("_least").alias("b"))
-        .unionAll(group.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    )
-    grouped = nodes.join(tied.toDF("root", "label"), "root", "left").select("class", "n", F.coalesce("label", "root").alias("group"))
-    size = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+    nodes = routed.where("token is null").drop("token")
+    grouped = nodes.join(group.toDF("root", "label"), "root", "left").withColumn("group", F.coalesce("label", "root"))
+    grouped = grouped.select("class", "n", "group", "prefix", "counts", "sketch")
+    size = _size(grouped)
+    large = stored(size.where((F.col("members") > GROUP_MEMBERS) | (F.col("shingles") > group_size)), "large")
+    if not large.isEmpty():
+        # Two classes of one code would only be searched together.
+        again = stored(grouped.join(large.select("group"), "group", "left_semi").withColumn("code", F.xxhash64("class")), "again")
+        label = components(meetings(again, parts(spark))).select("node", F.unhex(F.hex("label")))
+        grouped = grouped.join(large.select("group"), "group", "left_anti").select("class", "n", "group")
+        grouped = grouped.unionAll(again.select("class", "n", "code").join(label.toDF("code", "group"), "code").select("class", "n", "group"))
+        size = _size(grouped)
     split = size.select("group", F.ceil(F.col("shingles") / group_size).cast("int").alias("parts"))
     dealt = (
-        grouped.join(split, "group").withColumn("part", F.pmod(F.hash("class"), F.col("parts")))
+        grouped.select("class", "group").join(split, "group").withColumn("part", F.pmod(F.hash("class"), F.col("parts")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("class", "group", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
     )
@@ -484,6 +693,10 @@ def join(
     return owned, stored(search(docs, dealt.join(holder, "class"), every, count), "pairs")
 
 
+def _size(grouped: DataFrame) -> DataFrame:
+    return grouped.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+
+
 def label(docs: DataFrame, **sizes: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, copies and singles included.
 

@@ -221,6 +221,85 @@ def test_join_returns_every_link(spark):
         assert len(listed) == len(set(listed)) and set(listed) == want and len(want) > 50
 
 
+def chained(spark):
+    """Documents that only passages of others chain together, a large cluster around one, short ones and copies."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{k}" for k in range(9)]
+    texts = []
+    for k in range(150):  # half of it is the next one's, and all have a passage in common
+        texts.append(" ".join(passage + [f"w{k}x{j}" for j in range(40)] + [f"w{(k + 1) % 150}x{j}" for j in range(40)]))
+    base = [f"c{j}" for j in range(150)]
+    for k in range(80):
+        copy = list(base)
+        copy[int(rng.integers(0, 150))] = f"e{k}"
+        texts.append(" ".join(copy + passage))
+    texts += [" ".join(passage[: 5 + k % 5] + [f"s{k % 30}"] * (k % 3)) for k in range(60)]
+    texts += texts[::7]
+    rows = [(k, t, None, None) for k, t in enumerate(texts)]
+    return rows, spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(6).persist()
+
+
+def test_chance_meetings_make_no_large_group(spark, monkeypatch):
+    rows, docs = chained(spark)
+    largest, search = [], jaccard.search
+
+    def seen(docs, groups, *more):
+        largest.append(groups.groupBy("group").agg(F.countDistinct("class").alias("n")).agg(F.max("n")).first()[0])
+        return search(docs, groups, *more)
+
+    monkeypatch.setattr(jaccard, "search", seen)
+    want = plain_components(rows)
+    monkeypatch.setattr(jaccard, "GROUP_MEMBERS", 100, raising=False)  # where there is none, all meetings make one group
+    for sizes in ({}, {"block_size": 500}, {"block_size": 500, "group_size": 900}):
+        assert got(jaccard.label(docs, **sizes)) == want
+    assert max(largest) <= 81  # the cluster
+
+
+def test_copies_in_several_blocks_are_one_class(spark, monkeypatch):
+    line = " a line that all of these texts have"
+    texts = [" ".join(f"t{k}w{j}" for j in range(100 + k)) + line for k in range(12)]
+    rows = [(100 * c + k, t.upper() if c == 1 else t, None, None) for c in range(3) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    alive, routes = [], jaccard.routes
+    monkeypatch.setattr(jaccard, "routes", lambda *a: alive.append(routes(*a).where("token is null").count()) or routes(*a))
+    assert got(jaccard.label(docs, block_size=60)) == plain_components(rows)
+    assert alive == [0]  # no class has enough in common with others
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 31, 33, 200, 511, 513, 3_000):
+        x = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for gone in {0, n // 9, n // 2}:
+            y = np.unique(np.concatenate((x[gone:], rng.integers(0, 1 << 63, gone // 2 + 1, np.uint64))))
+            width = min(jaccard.sketch_words(len(x)), jaccard.sketch_words(len(y)))
+            for w in {1, width}:
+                a, b = jaccard.folded(jaccard.sketch(x), w), jaccard.folded(jaccard.sketch(y), w)
+                assert int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(x, y))
+    for x in range(1, 300):
+        for y in range(int(jaccard.need(x)), x + 1):
+            o = max(int(jaccard.need(x)), -(-4 * (x + y) // 9))
+            assert jaccard.apart(x, y) >= x + y - 2 * o and (jaccard.apart(x, y) == x + y - 2 * o or 9 * o > 4 * (x + y))
+
+
+def test_classes_that_share_a_shingle_pair_only_where_a_link_is_possible():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 62, rng.integers(8, 60), np.uint64)
+        for _ in range(rng.integers(1, 8)):
+            sets.append(np.unique(np.concatenate((base[rng.random(len(base)) > 0.08], rng.integers(0, 1 << 62, rng.integers(0, 4), np.uint64)))))
+    sets = [s for s in sets if len(s)]
+    words = np.stack([jaccard.folded(jaccard.sketch(s), 1) for s in sets])
+    found = jaccard.alike(np.arange(len(sets)), np.array([len(s) for s in sets]), words)
+    forest = jaccard.Forest(len(sets))
+    for a, b in found:
+        forest.join(a, b)
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * (o := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - o)]
+    assert len(links) > 30 and all(forest.find(a) == forest.find(b) for a, b in links)
+    assert len(found) < len(sets)
+
+
 def test_links_are_counted_for_every_document(spark):
     from optionlake.llm.queries import QUERIES
 
